@@ -135,12 +135,13 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
     return names, _unit(protos).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (cosine with the best prototype, 0 to 1) to (key columns, text)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (cosine with the best prototype, 0 to 1); the text itself goes on if asked."""
     names, protos = model
     keys = [c for c in docs.columns if c != text]
     plan = docs.select(*keys, text)
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name != text] + ["lang_pred string", "score double"])
+    kept = plan.columns if keep_text else keys
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name in kept] + ["lang_pred string", "score double"])
     label = np.array([*names, "und"], dtype=object)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +154,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                 pick = np.where(has, cos.argmax(axis=1), len(names))
                 best.append(label[pick])
                 score.append(np.where(has, np.clip(cos.max(axis=1), 0, 1), 0).astype(np.float64))
-            cols = [batch.column(i) for i in range(len(keys))]
+            cols = [batch.column(i) for i in range(len(kept))]
             cols += [pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*keys, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "lang_pred", "score"])
 
     return plan.mapInArrow(predict, ddl)
 

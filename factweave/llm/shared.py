@@ -164,3 +164,30 @@ def record_batches(schema: pa.Schema, rows: Iterator[dict]) -> Iterator[pa.Recor
     """Batches from dicts of column lists."""
     for cols in rows:
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+
+
+def small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are few; beyond ``limit`` Spark shuffles instead."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of (a, b), root the smallest node it is connected with.
+
+    Large-star and small-star steps by turns: each is a grouping that combines before it
+    shuffles and a join, so a node with very many links is no hot group.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    now, seen = stash(pairs, "links"), None
+    while True:
+        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if seen == tuple(state):
+            break
+        seen = tuple(state)
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
+        now = stash(star.where("a != b").distinct(), "links")
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select("b", "b").distinct())
