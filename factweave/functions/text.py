@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -51,10 +51,14 @@ def overlap(quote: Column, page: Column) -> Column:
     return F.when(F.size(tokens) == 0, 0.0).otherwise(hits / F.size(tokens))
 
 
-def quote_check(quote: Column, page: Column, threshold: float = APPROXIMATE, compose: bool = True) -> Column:
-    """struct<status, similarity> of a quote against the text of the one page it cites."""
+def verify_quotes(rows: DataFrame, quote: str = "quote", page: str = "text", threshold: float = APPROXIMATE, compose: bool = True) -> DataFrame:
+    """Add ``check``: struct<status, similarity> of a quote against the text of the one page it cites."""
     raw = F.trim(F.coalesce(quote, F.lit("")))
-    near, text = canonical(raw, compose), canonical(page, compose)
+    named = rows.withColumns({"_near": canonical(raw, compose), "_text": canonical(F.col(page), compose)})
+    return named.withColumn("check", _check(raw, F.col(page), F.col("_near"), F.col("_text"), threshold)).drop("_near", "_text")
+
+
+def _check(raw: Column, page: Column, near: Column, text: Column, threshold: float) -> Column:
     similarity = overlap(near, text)
     none = F.lit(None).cast("double")
     made = lambda status, s: F.struct(F.lit(status).alias("status"), s.alias("similarity"))

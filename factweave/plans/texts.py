@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -34,7 +34,7 @@ def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) % 100 + 2000 AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, o_orderkey % 5 AS k FROM orders)
     SELECT o_orderkey, CASE k WHEN 0 THEN concat('FY', right(CAST(y AS VARCHAR), 2)) WHEN 1 THEN concat('Q', q, 'FY', right(CAST(y AS VARCHAR), 2)) WHEN 2 THEN 'TTM' WHEN 3 THEN concat('FY', right(CAST(y + 1 AS VARCHAR), 2)) END AS label,
         CASE k WHEN 0 THEN 'ANNUAL' WHEN 1 THEN 'QUARTER' WHEN 2 THEN 'TTM' WHEN 3 THEN 'ANNUAL' END AS period_type,
-        CAST(CASE k WHEN 0 THEN y * 10 WHEN 1 THEN y * 10 + q WHEN 2 THEN y * 10 + 9 WHEN 3 THEN y * 10 + 10 END AS INTEGER) AS sort_key FROM o""")
+        CAST(CASE k WHEN 0 THEN y * 10 WHEN 1 THEN y * 10 + q WHEN 2 THEN y * 10 + 9 WHEN 3 THEN ((y + 1) % 100 + 2000) * 10 END AS INTEGER) AS sort_key FROM o""")
 def parse_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, y, q = F.col("o_orderkey") % 5, F.lpad((F.year("o_orderdate") % 100).cast("string"), 2, "0"), F.quarter("o_orderdate").cast("string")
     later = F.lpad(((F.year("o_orderdate") + 1) % 100).cast("string"), 2, "0")
@@ -91,20 +91,20 @@ def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes, pages = _quotes(spark, sf_dir)
-    return quotes.join(pages, ["doc_id", "page"], "left").select("doc_id", text.quote_check(F.col("quote"), F.col("text")).alias("c"))
+    return quotes.join(pages, ["doc_id", "page"], "left").transform(text.verify_quotes)
 
 
 @query()
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier of each quotation against exactly the page it cites; composed forms have no SQL."""
-    return _checked(spark, sf_dir).select("doc_id", "c.status", F.round("c.similarity", 4).alias("similarity"))
+    return _checked(spark, sf_dir).select("doc_id", "check.status", F.round("check.similarity", 4).alias("similarity"))
 
 
 @query("""WITH d AS (SELECT doc_id % 9 = 8 AS lost, doc_id % 4 AS k, trim(substr(text, 11, 80)) AS q, text FROM documents WHERE text IS NOT NULL)
     SELECT count(*) AS n_quotes, count(*) FILTER (NOT lost AND k = 0 AND q <> '') AS n_exact FROM d""")
 def quote_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes, pages = _quotes(spark, sf_dir)
-    exact = quotes.where("doc_id % 4 = 0").join(pages, ["doc_id", "page"], "left").select(text.quote_check(F.col("quote"), F.col("text"), compose=False)["status"].alias("s")).where("s = 'EXACT_MATCH'")
+    exact = quotes.where("doc_id % 4 = 0").join(pages, ["doc_id", "page"], "left").transform(text.verify_quotes, compose=False).where("check.status = 'EXACT_MATCH'")
     return quotes.agg(F.count("*").alias("n_quotes")).join(exact.agg(F.count("*").alias("n_exact")))
 
 
@@ -193,7 +193,8 @@ def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages, lines as rows of four items with a little jitter."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag", "l_linestatus")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag", "l_linestatus")
     y = F.col("l_linenumber") * 12 + F.when(F.col("l_linenumber") > 4, 40).otherwise(0)
     cell = lambda n, s, x: F.struct(F.lit(n).alias("n"), s.alias("s"), (F.lit(x) + F.col("l_partkey") % 3).cast("double").alias("x"))
     cells = F.array(cell(0, F.col("q"), 50), cell(1, F.col("l_returnflag"), 100), cell(2, F.col("l_linestatus"), 120), cell(3, F.col("q"), 200))
@@ -201,13 +202,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("doc_id", F.lit(1).alias("page"), (F.col("b") + F.col("c.n")).cast("bigint").alias("item"), F.col("c.s").alias("str"), F.col("c.x").alias("x"), "y", F.lit(10.0).alias("width"), F.lit(8.0).alias("height"))
 
 
-@query("""SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS BIGINT) AS line,
+@query("""SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS BIGINT) AS line,
     concat(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ' ', l_returnflag, ' ', l_linestatus, ' ', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS text FROM lineitem""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lines(_items(spark, sf_dir)).select("doc_id", "line", "text")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber > 4 AND min(l_linenumber) OVER (PARTITION BY l_orderkey) <= 4 THEN 1 ELSE 0 END AS block, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
+@query("""WITH b AS (SELECT l_orderkey AS doc_id, CASE WHEN row_number() OVER (PARTITION BY l_orderkey) > 4 THEN 1 ELSE 0 END AS block FROM lineitem),
     g AS (SELECT doc_id, block, count(*) AS n_rows FROM b GROUP BY doc_id, block HAVING count(*) >= 3)
     SELECT doc_id, CAST(block AS BIGINT) AS block, CAST(n_rows AS INTEGER) AS n_rows, CAST(4 AS BIGINT) AS n_cols, CAST(4 * n_rows AS BIGINT) AS n_cells, CAST(2 * n_rows AS BIGINT) AS n_numeric FROM g""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +216,7 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS BIGINT) AS chunk_idx, CASE WHEN l_linenumber % 3 = 1 THEN NULL WHEN l_linenumber % 3 = 2 THEN '  ' ELSE l_returnflag END AS a, CASE WHEN l_quantity > 25 THEN l_linestatus END AS b FROM lineitem)
-    SELECT doc_id, arg_min(a, chunk_idx) FILTER (trim(a) <> '') AS a, arg_min(b, chunk_idx) FILTER (trim(b) <> '') AS b FROM l GROUP BY doc_id""")
+    SELECT doc_id, arg_min(a, (chunk_idx, a)) FILTER (trim(a) <> '') AS a, arg_min(b, (chunk_idx, b)) FILTER (trim(b) <> '') AS b FROM l GROUP BY doc_id""")
 def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (n - 1).cast("bigint").alias("chunk_idx"), F.when(n % 3 == 1, None).when(n % 3 == 2, "  ").otherwise(F.col("l_returnflag")).alias("a"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("b"))
