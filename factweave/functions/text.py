@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Evidence tiers, best first.
 TIERS = ("EXACT_MATCH", "NORMALIZED_MATCH", "APPROXIMATE_MATCH", "UNVERIFIED", "CONFLICTING")
@@ -17,13 +18,13 @@ APPROXIMATE = 0.8
 LIGATURES = [("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE")]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """No built-in function composes Unicode."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
@@ -95,7 +96,7 @@ def chunk_hash(start: Column, end: Column, text: Column) -> Column:
 def issue_fingerprint(code: str, entity_type: str, entity_id: Column, snapshot: dict[str, Column]) -> Column:
     """Hash of an issue's canonical JSON: keys sorted, nulls kept."""
     inner = F.struct(*(snapshot[k].alias(k) for k in sorted(snapshot)))
-    whole = F.struct(F.lit(code).alias("code"), entity_id.alias("entityId"), F.lit(entity_type).alias("entityType"), inner.alias("snapshot"))
+    whole = F.struct(F.lit(code).alias("code"), entity_id.alias("entityId"), F.lit(entity_type).alias("entityType"), inner.alias("valueSnapshot"))
     return short_hash(F.to_json(whole, {"ignoreNullFields": "false"}))
 
 

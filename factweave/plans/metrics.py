@@ -136,7 +136,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RECORD_SQL} SELECT entity, 'MISSING_CRITICAL_FIELD' AS code, 'BLOCKER' AS severity, field,
-    left(sha256(concat('{{"code":"MISSING_CRITICAL_FIELD","entityId":null,"entityType":"DocumentAnalysis","snapshot":{{"field":"', field, '"}}}}')), 32) AS fingerprint FROM missing""")
+    left(sha256(concat('{{"code":"MISSING_CRITICAL_FIELD","entityId":null,"entityType":"DocumentAnalysis","valueSnapshot":{{"field":"', field, '"}}}}')), 32) AS fingerprint FROM missing""")
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.missing_fields(_records(spark, sf_dir), ["entity"], ["recommendation", "analyst"])
 
