@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm import chaining, containment, langid, ngram_join, packing
 from factweave.llm.queries import tokenizer_files
-from factweave.llm.shared import stash
+from factweave.llm.shared import small, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,12 +32,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each component, and one of rows that repeat it."""
+    docs = docs.select(*COLUMNS)
     found = ngram_join.join_components(docs)
-    gone = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
-    repeated = kept.join(twice, "doc_id", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))).where("_k = 1")
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    gone = stash(found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    # Few ids are broadcast, so that the texts stay where they are; many are joined by a shuffle.
+    kept = docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = stash(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    n = twice.count()
+    if not n:
+        return kept
+    repeated = kept.join(small(twice, n), "doc_id", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))).where("_k = 1")
+    return kept.join(small(twice, n), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
