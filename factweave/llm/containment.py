@@ -18,8 +18,6 @@ count once; a null doc_id or item_id is carried as it is; other columns are not
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,5 +80,5 @@ def contained(docs: DataFrame, items: DataFrame, share: int = SHARE, k: int = SH
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """Documents that hold no item; rows without doc_id go if any such row is named."""
-    named = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(named, reduce(lambda a, b: a & b, [docs["doc_id"].eqNullSafe(F.col("_leak"))]), "left_anti")
+    named = stash(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(small(named, named.count()), docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
