@@ -35,8 +35,8 @@ from .shared import SHINGLE_WORDS, blocks, components, mix, parts_for, shingles,
 SHARE = 80
 BLOCK = 1000
 SAMPLE_EDGE = np.uint64((1 << 64) // 3)
-BUCKET_TOKENS = 2_000_000
-BLOCK_CLASSES = 20_000
+BUCKET_TOKENS = 1_000_000
+BLOCK_CLASSES = 8_000
 MATRIX = 1 << 25
 
 
