@@ -2,6 +2,7 @@ import os
 from collections import defaultdict
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def test_queries_against_sql(spark, name):
     assert cols == sorted(want.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 6) if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
 
