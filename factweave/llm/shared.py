@@ -123,9 +123,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z in lower case."""
+    """A 64-bit hash of each word with A-Z in lower case; a long text is hashed by runs of words."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * BLOCK_BYTES and len(starts) > 1:
+        out = np.empty(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+            at = int(starts[i])
+            out[i:j] = word_hashes(data[at : int(ends[j - 1])], starts[i:j] - at, ends[i:j] - at)
+            i = j
+        return out
     up, down = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
