@@ -1,12 +1,13 @@
 """What several operators share: scratch tables, Arrow text blocks, words and shingles as numpy arrays.
 
-A *block* is a run of rows of one Arrow text column with about a megabyte of
+A *block* is a run of rows of one Arrow text column with about a quarter megabyte of
 text; every kernel works on one block, so a task's memory follows the block
 (or its longest single text), never the partition.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _SPACE = np.zeros(256, bool)
@@ -61,6 +62,14 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-total // each))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets into them); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,6 +88,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, row + 1), len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
