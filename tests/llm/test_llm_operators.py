@@ -150,17 +150,6 @@ def test_cutting_passages(spark):
     assert 7 not in left and left[0] == texts[0] and left[1].split() == texts[1].split()[:40] and left[8] is None
 
 
-def test_hot_seeds_and_busy_sources(spark, monkeypatch):
-    """Broadcast anchors give the matches of shuffled ones, and dealt stretches the passages of whole ones."""
-    docs = make(spark, passage_corpus() + passage_corpus()[:2] * 3)
-    found = chaining.seeds(docs)
-    hot, cold = (sorted(tuple(r) for r in chaining.matches(found, edge).collect()) for edge in (1, 10**9))
-    assert hot == cold and hot
-    whole = sorted(map(str, chaining.passages(docs).collect()))
-    monkeypatch.setattr(chaining, "SPANS", 1)
-    assert sorted(map(str, chaining.passages(docs).collect())) == whole and whole
-
-
 def test_words_of_long_texts_are_hashed_by_runs(monkeypatch):
     raw = np.frombuffer((" Aé".join("lorem ipsum dolor" for _ in range(50)) + "x" * 300 + " end").encode(), np.uint8)
     starts, ends, _ = shared.words(raw, np.array([0, len(raw)]))
