@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks
+from .shared import blocks, in_arrow
 
 DIM = 512
 CLASSES = 128
@@ -119,10 +119,9 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(v) for v in sums.values()], schema[1].type)], schema=schema)
 
+    known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = (
-        docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        .where("lang is not null and text is not null")
-        .mapInArrow(bundle, "lang string, dim array<bigint>")
+        in_arrow(known, bundle, "lang string, dim array<bigint>")
         .select("lang", F.posexplode("dim"))
         .groupBy("lang", "pos")
         .agg(F.sum("col").alias("v"))
@@ -158,7 +157,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
             cols += [pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "lang_pred", "score"])
 
-    return plan.mapInArrow(predict, ddl)
+    return in_arrow(plan, predict, ddl)
 
 
 def accepted(score: Column, lang_pred: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SHINGLE_WORDS, blocks, components, mix, parts_for, shingles, small, stash, word_hashes, words
+from .shared import SHINGLE_WORDS, blocks, components, in_arrow, mix, parts_for, shingles, small, stash, word_hashes, words
 
 #: A link: 100 * intersection >= SHARE * union.
 SHARE = 80
@@ -91,7 +91,7 @@ def sets(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     plan = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return plan.mapInArrow(run, f"doc_id {key}, n bigint, set_key bigint, text_hash bigint, sample binary")
+    return in_arrow(plan, run, f"doc_id {key}, n bigint, set_key bigint, text_hash bigint, sample binary")
 
 
 def live_classes(found: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def whole_sets(docs: DataFrame, live: DataFrame, k: int = SHINGLE_WORDS) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(s, at)), pa.array(np.diff(at), pa.int64()), lists], ["set_key", "n", "tokens"])
 
-    return texts.select("text").mapInArrow(run, "set_key bigint, n bigint, tokens array<bigint>")
+    return in_arrow(texts.select("text"), run, "set_key bigint, n bigint, tokens array<bigint>")
 
 
 def candidate_groups(whole: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts_for, stash
+from .shared import in_arrow, parts_for, stash
 
 WINDOW = 2048
 GROUP = 20_000
@@ -31,11 +31,13 @@ END_ID = 0
 
 #: Texts of these characters only are cut alike by both libraries (tested); others go to the slower one.
 _PLAIN = re.compile("[^\n\r\t -~¡-ſ]")
-_loaded: dict[str, object] = {}
 
 
 class Encoder:
-    """Ids of ``byte_bpe_50k``; the same vocabulary as ranks serves plain texts, about four times faster."""
+    """Ids of ``byte_bpe_50k``; the same vocabulary as ranks serves plain texts, about four times faster.
+
+    A task loads its own and frees it, since Spark keeps Python workers for later stages.
+    """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
         from tokenizers import Tokenizer
@@ -58,13 +60,6 @@ class Encoder:
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def encoder(path: str, ranks_path: str | None = None, pattern: str | None = None) -> Encoder:
-    key = f"{path}|{ranks_path}|{pattern}"
-    if key not in _loaded:
-        _loaded[key] = Encoder(path, ranks_path, pattern)
-    return _loaded[key]
-
-
 def cut(n: int, window: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full windows at the end, a shorter one first."""
     head = n % window
@@ -77,7 +72,7 @@ def tokenize(docs: DataFrame, path: str, ranks_path: str | None = None, pattern:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks_path, pattern)
+        encode = Encoder(path, ranks_path, pattern)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -89,7 +84,7 @@ def tokenize(docs: DataFrame, path: str, ranks_path: str | None = None, pattern:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return in_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, ddl)
 
 
 def best_fit(lengths: np.ndarray, window: int, max_docs: int, max_cost: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
