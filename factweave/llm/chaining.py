@@ -3,14 +3,20 @@
 1. Seeds are five-word shingles that have the least hash of some ``WINDOW`` in a row; a run of
    20 equal words always holds one.
 2. Each seed's first occurrence (least doc_id, then place) is its anchor, and every other
-   occurrence is joined with that one alone: matches grow as the occurrences, not as their
-   square, also for a passage that a third of all documents hold.
+   occurrence is joined with that one: matches grow as the occurrences, not as their
+   square, also for a passage that a third of all documents hold. The j-th occurrence of a seed
+   inside a document is joined with the first j-th one too, so that a run with a short period
+   has matches on one diagonal.
 3. The matches of a document with one anchor document are merged along diagonals into
    fragments and chained: the best chain ends come from a Fenwick tree of prefix maxima over
    the anchor's places, with a cost for every word of a gap.
 4. Chains are aligned on the words themselves (extended at both ends, gaps filled by edit
    distance) and kept if at least ``MIN_CHAIN`` words agree to ``IDENTITY``.
-5. A document's aligned stretches are merged; those of ``MIN_PASSAGE`` words or more are its
+5. Beside the chains, runs of ``MIN_PASSAGE`` equal words are looked up whole: the hashes of all windows
+   of so many words that can be in two documents (a window that is has a common seed in each
+   ``WINDOW`` of its places) are grouped, and each is reported with its first occurrence. This
+   loses no exact run, whatever other documents hold its seeds.
+6. A document's aligned and exact stretches are merged; those of ``MIN_PASSAGE`` words or more are its
    repeated passages. The first document with a passage is named as source and not as a repeat.
 
 Defined cases: null, empty and short texts have no seed; rows without doc_id have no name to
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SHINGLE_WORDS, blocks, in_arrow, shingles, small, stash, word_hashes, words
+from .shared import SHINGLE_WORDS, _powers, blocks, in_arrow, mix, shingles, small, stash, word_hashes, words
 
 WINDOW = 16
 GAP_COST = 0.4
@@ -59,8 +65,19 @@ def winnow(s: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero((high == s) & (s > 0))
 
 
+def ranks(row: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """1 for the first occurrence of a hash in its row, 2 for the second, and so on."""
+    order = np.lexsort((s, row))
+    new = np.ones(len(s), bool)
+    new[1:] = (np.diff(row[order]) != 0) | (s[order][1:] != s[order][:-1])
+    first = np.flatnonzero(new)
+    out = np.empty(len(s), np.int32)
+    out[order] = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s)))) + 1
+    return out
+
+
 def seeds(docs: DataFrame, k: int = SHINGLE_WORDS, window: int = WINDOW) -> DataFrame:
-    """seed, doc_id, pos (word) of (doc_id, text)."""
+    """seed, doc_id, pos (word), rank (of the seed in its text) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,16 +87,22 @@ def seeds(docs: DataFrame, k: int = SHINGLE_WORDS, window: int = WINDOW) -> Data
                 found = winnow(s, at, window)
                 row = np.searchsorted(at, found, side="right") - 1
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(s[found].view(np.int64)), ids, pa.array((found - at[row]).astype(np.int32))], ["seed", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[found].view(np.int64)), ids, pa.array((found - at[row]).astype(np.int32)), pa.array(ranks(row, s[found]))], ["seed", "doc_id", "pos", "rank"])
+
+    return in_arrow(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), run, f"seed bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, rank int")
+
 
-    return in_arrow(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), run, f"seed bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
+def anchored(found: DataFrame, key: list[str]) -> DataFrame:
+    """doc_id, pos, src, src_pos: each occurrence of what two documents share, the anchor's own ones too."""
+    anchors = found.groupBy(*key).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id != last")
+    anchors = anchors.select(*key, F.col("a.doc_id").alias("src"), F.col("a.pos").alias("src_pos"))
+    return found.join(anchors, key).select("doc_id", "pos", "src", "src_pos")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """doc_id, src, pos, src_pos: each occurrence of a seed with the seed's anchor in another document."""
-    anchors = found.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id != last")
-    anchors = anchors.select("seed", F.col("a.doc_id").alias("src"), F.col("a.pos").alias("src_pos"))
-    return found.join(anchors, "seed").where("doc_id != src").select("doc_id", "src", "pos", "src_pos")
+def matches(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, src, pos, src_pos: each occurrence of a seed with the seed's anchor, and with that of its rank, in another document."""
+    again = anchored(found.where("rank > 1"), ["seed", "rank"])
+    return shared.unionByName(again).where("doc_id != src").select("doc_id", "src", "pos", "src_pos")
 
 
 def fragments(pos: np.ndarray, src: np.ndarray, k: int, reach: int) -> np.ndarray:
@@ -215,6 +238,124 @@ def chained(pairs: DataFrame, k: int = SHINGLE_WORDS, window: int = WINDOW, min_
     return in_arrow(pairs.select("doc_id", "src", "m"), run, f"doc_id {key}, src {key}, lo int, hi int, src_lo int, src_hi int, parts array<int>")
 
 
+def islands(pos: np.ndarray, n: int, k: int = SHINGLE_WORDS, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Words (from, to) outside of which no run of ``n`` words has a common seed in each ``window`` of its places."""
+    pos = np.unique(pos)
+    cut = np.flatnonzero(np.diff(pos) > window) + 1
+    spans = ((int(p[0]) - window + 1, int(p[-1]) + k + window - 1) for p in np.split(pos, cut) if len(p))
+    return [(max(0, lo), hi) for lo, hi in spans if hi - max(0, lo) >= n]
+
+
+def uncovered(spans: list[tuple[int, int]], known: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Parts of ``spans`` that hold all runs of ``n`` words that lie in no known stretch."""
+    out = []
+    for lo, hi in spans:
+        at = lo
+        for start, end in sorted(known):
+            if end - start >= n and end - n >= at and start <= hi - n:
+                if start > at:
+                    out.append((at, start - 1 + n))
+                at = end - n + 1
+        if hi - at >= n:
+            out.append((at, hi))
+    return out
+
+
+def exact_places(shared: DataFrame, good: DataFrame, n: int) -> DataFrame:
+    """id, lo, hi, fresh: words of each document that may hold runs of another, and (fresh) of an earlier one, outside of stretches in ``good``."""
+    known = good.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("known"))
+    later = F.collect_set(F.when(F.col("doc_id") != F.col("src"), F.col("pos")))
+    rows = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"), later.alias("later")).join(known, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i in range(batch.num_rows):
+                spans, later = (islands(batch.column(c)[i].values.to_numpy().astype(np.int64), n) for c in (1, 2))
+                left = uncovered(later, [(s["start"], s["end"]) for s in batch.column(3)[i].as_py() or []], n)
+                row += [i] * (len(spans) + len(left))
+                out += [(*s, False) for s in spans] + [(*s, True) for s in left]
+            if row:
+                kinds = [pa.int32(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "lo", "hi", "fresh"])
+
+    return in_arrow(rows.select("doc_id", "pos", "later", "known"), run, f"id {shared.schema['doc_id'].dataType.simpleString()}, lo int, hi int, fresh boolean")
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` words."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
+
+
+def windows(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """h, doc_id, pos of the runs of ``n`` words inside the places (id, lo, hi)."""
+    need = stash(need.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "places")
+    texts = docs.select("doc_id", "text").where("text is not null").join(small(need, int(need.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0])), F.col("doc_id") == F.col("id")).select("id", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2)
+            for lo_row, hi_row, data, offsets in blocks(batch.column(1)):
+                starts, ends, first = words(data, offsets)
+                h = word_hashes(data, starts, ends)
+                row, places, hashes = [], [], []
+                for r in range(lo_row, hi_row):
+                    own = window_hashes(h[first[r - lo_row] : first[r - lo_row + 1]], n)
+                    at = np.zeros(len(own) + 1, np.int32)
+                    for s in spans[r].as_py():
+                        at[min(s["lo"], len(own))] += 1
+                        at[min(s["hi"] - n + 1, len(own))] -= 1
+                    pos = np.flatnonzero(np.cumsum(at)[:-1] > 0)
+                    row.append(np.full(len(pos), r))
+                    places.append(pos)
+                    hashes.append(own[pos])
+                ids = batch.column(0).take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))], ["h", "doc_id", "pos"])
+
+    return in_arrow(texts, run, f"h bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
+
+
+def window_runs(pos: np.ndarray, src: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """Stretches (start, end, source start, source end) of windows side by side whose sources are, or start over (a period)."""
+    out: list[list[int]] = []
+    last = (-2, -2)
+    for p, q in sorted(set(zip(pos.tolist(), src.tolist(), strict=True))):
+        if out and p == last[0] + 1 and out[-1][2] <= q <= last[1] + 1:
+            out[-1][1], out[-1][3] = p + n, max(out[-1][3], q + n)
+        else:
+            out.append([p, p + n, q, q + n])
+        last = (p, q)
+    return [tuple(s) for s in out]
+
+
+def exact(docs: DataFrame, shared: DataFrame, good: DataFrame, n: int) -> DataFrame:
+    """Stretches as in ``good`` of all runs of ``n`` equal words that an earlier document has and ``good`` doesn't cover."""
+    places = stash(exact_places(shared, good, n), "exact-places")
+    firsts = windows(docs, places.where("not fresh"), n).groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id != last")
+    firsts = firsts.select("h", F.col("a.doc_id").alias("src"), F.col("a.pos").alias("src_pos"))
+    found = windows(docs, places.where("fresh"), n).join(firsts, "h").where("doc_id != src").groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i in range(batch.num_rows):
+                m = batch.column(2)[i].values
+                for s in window_runs(m.field(0).to_numpy(), m.field(1).to_numpy(), n):
+                    row.append(i)
+                    out.append((*s, 1.0))
+            if row:
+                kinds = [pa.int32()] * 4 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "src", "start", "end", "src_start", "src_end", "identity"])
+
+    key = found.schema["doc_id"].dataType.simpleString()
+    return in_arrow(found, run, f"doc_id {key}, src {key}, start int, end int, src_start int, src_end int, identity double")
+
+
 def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
     """id, lo, hi, body (packed word hashes) of every stretch that a chain needs, each once."""
     need = found.select(F.col("doc_id").alias("id"), "lo", "hi").union(found.select("src", "src_lo", "src_hi")).distinct()
@@ -294,9 +435,11 @@ def passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """Repeated passages of (doc_id, text): doc_id, start_word, end_word, n_words, src_doc_id, src_start, src_end, identity, sources."""
     docs = docs.select("doc_id", "text")
     found = stash(seeds(docs), "seeds")
-    pairs = matches(found).groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") > 1)
+    shared = stash(anchored(found, ["seed"]), "shared")
+    pairs = matches(found, shared).groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") > 1)
     linked = stash(chained(pairs), "chains")
-    good = aligned(linked, stash(slices(docs, linked), "slices"))
+    good = stash(aligned(linked, stash(slices(docs, linked), "slices")), "aligned")
+    good = good.unionByName(exact(docs, shared, good, min_passage))
     by_doc = good.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "src", "src_start", "src_end", "identity")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,44 @@ def test_passages(spark):
     assert got[6, 5].n_words >= 110 and 0.9 < got[6, 5].identity < 1
 
 
+def exact_corpus():
+    """Runs with an inner period, and runs whose seeds have their first occurrences in many documents."""
+    r = random.Random(11)
+    vocab = [f"e{i}" for i in range(3000)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    mosaic, line = say(60), say(9)
+    docs = [say(20) + mosaic[i : i + 21] + say(30) for i in range(0, 60, 3)]
+    docs += [say(30) + mosaic + say(10), say(5) + mosaic + say(40), mosaic[3:53]]
+    docs += [say(a) + ["same"] * n + say(9) for a, n in ((8, 80), (21, 130), (3, 52), (4, 49))]
+    docs += [say(a) + line * n + say(9) for a, n in ((30, 7), (0, 12), (14, 6), (2, 5))]
+    return [" ".join(d) for d in docs]
+
+
+def test_exact_runs_against_brute_force(spark):
+    texts = exact_corpus()
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        own = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        want |= {(d, j) for i, x in enumerate(own) if x in seen for j in range(i, i + 50)}
+        seen |= set(own)
+    got = {(r.doc_id, j) for r in chaining.passages(make(spark, texts)).collect() for j in range(r.start_word, r.end_word)}
+    assert {d for d, _ in want} == {d for d, _ in got} == {21, 22, 24, 25, 28, 29}
+    assert want <= got
+
+
+def test_chains_of_a_run_with_a_short_period(spark):
+    """The j-th with the j-th occurrence: a periodic run with some words changed is chained."""
+    r = random.Random(12)
+    say = lambda n: [f"q{r.randrange(3000)}" for _ in range(n)]
+    line = say(9)
+    edited = line * 12
+    edited[40] = edited[80] = "edit"
+    docs = make(spark, [" ".join(say(10) + line * 12 + say(10)), " ".join(say(25) + edited + say(10))])
+    (p,) = chaining.passages(docs).collect()
+    assert (p.doc_id, p.src_doc_id) == (1, 0) and p.n_words >= 100 and 0.9 < p.identity < 1
+
+
 def test_cutting_passages(spark):
     docs = make(spark, passage_corpus())
     left = {r.doc_id: r.text for r in chaining.without_passages(docs, chaining.passages(docs)).collect()}
