@@ -77,6 +77,11 @@ def verbatim(status: Column) -> Column:
     return status.isin("EXACT_MATCH", "NORMALIZED_MATCH")
 
 
+def verification_rate(status: Column) -> Column:
+    """Share of verbatim-safe checks over all, to two places half up; 0 without any (an aggregate)."""
+    return F.coalesce(F.floor(F.try_divide(F.count_if(verbatim(status)), F.count("*")) * 100 + 0.5) / 100, F.lit(0.0))
+
+
 def tier_rank(status: Column) -> Column:
     """4 for the best tier to 0."""
     out = F.lit(0)

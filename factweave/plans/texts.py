@@ -108,6 +108,13 @@ def quote_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.agg(F.count("*").alias("n_quotes")).join(exact.agg(F.count("*").alias("n_exact")))
 
 
+@query()
+def quote_verification_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and verbatim-safe quotes among all of them, and their rounded share; composed forms have no SQL."""
+    status = F.col("check.status")
+    return _checked(spark, sf_dir).agg(F.count("*").alias("n_quotes"), F.count_if(status == "EXACT_MATCH").alias("n_exact"), F.count_if(text.verbatim(status)).alias("n_verbatim"), text.verification_rate(status).alias("rate"))
+
+
 LIMITS = (600, 6, 40)
 
 

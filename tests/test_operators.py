@@ -1,4 +1,6 @@
 import os
+import re
+import unicodedata
 from collections import defaultdict
 from decimal import Decimal
 
@@ -99,6 +101,36 @@ def test_other_queries_give_rows(spark, name):
     assert plans.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_quote_verification_rate_against_brute_force(spark):
+    """All four manners of quoting are checked, by a plain loop."""
+    from factweave.functions import text
+
+    def canonical(s):
+        s = unicodedata.normalize("NFKC", s)
+        for a, b in text.LIGATURES:
+            s = s.replace(a, b)
+        s = re.sub("[\u00ad\u200b-\u200d\ufeff\u2060]", "", s)
+        s = re.sub(r"([^\W\d_])[-\u2010-\u2013]\s*\n\s*([^\W\d_])", r"\1\2", s)
+        s = re.sub("[\u2010-\u2015]", "-", s)
+        for marks, one in (("\u2018\u2019\u201a\u201b\u2032", "'"), ("\u201c\u201d\u201e\u201f\u2033", '"')):
+            s = re.sub(f"[{marks}]", one, s)
+        return re.sub(r"\s+", " ", s).strip(" ").lower()
+
+    n = exact = ok = 0
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        n += 1
+        piece = (r.text or "")[10:90]
+        quote = [piece, piece.replace(" ", "  ").upper(), " ".join(piece.split(" ")[::-1]), "zzzz qqqq xxxx"][r.doc_id % 4].strip(" ")
+        if r.doc_id % 9 == 8 or not r.text or not canonical(quote):
+            continue
+        exact += quote in r.text
+        ok += quote in r.text or canonical(quote) in canonical(r.text)
+    got = plans.QUERIES["quote_verification_rate"](spark, SMALL).first()
+    assert exact > plans.QUERIES["quote_rate"](spark, SMALL).first().n_exact
+    assert (got.n_quotes, got.n_exact, got.n_verbatim, got.rate) == (n, exact, ok, int(ok / n * 100 + 0.5) / 100)
+    assert spark.createDataFrame([], "s string").agg(text.verification_rate(F.col("s"))).first()[0] == 0
+
+
 def test_claims_and_upside(spark):
     from factweave.operators import claims
 
