@@ -1,4 +1,4 @@
-"""Claims are accepted if the metrics they cite support every number they state."""
+"""Claims are accepted if the metrics they cite, or the report's own price and target, support every number they state."""
 
 from __future__ import annotations
 
@@ -50,11 +50,16 @@ def claim_kind(kind: Column) -> Column:
     return F.when(up.isin(*CLAIM_TYPES), up).otherwise("OUTLOOK")
 
 
-def verify(claims: DataFrame, metrics: DataFrame) -> DataFrame:
-    """claim_id, claim_type, n_numbers, n_unsupported, accepted and the reason of a rejection; blank claims go."""
+def verify(claims: DataFrame, metrics: DataFrame, valuations: DataFrame | None = None) -> DataFrame:
+    """claim_id, claim_type, n_numbers, n_unsupported, accepted and the reason of a rejection; blank claims go.
+
+    ``valuations`` (claim_id, base_target, cmp) are those of each claim's report.
+    """
     claims = claims.where(F.trim("text") != "")
     numbers, facts = literals(claims), cited(claims, metrics)
-    lost = numbers.join(supported(numbers, facts), ["claim_id", "n"], "left_anti").groupBy("claim_id").agg(F.count("*").alias("n_unsupported"))
+    backed = supported(numbers, facts)
+    backed = backed if valuations is None else backed.unionByName(with_upside(numbers, valuations))
+    lost = numbers.join(backed, ["claim_id", "n"], "left_anti").groupBy("claim_id").agg(F.count("*").alias("n_unsupported"))
     counts = numbers.groupBy("claim_id").agg(F.count("*").alias("n_numbers"))
     valid = facts.groupBy("claim_id").agg(F.count("*").alias("n_cited"))
     rows = claims.join(counts, "claim_id", "left").join(lost, "claim_id", "left").join(valid, "claim_id", "left").fillna(0, ["n_numbers", "n_unsupported", "n_cited"])

@@ -225,3 +225,15 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.when(k == 2, F.array(F.lit("none"))).otherwise(F.array(before, mine))
     made = rows.select(F.concat_ws(":", "entity", "period").alias("claim_id"), F.when(k == 3, "hope").otherwise("performance").alias("claim_type"), said.alias("text"), ids.alias("cited_metric_ids"))
     return claims.verify(made, metrics)
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS claim_id, 'VALUATION' AS claim_type, CAST(1 AS BIGINT) AS n_numbers, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_unsupported,
+    p_partkey % 3 = 0 AS accepted, CASE WHEN p_partkey % 3 <> 0 THEN 'not supported by citations' END AS reason FROM part""")
+def claim_upside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that state the upside of a report's price and target: right, wrong, or right without a target."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("claim_id"), (F.col("p_partkey") % 3).alias("k"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"), "p_size")
+    metrics = p.select(F.concat(F.lit("price:"), "claim_id").alias("metric_id"), F.lit("price").alias("taxonomy_key"), F.lit(0).alias("period_sort_key"), F.col("price").cast("decimal(20,4)").alias("value"))
+    stated = (F.col("p_size") - 10 + F.when(F.col("k") == 1, 50).otherwise(0)).cast("string")
+    made = p.select("claim_id", F.lit("valuation").alias("claim_type"), F.concat(F.lit("The target stands for a move of "), stated, F.lit("%")).alias("text"), F.array(F.concat(F.lit("price:"), "claim_id")).alias("cited_metric_ids"))
+    target = F.when(F.col("k") != 2, F.col("price") * (90 + F.col("p_size")) / 100).cast("decimal(20,4)")
+    return claims.verify(made, metrics, p.select("claim_id", target.alias("base_target"), F.col("price").cast("decimal(20,4)").alias("cmp")))

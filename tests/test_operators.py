@@ -137,3 +137,13 @@ def test_claims_and_upside(spark):
     n = spark.createDataFrame([("a", 0, "20")], "claim_id string, n int, literal string").withColumn("number", F.col("literal").cast("decimal(20,4)"))
     v = spark.createDataFrame([("a", Decimal(120), Decimal(100))], "claim_id string, base_target decimal(20,4), cmp decimal(20,4)")
     assert claims.with_upside(n, v).count() == 1
+
+
+def test_claims_are_verified_with_the_upside_of_their_report(spark):
+    from factweave.operators import claims
+
+    made = spark.createDataFrame([("a", "valuation", "An upside of 20%", ["x"]), ("b", "valuation", "An upside of 20%", ["x"])], "claim_id string, claim_type string, text string, cited_metric_ids array<string>")
+    metrics = spark.createDataFrame([("x", "price", 0, Decimal(100))], "metric_id string, taxonomy_key string, period_sort_key int, value decimal(20,4)")
+    v = spark.createDataFrame([("a", Decimal(120), Decimal(100)), ("b", Decimal(150), Decimal(100))], "claim_id string, base_target decimal(20,4), cmp decimal(20,4)")
+    assert {r.claim_id: r.accepted for r in claims.verify(made, metrics, v).collect()} == {"a": True, "b": False}
+    assert claims.verify(made, metrics).where("accepted").count() == 0
