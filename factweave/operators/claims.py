@@ -45,6 +45,11 @@ def with_upside(numbers: DataFrame, valuations: DataFrame) -> DataFrame:
     return numbers.join(up, "claim_id").where(calc.agrees(F.col("u"), F.col("number"), 0.02)).select("claim_id", "n").distinct()
 
 
+def prompt_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each report in input order (60 facts and 8 risks, as the original asks the model)."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("_r") <= most).drop("_r")
+
+
 def claim_kind(kind: Column) -> Column:
     up = F.upper(kind)
     return F.when(up.isin(*CLAIM_TYPES), up).otherwise("OUTLOOK")

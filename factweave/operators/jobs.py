@@ -17,6 +17,21 @@ def recovered(jobs: DataFrame, now: Column, minutes: int = STALE_MINUTES, attemp
     return jobs.withColumn("new_status", F.when(stale & (F.col("attempts") < attempts), "QUEUED").when(stale, "FAILED").otherwise(F.col("status")))
 
 
+def failed(jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` with those in ``failures`` (id, error) failed at ``now``."""
+    rows = jobs.join(failures.select("id", F.col("error").alias("_e"), F.lit(True).alias("_f")), "id", "left")
+    kept = [c for c in jobs.columns if c not in ("status", "error", "finished_at")]
+    old = lambda c, kind: F.col(c) if c in jobs.columns else F.lit(None).cast(kind)
+    return rows.select(*kept, F.when(F.col("_f"), "FAILED").otherwise(F.col("status")).alias("status"), F.when(F.col("_f"), F.col("_e")).otherwise(old("error", "string")).alias("error"), F.when(F.col("_f"), now).otherwise(old("finished_at", "timestamp")).alias("finished_at"))
+
+
+def released(documents: DataFrame, jobs: DataFrame, failures: DataFrame) -> DataFrame:
+    """``documents`` (id, status) whose job failed go from PROCESSING to DRAFT; other states stay."""
+    hit = jobs.join(failures, "id", "left_semi").select(F.col("document_id").alias("id"), F.lit(True).alias("_f")).distinct()
+    back = F.col("_f") & (F.col("status") == "PROCESSING")
+    return documents.join(hit, "id", "left").withColumn("status", F.when(back, "DRAFT").otherwise(F.col("status"))).drop("_f")
+
+
 def claimed(jobs: DataFrame, workers: int) -> DataFrame:
     """The oldest queued jobs, one to a worker, as running with one attempt more."""
     return jobs.where("status = 'QUEUED'").orderBy("created_at", "id").limit(workers).withColumn("status", F.lit("RUNNING")).withColumn("attempts", F.col("attempts") + 1)

@@ -52,6 +52,14 @@ def fold_metrics(facts: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, F.col("_m.holder.value").alias("value"), F.col("_m.holder.status").alias("status"), F.col("_m.conflicts").alias("conflicts"), F.size("_rows").alias("n_raw"), F.col("_m.duplicates").alias("n_duplicates"), F.size("_m.conflicts").alias("n_conflicts"))
 
 
+def conflict_issues(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """A BLOCKER for every value that the fold found in conflict with its holder; ``folded`` by ``keys``, taxonomy_key and period."""
+    said = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("decimal(20,4)").cast("string"), "\\.?0+$", ""), F.lit("null"))
+    rows = folded.withColumn("other", F.explode("conflicts"))
+    mark = F.concat_ws(":", F.lit("conflict"), "taxonomy_key", F.coalesce("period", F.lit("null")), said("value"), said("other"))
+    return rows.select(*keys, F.lit("CONTRADICTORY_METRIC_VALUE").alias("code"), F.lit("BLOCKER").alias("severity"), "taxonomy_key", "period", F.col("value").alias("kept"), "other", mark.alias("fingerprint"))
+
+
 def fill_record(rows: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
     """First value by ``order`` that isn't blank, field by field."""
     full = lambda f: F.when(F.trim(f) != "", F.struct(order, F.col(f).alias("v")))

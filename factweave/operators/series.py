@@ -59,6 +59,29 @@ def series_issues(points: DataFrame, dense: DataFrame, as_of_year: int) -> DataF
     return out
 
 
+# Metrics that get a chart.
+CHARTED = ("revenue", "ebitda", "pat_reported")
+
+
+def charted(metrics: DataFrame, key: str) -> DataFrame:
+    """Points of the charts of each ``key`` (series is the metric), by period; currency and scale of the metric's first row. No point, no chart."""
+    rows = metrics.where(F.col("taxonomy_key").isin(*CHARTED))
+    first = rows.groupBy(key, "taxonomy_key").agg(F.min(F.struct("ord", "currency", "scale")).alias("m"))
+    w = Window.partitionBy(key, "taxonomy_key").orderBy(F.coalesce("period_sort_key", F.lit(0)), "ord")
+    points = rows.where("period != ''").withColumn("n", F.row_number().over(w) - 1).join(first, [key, "taxonomy_key"])
+    return points.select(key, F.col("taxonomy_key").alias("series"), F.col("n").alias("ord"), "period", "value", F.col("classification_code").alias("code"), "m.currency", "m.scale")
+
+
+def chart_issues(found: DataFrame, names: DataFrame, points: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``found`` (of ``series_issues``) with series in ``names`` that have no point, arrays of unequal length, severity and fingerprint."""
+    one = F.lit(1).cast("bigint").alias("n")
+    empty = names.select("series").distinct().join(points, "series", "left_anti").select("series", F.lit("CHART_EMPTY_SERIES").alias("issue"), one)
+    uneven = arrays.where(F.size("labels") != F.size("data")).select("series", F.lit("CHART_LABEL_VALUE_MISMATCH").alias("issue"), one)
+    rows = found.select("series", "issue", "n").unionByName(empty).unionByName(uneven)
+    severity = F.when(F.col("issue") == "CHART_LABEL_VALUE_MISMATCH", "BLOCKER").otherwise("WARNING")
+    return rows.select("series", F.col("issue").alias("code"), severity.alias("severity"), "n", F.concat_ws(":", F.lit("chart"), "series", "issue").alias("fingerprint"))
+
+
 def legacy_arrays(dense: DataFrame) -> DataFrame:
     """Labels and values of each series as ordered arrays; nulls stay nulls."""
     ordered = F.array_sort(F.collect_list(F.struct("sort_key", F.coalesce("ord", F.lit(0)).alias("o"), "label", "value")))

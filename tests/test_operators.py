@@ -147,3 +147,39 @@ def test_claims_are_verified_with_the_upside_of_their_report(spark):
     v = spark.createDataFrame([("a", Decimal(120), Decimal(100)), ("b", Decimal(150), Decimal(100))], "claim_id string, base_target decimal(20,4), cmp decimal(20,4)")
     assert {r.claim_id: r.accepted for r in claims.verify(made, metrics, v).collect()} == {"a": True, "b": False}
     assert claims.verify(made, metrics).where("accepted").count() == 0
+
+
+def test_conflicts_of_a_merge_block(spark):
+    from factweave.operators import checks
+
+    folded = spark.createDataFrame([(1, "revenue", "FY25", Decimal(100), [Decimal("120.5"), None]), (1, "ebitda", None, Decimal(7), [Decimal(9)]), (2, "revenue", "FY25", Decimal(1), [])], "k int, taxonomy_key string, period string, value decimal(20,4), conflicts array<decimal(20,4)>")
+    found = merge.conflict_issues(folded, ["k"])
+    assert {r.fingerprint for r in found.collect()} == {"conflict:revenue:FY25:100:120.5", "conflict:revenue:FY25:100:null", "conflict:ebitda:null:7:9"}
+    metrics = spark.createDataFrame([(1, "EXACT_MATCH"), (2, "EXACT_MATCH")], "k int, evidence_verification string")
+    got = {r.k: (r.n_conflicts, r.tier) for r in checks.coverage(metrics, metrics, found, "k").collect()}
+    assert got == {1: (3, "FAIR"), 2: (0, "EXCELLENT")}
+
+
+def test_charts_and_their_issues(spark):
+    rows = [(1, 0, "revenue", "FY26", 20260, 2.0, "E", "INR", "crore"), (1, 1, "revenue", "FY25", 20250, 1.0, "A", "USD", None), (1, 2, "tax", "FY25", 20250, 1.0, "A", None, None), (1, 3, "ebitda", None, 0, 1.0, "A", None, None)]
+    metrics = spark.createDataFrame(rows, "k int, ord int, taxonomy_key string, period string, period_sort_key int, value double, classification_code string, currency string, scale string")
+    got = [(r.series, r.ord, r.period, r.currency, r.scale) for r in series.charted(metrics, "k").orderBy("ord").collect()]
+    assert got == [("revenue", 0, "FY25", "INR", "crore"), ("revenue", 1, "FY26", "INR", "crore")]
+    raw, dense = points(spark, [("FY24", 1.0, "E"), ("FY25", 2.0, "A")])
+    names = spark.createDataFrame([("s",), ("none",)], "series string")
+    arrays = spark.createDataFrame([("s", ["FY24"], [1.0, 2.0])], "series string, labels array<string>, data array<double>")
+    issues = series.chart_issues(series.series_issues(raw, dense, 2026), names, raw, arrays)
+    assert {(r.series, r.code, r.severity) for r in issues.collect()} == {("s", "CHART_FORECAST_BEFORE_ACTUAL", "WARNING"), ("none", "CHART_EMPTY_SERIES", "WARNING"), ("s", "CHART_LABEL_VALUE_MISMATCH", "BLOCKER")}
+
+
+def test_failed_jobs_release_their_documents(spark):
+    from factweave.operators import claims
+
+    made = spark.createDataFrame([(1, 10, "RUNNING"), (2, 20, "RUNNING"), (3, 30, "RUNNING")], "id int, document_id int, status string")
+    docs = spark.createDataFrame([(10, "PROCESSING"), (20, "PUBLISHED"), (30, "PROCESSING")], "id int, status string")
+    lost = spark.createDataFrame([(1, "x"), (2, "y")], "id int, error string")
+    now = F.lit("2026-01-01").cast("timestamp")
+    assert {(r.id, r.status, r.error) for r in jobs.failed(made, lost, now).where("(finished_at is null) = (status = 'RUNNING')").collect()} == {(1, "FAILED", "x"), (2, "FAILED", "y"), (3, "RUNNING", None)}
+    assert {(r.id, r.status) for r in jobs.released(docs, made, lost).collect()} == {(10, "DRAFT"), (20, "PUBLISHED"), (30, "PROCESSING")}
+    rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(9)], "k int, ord int")
+    assert {(r.k, r.ord) for r in claims.prompt_rows(rows, "k", 8).collect()} == {(k, i) for k in (1, 2) for i in range(8)}
