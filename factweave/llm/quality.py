@@ -43,13 +43,18 @@ class Net:
         }
         self.constant: float | None = None
 
-    def conv(self, data: np.ndarray) -> np.ndarray:
-        """Filter answers at every stride of a byte array (its length a multiple of the stride)."""
+    def conv(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Filter answers at every stride of a byte array (its length a multiple of the stride).
+
+        The windows at ``ends``, the last of each text, read zeros as in training, not the next text.
+        """
         half = STRIDE * EMBED
         x = self.p["emb"][data].reshape(-1, half)
         y = x @ np.concatenate([self.p["w"][:half], self.p["w"][half:]], axis=1)
         out = y[:, :FILTERS]
+        last = y[ends, :FILTERS] + np.tile(self.p["emb"][0], STRIDE) @ self.p["w"][half:]
         out[:-1] += y[1:, FILTERS:]
+        out[ends] = last
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,7 +65,7 @@ class Net:
         first = np.concatenate([[0], np.cumsum(halves)])
         buf = np.zeros(first[-1] * HOP, np.uint8)
         buf[np.arange(len(data)) + np.repeat(first[:-1] * HOP - offsets[:-1], sizes)] = data
-        top = self.conv(buf).reshape(-1, HOP // STRIDE, FILTERS).max(axis=1)
+        top = self.conv(buf, first[1:] * (HOP // STRIDE) - 1).reshape(-1, HOP // STRIDE, FILTERS).max(axis=1)
         chunk = top.copy()
         chunk[:-1] = np.maximum(top[:-1], top[1:])
         chunk[first[1:] - 1] = top[first[1:] - 1]  # the last half of a text has no neighbour

@@ -305,6 +305,19 @@ def test_language_id_and_quality_on_held_out_rows(spark):
     assert (rank[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum()) > 0.8
 
 
+def test_quality_does_not_depend_on_the_next_text():
+    """Equal texts before different ones, and at a block's end."""
+    net = quality.Net()
+    net.p["b"] += 1
+    r = np.random.default_rng(5)
+    own = r.integers(97, 123, 252, np.uint8).tobytes()
+    got = []
+    for i in range(40):
+        data = own + r.integers(1, 255, 300, np.uint8).tobytes() * (i > 0)
+        got.append(net.score(np.frombuffer(data, np.uint8), np.array([0, len(own), len(data)] if i else [0, len(own)]))[0])
+    assert max(got) - min(got) < 1e-6
+
+
 ODD = [(1, "some words that are here in a row for all", "a", 1), (1, "some words that are here in a row for all", "a", 1), (None, None, None, None), (None, "null id " * 40, "b", 2), (2, "", "", 3), (3, "long text " * 60_000, "c", 4), (4, "\t \n", "d", 5)]
 
 
