@@ -1,14 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides by structure
-(menus, headers, footers, adverts, forms and the like are bad), link density, length
-and stop-word density; short or middling blocks stay ambiguous. The second pass
-gives them the label of the nearest decided block of their own region (an article or
-main element, or the rest of the page), the earlier one on a tie; a region without any
-decided block is good inside an article and bad outside.
-
-Defined cases: null, empty or markup-free html gives its plain text or ""; unclosed tags
-and comments run to the end of what holds them; repeated rows are each answered.
+A page is cut into blocks at block-level tags. The first pass looks at every block alone: many
+link letters make it bad; a long one with many stop words is good; short ones and those with a middling
+share of stop words stay open. The second pass gives an open block the label of its nearest decided
+neighbour.
+
+Tags and names bound *sections*: an article or main element, a menu, header, footer, form, advert, notice or
+comment list, or the rest of the page. They count in three ways: prose inside a menu, advert and the like is
+bad however it reads, and so is what stands beside an article; neighbours are those of
+the same section, and in the rest of the page a change of section counts as ``BORDER`` blocks; a section
+without any decided block is good if it is an article and bad if it is a menu and the like.
+A heading takes the label of what follows it; on a tie good wins.
+
+Defined cases: null, empty or markup-free html gives its plain text or ""; a page on which nothing is decided and
+nothing is a section is kept whole; unclosed tags and comments run to the end of what holds them; repeated
+rows are each answered. Time is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -16,11 +22,13 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import in_arrow
+
 # Frequent function words of four languages.
 STOPWORDS = frozenset(
     """the of and to in a is that for it as was with be by on not he i this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no
@@ -33,161 +41,245 @@ STOPWORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math object canvas noframes noembed xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_TAGS = frozenset("nav footer aside form button select menu dialog search head fieldset figure".split()) - {"figure"}
+BAD_TAGS = frozenset("nav footer aside form button select menu dialog search head fieldset".split())
 CONTENT_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a stray end tag inside them doesn't close.
+BARRIERS = frozenset("article main body table td".split())
 #: A tag that opens implicitly closes an open one of these.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCK_TAGS if t not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "body")}
 
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|social|share|sharing|related|recommend\w*|widget|sidebar|side-bar|rail|menu|nav\w*|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|footer|foot|header|comments?|commentlist|replies|respond|disqus|login|search|tags|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+# Words of class and id that name what isn't the article, whole or as a word's beginning.
+BAD_WORDS = frozenset(
+    """ad ads adsense banner cookie cookies consent gdpr notice alert popup modal overlay newsletter signup social share sharing related widget sidebar rail menu breadcrumb breadcrumbs pagination pager
+    toolbar topbar masthead footer foot header comment comments commentlist replies respond disqus login search tags copyright legal disclaimer""".split()
+)
+BAD_PREFIXES = ("advert", "sponsor", "promo", "subscri", "recommend", "nav")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 MAX_LINK_DENSITY = 0.33
+#: Inside an article, where links stand in sentences.
+MAX_ARTICLE_LINKS = 0.6
 LONG_CHARS = 70
 LOW_STOPWORDS = 0.15
 HIGH_STOPWORDS = 0.30
+BORDER = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NEUTRAL, CONTENT, BOILERPLATE = 0, 1, 2
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: Attributes up to the end of a tag; only a quote after an equals sign opens a value.
+_ATTRS = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+")
+_ATTR = re.compile(r"(?<![\w:-])([a-zA-Z:_-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+_WORD = re.compile(r"[^\W\d_]+")
 #: White space of the markup and of plain text, no-break space included.
 _SPACES = re.compile(r"\s+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     link_chars: int
-    region: int
-    in_content: bool
-    bad: bool
+    section: int
+    kind: int
+    heading: bool
     label: str = ""
-    words: list[str] = field(default_factory=list)
+    second: bool = False
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, tag, attributes, slash of an end tag) of each tag; the last has no tag. Raw elements are skipped."""
+    at, start, quotes = 0, 0, True
+    last = source.rfind(">")
+    while True:
+        lt = source.find("<", at)
+        if lt < 0:
+            break
+        two = source[lt + 1 : lt + 2]
+        if two in ("!", "?"):
+            shut = "-->" if source.startswith("<!--", lt) else "]]>" if source.startswith("<![CDATA[", lt) else ">"
+            end = source.find(shut, lt + (4 if shut == "-->" else 2))
+            yield source[start:lt], "", "", ""
+            at = start = end + len(shut) if end >= 0 else len(source)
+            continue
+        slash = "/" if two == "/" else ""
+        name = _NAME.match(source, lt + 1 + len(slash))
+        if not name or lt > last:
+            at = lt + 1
+            continue
+        end = _ATTRS.match(source, name.end()).end() if quotes else source.find(">", name.end())
+        if end >= len(source):  # a quote without an end: from here on quotes mean nothing
+            quotes, end = False, source.find(">", name.end())
+        if end < 0:
+            at = lt + 1
+            continue
+        tag, attrs = name[0].lower(), source[name.end() : end]
+        before = source[start:lt]
+        at = start = end + 1
+        if tag in RAW_TAGS and not slash and (not attrs.endswith("/") or tag in ("script", "style", "textarea", "title")):
+            m = _RAW_END[tag].search(source, at)
+            end = source.find(">", m.end()) if m else -1
+            at = start = end + 1 if end >= 0 else len(source)
+        yield before, tag, attrs, slash
+    yield source[start:], "", "", ""
+
+
+def named_bad(attrs: str) -> bool:
+    """Whether class, id, role or style tell that an element isn't part of the article, or isn't seen."""
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+    words = re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
+    if any(w in BAD_WORDS or w.startswith(BAD_PREFIXES) for w in words):
+        return True
+    hidden = "hidden" in attrs.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    return hidden or found.get("role", "").lower() in BAD_ROLES
 
 
 def blocks_of(source: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
-    state = {"link": 0}
-    stack: list[tuple[str, bool, int]] = []  # tag, whether all inside is bad, region
-    regions = 0
+    link = sections = 0
+    stack: list[tuple[str, int, int]] = []  # tag, kind and number of the section inside
+    where: dict[str, list[int]] = {}  # places in the stack of each open tag
+    block_at: list[int] = []  # of open block-level tags
+    barrier_at: list[int] = [-1]
 
     def flush() -> None:
+        nonlocal link
         text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            bad = bool(stack) and stack[-1][1]
-            region = stack[-1][2] if stack else 0
-            out.append(Block(text, min(state["link"], len(text)), region, region > 0, bad))
+            tag, kind, section = stack[-1] if stack else ("", NEUTRAL, 0)
+            out.append(Block(text, min(link, len(text)), section, kind, bool(block_at) and stack[block_at[-1]][0] in HEADINGS))
         parts.clear()
-        state["link"] = 0
+        link = 0
 
     def pop(at: int) -> None:
-        if any(t in BLOCK_TAGS or bad for t, bad, _ in stack[at:]):
+        if block_at and block_at[-1] >= at or stack[-1][2] != (stack[at - 1][2] if at else 0):
             flush()
-        del stack[at:]
+        while len(stack) > at:
+            i, tag = len(stack) - 1, stack[-1][0]
+            where[tag].pop()
+            if block_at and block_at[-1] == i:
+                block_at.pop()
+            if barrier_at[-1] == i:
+                barrier_at.pop()
+            stack.pop()
 
-    at, n_links = 0, 0
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        raw = source[at : m.start()] if m else source[at:]
+    for raw, tag, attrs, slash in tokens(source):
         if raw:
             text = entities.unescape(raw)
             parts.append(text)
-            if n_links:
-                state["link"] += len(_SPACES.sub(" ", text).strip())
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+            if where.get("a"):
+                link += len(_SPACES.sub(" ", text).strip())
         if not tag:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    n_links = sum(t == "a" for t, _, _ in stack)
-                    break
-                if stack[i][0] in ("article", "main", "body", "table", "td") and tag not in ("body", "html", "article", "main", "table"):
-                    break  # a stray end tag doesn't close what lies around it
+        if slash:
+            own = where.get(tag)
+            if own and (own[-1] >= barrier_at[-1] or tag in ("body", "html", "article", "main", "table")):
+                pop(own[-1])
             if tag in BLOCK_TAGS:
                 flush()
             continue
         if tag in RAW_TAGS:
-            if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
             if tag in BLOCK_TAGS:
                 flush()
             continue
-        if tag == "body":  # an unclosed head ends here
-            while stack and stack[-1][0] != "html":
-                pop(len(stack) - 1)
-        for shut in [CLOSES.get(tag, ())] if tag in CLOSES else []:
-            i = len(stack) - 1
-            while i >= 0 and stack[i][0] not in BLOCK_TAGS:
-                i -= 1
-            if i >= 0 and stack[i][0] in shut:
-                pop(i)
-                n_links = sum(t == "a" for t, _, _ in stack)
+        if tag == "body" and stack:  # an unclosed head ends here
+            html = where.get("html")
+            if len(stack) > (html[-1] + 1 if html else 0):
+                pop(html[-1] + 1 if html else 0)
+        if tag in CLOSES and block_at and stack[block_at[-1]][0] in CLOSES[tag]:
+            pop(block_at[-1])
         if tag in BLOCK_TAGS:
             flush()
-        if tag in ("br", "hr", "wbr", "img", "input"):
-            parts.append("" if tag == "wbr" else " ")
-        if tag in VOID_TAGS or m[3].endswith("/"):
+        if tag in ("br", "hr", "img", "input"):
+            parts.append(" ")
+        if tag in VOID_TAGS or attrs.endswith("/"):
             continue
-        _, bad, region = stack[-1] if stack else ("", False, 0)
-        if tag in CONTENT_TAGS and not region and not bad:
-            regions += 1
-            region = regions
-        if not bad:
-            bad = tag in BAD_TAGS or tag == "header" and not region
-            if m[3] and not bad and tag not in ("html", "body", "article", "main"):
-                attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])}
-                names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-                bad = bool(BAD_NAMES.search(names)) or attrs.get("role", "").lower() in BAD_ROLES or "hidden" in m[3].lower().split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-            if bad:
+        _, kind, section = stack[-1] if stack else ("", NEUTRAL, 0)
+        if kind != BOILERPLATE:
+            bad = tag in BAD_TAGS or tag == "header" and kind == NEUTRAL or bool(attrs) and tag not in ("html", "body", "article", "main") and named_bad(attrs)
+            if bad or tag in CONTENT_TAGS and kind == NEUTRAL:
                 flush()
-        stack.append((tag, bad, region))
-        n_links += tag == "a"
+                sections += 1
+                kind, section = BOILERPLATE if bad else CONTENT, sections
+        i = len(stack)
+        stack.append((tag, kind, section))
+        where.setdefault(tag, []).append(i)
+        if tag in BLOCK_TAGS:
+            block_at.append(i)
+        if tag in BARRIERS:
+            barrier_at.append(i)
     flush()
     return out
 
 
-def decide(blocks: list[Block]) -> None:
-    """First pass, then labels for ambiguous blocks from their nearest decided neighbours."""
+def stopword_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOPWORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(blocks: list[Block]) -> None:
+    """good, bad or "" (open) from a block's own link density, length and stop-word density."""
     for b in blocks:
-        words = b.text.lower().split(" ")
-        share = sum(w.strip(".,;:!?()\"'") in STOPWORDS for w in words) / len(words)
         linked = b.link_chars / len(b.text)
-        if b.bad:
-            b.label = "bad"
-        elif linked > MAX_LINK_DENSITY and (not b.in_content or linked > 0.8 and len(b.text) < LONG_CHARS):
+        if linked > (MAX_ARTICLE_LINKS if b.kind == CONTENT else MAX_LINK_DENSITY):
             b.label = "bad"
-        elif len(b.text) >= LONG_CHARS and share >= (LOW_STOPWORDS if b.in_content else HIGH_STOPWORDS):
-            b.label = "good"
-    by_region: dict[int, list[Block]] = {}
-    for b in blocks:
-        by_region.setdefault(b.region, []).append(b)
-    for region, group in by_region.items():
-        # Inside an article, a menu or an advert says nothing of the paragraphs beside it.
-        decided = [(i, b.label) for i, b in enumerate(group) if b.label and not (region and b.label == "bad")]
-        for i, b in enumerate(group):
-            if not b.label:
-                near = min(decided, key=lambda d: (abs(d[0] - i), d[0]), default=None) if len(decided) < 64 else _nearest(decided, i)
-                b.label = (near[1] if near else "good" if region else "bad") + "?"
+        elif len(b.text) >= LONG_CHARS:
+            share = stopword_density(b.text)
+            if share >= HIGH_STOPWORDS:
+                b.label = "bad" if b.kind == BOILERPLATE else "good"
+            elif share < LOW_STOPWORDS and b.kind != CONTENT:
+                b.label = "bad"
+    if any(b.kind == CONTENT for b in blocks):
+        for b in blocks:
+            if b.kind == NEUTRAL:
+                b.label = "bad"
 
 
-def _nearest(decided: list[tuple[int, str]], i: int) -> tuple[int, str]:
-    from bisect import bisect
+def _neighbours(blocks: list[Block], order: range, places: list[int]) -> list[tuple[int, str] | None]:
+    """Of each block, (distance, label) of the decided block last met in this order: of its section, or of any for the rest of the page."""
+    last: dict[int, tuple[int, str]] = {}
+    out: list[tuple[int, str] | None] = [None] * len(blocks)
+    for i in order:
+        b = blocks[i]
+        near = last.get(b.section if b.kind != NEUTRAL else -1)
+        out[i] = (abs(places[i] - near[0]), near[1]) if near else None
+        if b.label:
+            last[b.section] = last[-1] = (places[i], b.label)
+    return out
+
+
+def second_pass(blocks: list[Block]) -> None:
+    """Open blocks inherit the label of their nearest decided neighbour."""
+    places, at = [], 0
+    for i, b in enumerate(blocks):
+        at += 1 + (BORDER if i and blocks[i - 1].section != b.section else 0)
+        places.append(at)
+    before, after = _neighbours(blocks, range(len(blocks)), places), _neighbours(blocks, range(len(blocks) - 1, -1, -1), places)
+    nothing = not any(b.label for b in blocks)
+    for b, left, right in zip(blocks, before, after, strict=True):
+        if b.label:
+            continue
+        b.second = True
+        near = right if b.heading and right else min((x for x in (left, right) if x), key=lambda x: (x[0], x[1] == "bad"), default=None)
+        if near:
+            b.label = near[1]
+        else:
+            b.label = "good" if b.kind == CONTENT or b.kind == NEUTRAL and nothing else "bad"
+
 
-    k = bisect(decided, (i, ""))
-    return min(decided[max(0, k - 1) : k + 1], key=lambda d: (abs(d[0] - i), d[0]))
+def decide(blocks: list[Block]) -> None:
+    first_pass(blocks)
+    second_pass(blocks)
 
 
 def main_text(source: str | None) -> str:
     blocks = blocks_of(source or "")
-    if blocks and not any(b.region for b in blocks) and "<" not in (source or ""):
+    if "<" not in (source or ""):
         return "\n\n".join(b.text for b in blocks)
     decide(blocks)
-    return "\n\n".join(b.text for b in blocks if b.label.startswith("good"))
+    return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -199,4 +291,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {key}, url string, text string, n_chars bigint")
+    return in_arrow(pages.select("page_id", "url", "html"), run, f"page_id {key}, url string, text string, n_chars bigint")

@@ -285,14 +285,6 @@ def test_lm(spark):
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - full) < 1e-6
 
 
-def test_extraction():
-    good = "This is the story of a house that was built in the middle of the wood, and of all who lived there for a while."
-    page = f"""<html><head><title>t</title><style>x</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class=ad>Buy this now, it is the best of all the things that you can have in the world.</div>
-    <article><h1>A house</h1><p>{good} &amp; more</p><script>var a = "<p>no</p>";</script><p>Short one.</p><p>{good}</p></article><footer>&copy; us, and all the rest of it that is here for the law of the land</footer></body></html>"""
-    assert extract.main_text(page) == f"A house\n\n{good} & more\n\nShort one.\n\n{good}"
-    assert extract.main_text(None) == extract.main_text("") == extract.main_text("<nav>x</nav>") == ""
-
-
 def test_language_id_and_quality_on_held_out_rows(spark):
     base = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text", "lang")
