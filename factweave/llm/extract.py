@@ -104,8 +104,8 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
             at = start = end + len(shut) if end >= 0 else len(source)
             continue
         slash = "/" if two == "/" else ""
-        name = _NAME.match(source, lt + 1 + len(slash))
-        if not name or lt > last:
+        name = _NAME.match(source, lt + 1 + len(slash)) if lt < last else None
+        if not name:
             at = lt + 1
             continue
         end = _ATTRS.match(source, name.end()).end() if quotes else source.find(">", name.end())
