@@ -263,26 +263,45 @@ def test_text_images(spark):
     assert [(r.k, r.page, r.error) for r in tiff.decode(bad, "k").collect()] == [(1, -1, "ValueError: not a TIFF file")]
 
 
-def test_lm(spark):
-    texts = corpus(6, 30, 40)
+@pytest.mark.parametrize(("block", "run"), [(500, 256), (1 << 20, 7)])
+def test_lm_against_a_plain_backoff_walk(spark, monkeypatch, block, run):
+    """Word by word: the state is what is known of the last two words; without an arc the failure arc is paid."""
+    monkeypatch.setattr(lm.Automaton.walk, "__defaults__", (run,))
+    texts = corpus(6, 40, 40)
     held = [i % 4 == 1 for i in range(len(texts))]
     docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], DOCS + ", held_out boolean")
-    seqs = [[*words_of(t), None] for t in texts]
-    uni, two, ctx = Counter(), Counter(), Counter()
+    seqs = [["<s>", *words_of(t), "</s>"] for t in texts]
+    uni, two, three, ctx = Counter(), Counter(), Counter(), Counter()
     for s, h in zip(seqs, held, strict=True):
         if not h:
-            uni.update(s)
-            pairs = list(zip(["<s>", *s[:-1]], s, strict=True))
-            two.update(pairs)
-            ctx.update(p for p, _ in pairs)
+            uni.update(s[1:])
+            ctx.update(s[:-1])
+            two.update(zip(s, s[1:], strict=False))
+            three.update(zip(s, s[1:], s[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
-    for r in lm.score(docs, block=500).collect():
+    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+    p2 = lambda u, w: (two[u, w] + lm.K2 * p1(w)) / (ctx[u] + lm.K2)
+    paid = 0
+    for r in lm.score(docs, block=block).collect():
         s = seqs[r.doc_id]
-        p = [(uni[w] + 1) / (n + v + 1) for w in s]
-        base = sum(map(log10, p))
-        full = sum(log10((two[b, w] + lm.K * q) / (ctx[b] + lm.K)) for b, w, q in zip(["<s>", *s[:-1]], s, p, strict=True))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(uni[w] > 0 for w in s), n)
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - full) < 1e-6
+        full, state = 0.0, ("<s>",)
+        for w in s[1:]:
+            if len(state) == 2:
+                if three[(*state, w)]:
+                    full += log10((three[(*state, w)] + lm.K3 * p2(state[1], w)) / (two[state] + lm.K3))
+                    state = (state[1], w) if two[state[1], w] >= lm.SEEN else (w,)
+                    continue
+                full += log10(lm.K3 / (two[state] + lm.K3))
+                state, paid = state[1:], paid + 1
+            if two[(*state, w)]:
+                full += log10(p2(*state, w))
+                state = (*state, w) if two[(*state, w)] >= lm.SEEN else (w,)
+                continue
+            full += log10(lm.K2 / (ctx[state[0]] + lm.K2)) + log10(p1(w))
+            state, paid = (w,), paid + 1
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(uni[w] > 0 for w in s[1:]), n)
+        assert abs(r.base_score - sum(log10(p1(w)) for w in s[1:])) < 1e-6 and abs(r.score - full) < 1e-6
+    assert paid > 20
 
 
 def test_language_id_and_quality_on_held_out_rows(spark):
