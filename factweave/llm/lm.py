@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .shared import _PLACE, blocks, in_arrow, mix, parts_for, text_bytes, word_hashes, words
 
-BLOCK = 16 << 20
+BLOCK = 10 << 20
 K2, K3 = 4.0, 1.0
 #: Least count of a pair of words that is a state.
 SEEN = 2
@@ -158,7 +158,8 @@ class Grams:
     """Distinct n-grams of one kind in a block: each token's (``of``), one token of each (``at``), and their training counts in the corpus."""
 
     def __init__(self, all_keys: np.ndarray, found: pa.Table, kind: int, buckets: int):
-        keys, self.at, self.of = np.unique(all_keys >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
+        keys, at, of = np.unique(all_keys >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
+        self.at, self.of = at.astype(np.int32), of.astype(np.int32)
         bounds = bucket_bounds(keys, buckets)
         self.count = np.zeros(len(keys), np.int64)
         for k, b, raw in zip(found.column("kind").to_pylist(), found.column("bucket").to_pylist(), found.column("totals"), strict=True):
@@ -167,12 +168,11 @@ class Grams:
 
 
 class Tokens:
-    """Token hashes of a block's texts, the word before each, the pair it ends and whether it teaches."""
+    """Token hashes of a block's texts, the pair each ends and whether it teaches."""
 
     def __init__(self, table: pa.Table):
         self.h, self.first = tokens(table.column("text"))
-        self.before = contexts(self.h, self.first)
-        self.pair = pairs(self.before, self.h)
+        self.pair = pairs(contexts(self.h, self.first), self.h)
         self.taught = np.repeat(~table.column("held_out").to_numpy().astype(bool), np.diff(self.first))
 
     def with_state(self, two: Grams) -> np.ndarray:
@@ -197,7 +197,7 @@ class Automaton:
     def __init__(self, t: Tokens, one: Grams, two: Grams, at3: np.ndarray, three: Grams, n_all: int, v_all: int, k2: float, k3: float):
         n_words = len(one.count)
         self.start = 1 + n_words
-        self.word = one.of.astype(np.int64)
+        self.word = one.of
         p1 = (one.count + 1) / (n_all + v_all + 1)
         self.root = np.log10(p1)
         # Each training text ends once, so the end's count is that of starts.
@@ -207,7 +207,7 @@ class Automaton:
         pair_word = self.word[two.at]
         old = two.at - 1
         from_word = np.where(np.isin(two.at, t.first[:-1]), self.start, 1 + self.word[old])
-        self.pair_state = np.where(two.count >= SEEN, np.cumsum(two.count >= SEEN) + self.start, 0)
+        self.pair_state = np.where(two.count >= SEEN, np.cumsum(two.count >= SEEN) + self.start, 0).astype(np.int32)
         self.pair_of = two.of
         p2 = (two.count + k2 * p1[pair_word]) / (seen[from_word] + k2)
         to = np.where(self.pair_state > 0, self.pair_state, 1 + pair_word)
@@ -218,11 +218,12 @@ class Automaton:
         a2, a3 = two.count > 0, three.count > 0
         state = np.concatenate([from_word[a2], self.pair_state[p3_from][a3]])
         word = np.concatenate([pair_word[a2], self.word[token3][a3]])
-        arcs = (state << 32) | word
-        order = np.argsort(arcs)
+        arcs = (state.astype(np.int64) << 32) | word
+        del state, word
+        order = np.argsort(arcs).astype(np.int32)
         self.arcs = arcs[order]
-        self.weight = np.log10(np.concatenate([p2[a2], p3[a3]]))[order]
-        self.target = np.concatenate([to[a2], to[two.of[token3]][a3]])[order]
+        self.weight = np.log10(np.concatenate([p2[a2], p3[a3]])[order])
+        self.target = np.concatenate([to[a2], to[two.of[token3]][a3]]).astype(np.int32)[order]
 
         states = two.count >= SEEN
         self.fail = np.concatenate([np.zeros(self.start + 1, np.int64), 1 + pair_word[states]])
@@ -250,7 +251,7 @@ class Automaton:
             open_ = np.arange(live)
             while len(open_):
                 s, w = now[open_], word[open_]
-                key = (s << 32) | w
+                key = (s.astype(np.int64) << 32) | w
                 by = np.argsort(key)
                 arc = np.empty(len(key), np.int64)
                 arc[by] = np.minimum(np.searchsorted(self.arcs, key[by]), last)
