@@ -5,14 +5,15 @@ which ``run`` writes as Parquet to the shared folder and reads again for the nex
 
 Defined cases: an empty table goes through all stages as an empty table; a null text is no
 language and goes at the first stage; rows repeated whole are near duplicates of one another, and one
-stays; a null doc_id is carried where a stage doesn't need it to choose a row.
+stays; rows that share a doc_id, or have none, are judged each by its own text, and passages are not cut
+out of them, for doc_id names the text to cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import chaining, containment, langid, ngram_join, packing
@@ -31,18 +32,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component, and one of rows that repeat it."""
+    """Keep one document of each component: the one with the smallest doc_id, and of rows that repeat it whole, one.
+
+    Rows are told apart by all their columns, not by doc_id alone, so rows that share a doc_id, or have none, are
+    judged each by its own text.
+    """
     docs = docs.select(*COLUMNS)
-    found = ngram_join.join_components(docs)
-    gone = stash(found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    # Few ids are broadcast, so that the texts stay where they are; many are joined by a shuffle.
-    kept = docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = stash(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row"))
+    found = stash(ngram_join.join_components(docs.select(name.alias("doc_id"), "text")).where("n_shingles > 0"), "components")
+    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.xxhash64(*COLUMNS) == F.col("_row"))
+    pair = lambda df: df.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.row").alias("_row"))
+    gone = stash(pair(found.where("doc_id != component_id")).distinct(), "gone")
+    # Few names are broadcast, so that the texts stay where they are; many are joined by a shuffle.
+    kept = docs.join(small(gone, gone.count()), same, "left_anti")
+    twice = stash(pair(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")), "twice")
     n = twice.count()
     if not n:
         return kept
-    repeated = kept.join(small(twice, n), "doc_id", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))).where("_k = 1")
-    return kept.join(small(twice, n), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    return kept.join(small(twice, n), same, "left_anti").unionByName(kept.join(small(twice, n), same, "left_semi").dropDuplicates())
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
     docs = docs.select(*COLUMNS)
-    leaks = containment.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = containment.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return containment.without_leaks(docs, leaks).select(*COLUMNS)
 
 

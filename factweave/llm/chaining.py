@@ -6,7 +6,7 @@
    occurrence is joined with that one: matches grow as the occurrences, not as their
    square, also for a passage that a third of all documents hold. The j-th occurrence of a seed
    inside a document is joined with the first j-th one too, so that a run with a short period
-   has matches on one diagonal.
+   has matches on one diagonal. Anchors of very common seeds are broadcast.
 3. The matches of a document with one anchor document are merged along diagonals into
    fragments and chained: the best chain ends come from a Fenwick tree of prefix maxima over
    the anchor's places, with a cost for every word of a gap.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SHINGLE_WORDS, _powers, blocks, in_arrow, mix, shingles, small, stash, word_hashes, words
+from .shared import SHINGLE_WORDS, _powers, blocks, in_arrow, join_unique, mix, shingles, small, stash, word_hashes, words
 
 WINDOW = 16
 GAP_COST = 0.4
@@ -94,9 +94,9 @@ def seeds(docs: DataFrame, k: int = SHINGLE_WORDS, window: int = WINDOW) -> Data
 
 def anchored(found: DataFrame, key: list[str]) -> DataFrame:
     """doc_id, pos, src, src_pos: each occurrence of what two documents share, the anchor's own ones too."""
-    anchors = found.groupBy(*key).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last")).where("a.doc_id != last")
-    anchors = anchors.select(*key, F.col("a.doc_id").alias("src"), F.col("a.pos").alias("src_pos"))
-    return found.join(anchors, key).select("doc_id", "pos", "src", "src_pos")
+    anchors = found.groupBy(*key).agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("a.doc_id != last")
+    anchors = stash(anchors.select(*key, F.col("a.doc_id").alias("src"), F.col("a.pos").alias("src_pos"), "n"), "anchors")
+    return join_unique(found, anchors.drop("n"), key, anchors).select("doc_id", "pos", "src", "src_pos")
 
 
 def matches(found: DataFrame, shared: DataFrame) -> DataFrame:
@@ -385,7 +385,9 @@ def aligned(found: DataFrame, bodies: DataFrame, min_chain: int = MIN_CHAIN, ide
     """doc_id, src, start, end, src_start, src_end, identity of the chains that the words confirm."""
     mine = bodies.select(F.col("id").alias("doc_id"), "lo", "hi", F.col("body").alias("a"))
     theirs = bodies.select(F.col("id").alias("src"), F.col("lo").alias("src_lo"), F.col("hi").alias("src_hi"), F.col("body").alias("b"))
-    rows = found.join(mine, ["doc_id", "lo", "hi"]).join(theirs, ["src", "src_lo", "src_hi"]).select("doc_id", "src", "lo", "src_lo", "parts", "a", "b")
+    # A stretch that very many documents repeat is a hot key on the source's side only.
+    key = ["src", "src_lo", "src_hi"]
+    rows = join_unique(found, theirs, key, found.groupBy(*key).agg(F.count("*").alias("n")), size="b").join(mine, ["doc_id", "lo", "hi"]).select("doc_id", "src", "lo", "src_lo", "parts", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,9 +462,13 @@ def passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text`` (and ``n_chars`` renewed); texts left blank go."""
+    """``docs`` with repeated passages cut out of ``text``; texts left blank by that go.
+
+    A passage is named by doc_id and words, so rows whose doc_id other rows have too, or that have none, stay whole.
+    """
     cuts = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("_cuts"))
-    cuts = stash(cuts, "cuts")
+    once = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n = 1")
+    cuts = stash(cuts.join(once, "_id", "left_semi"), "cuts")
     joined = docs.join(small(cuts, cuts.count()), docs["doc_id"] == F.col("_id"), "left").drop("_id")
     cols = docs.columns
 

@@ -62,23 +62,33 @@ def sketches(sets: DataFrame, share: int = SHARE) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, share: int = SHARE, k: int = SHINGLE_WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found of every document that holds ``share`` percent of an item's shingles."""
+    return hits(docs, items, share, k, limit).select("doc_id", "item_id", "n_shingles", "n_found").distinct()
+
+
+def row_key() -> Column:
+    """What tells rows apart: doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def hits(docs: DataFrame, items: DataFrame, share: int = SHARE, k: int = SHINGLE_WORDS, limit: int = LIMIT) -> DataFrame:
+    """As ``contained``, with the row's ``key``."""
     sets = stash(item_shingles(items, k), "items")
     every = sets.select(F.explode("tokens.token").alias("token"), "item")
     n_items = int(sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
-    rows = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", "text").withColumn("key", row_key())
 
-    hits = shingle_rows(rows, ["key"], k).join(small(sketches(sets, share), n_items, limit), "token")
-    candidates = stash(hits.select("key", "item").distinct(), "candidates")
+    near = shingle_rows(rows, ["key"], k).join(small(sketches(sets, share), n_items, limit), "token")
+    candidates = stash(near.select("key", "item").distinct(), "candidates")
     chosen = small(candidates.select("key").distinct(), candidates.count(), limit)
 
     tokens = shingle_rows(rows.join(chosen, "key", "left_semi"), ["doc_id", "key"], k)
     found = tokens.join(small(every, n_items, limit), "token").groupBy("key", "doc_id", "item").agg(F.countDistinct("token").alias("n_found"))
     names = sets.select("item", "item_id", "n_shingles")
     checked = found.join(candidates, ["key", "item"], "left_semi").join(names, "item").where(100 * F.col("n_found") >= share * F.col("n_shingles"))
-    return checked.select("doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "n_found").distinct()
+    return checked.select("key", "doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "n_found")
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """Documents that hold no item; rows without doc_id go if any such row is named."""
-    named = stash(leaks.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(small(named, named.count()), docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    """Rows that hold no item; ``leaks`` are ``hits``. Rows that share a doc_id, or have none, are judged each by its text."""
+    named = stash(leaks.select(F.col("key").alias("_leak")).distinct(), "leaks")
+    return docs.join(small(named, named.count()), row_key() == F.col("_leak"), "left_anti")

@@ -35,11 +35,14 @@ _POWERS: list[np.ndarray] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or one of our own where none is set (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names; where none is set, a folder of our own in local mode (as in tests), else an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="factweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="factweave-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -196,17 +199,31 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[
     return mix(out), out_first
 
 
-def record_batches(schema: pa.Schema, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    """Batches from dicts of column lists."""
-    for cols in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
-
-
 def small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few; beyond ``limit`` Spark shuffles instead."""
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key is hot if it has more than one in so many of all rows, so there are always fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def join_unique(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame, limit: int = 64 << 20, size: str | None = None) -> DataFrame:
+    """``rows`` (a stored table) joined with ``facts``, in which a key stands once; ``counts`` has keys and ``n``, their rows at most.
+
+    Facts of hot keys are fewer than ``HOT_KEYS`` and are broadcast, so that rows of a hot key stay where they are
+    instead of meeting in one task. If facts vary in size, ``size`` names a binary column whose bytes are added up
+    first; beyond ``limit`` all keys meet by a shuffle.
+    """
+    edge = max(HOT_KEYS, rows.count() // HOT_KEYS)
+    names = F.broadcast(counts.where(F.col("n") > edge).select(*keys))
+    hot = facts.join(names, keys)
+    found, held = hot.agg(F.count("*"), F.coalesce(F.sum(F.length(size)) if size else F.lit(0), F.lit(0))).first()
+    if not found or held > limit:
+        return rows.join(facts, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(names, keys, "left_anti").join(facts, keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b), root the smallest node it is connected with.
 

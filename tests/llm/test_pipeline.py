@@ -31,3 +31,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_rows_without_id_and_rows_that_share_one(spark):
+    """Every unique text stays, whatever its doc_id; of repeated ones the one with the smallest doc_id does."""
+    say = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text is not null").first().text
+    rows = [(1, say(1)), (None, say(1)), (None, say(2)), (None, say(3)), (None, say(3)), (1, say(4)), (2, say(1)), (2, say(5)), (3, say(6)), (3, say(6)), (None, say(7) + " " + item), (4, say(8) + " " + item), (4, say(9)), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, SMALL)
+    want = [(1, say(1)), (None, say(2)), (None, say(3)), (1, say(4)), (2, say(5)), (3, say(6)), (None, say(7) + " " + item), (4, say(8) + " " + item), (4, say(9)), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    clean = stages["decontamination"](spark, kept, SMALL)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted((x for x in want if item not in x[1]), key=str)
+
+
+def test_passages_are_not_cut_out_of_rows_that_share_an_id(spark):
+    say = lambda n: " ".join(f"v{n}x{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, say(1)), (2, say(2) + " " + say(1)), (3, say(3) + " " + say(1)), (3, say(4) + " " + say(5))], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    cut = dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, SMALL)
+    assert sorted((r.doc_id, len(r.text.split())) for r in cut.collect()) == [(1, 80), (2, 80), (3, 160), (3, 160)]
