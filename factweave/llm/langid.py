@@ -25,6 +25,8 @@ from .shared import blocks, in_arrow
 
 DIM = 512
 CLASSES = 128
+ROWS = 256
+SLICE = 4096
 SCALE = 1 << 20
 
 _cache: dict[str, np.ndarray] = {}
@@ -50,8 +52,20 @@ def letter_vectors() -> np.ndarray:
     return _cache["vectors"]
 
 
-def text_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled trigram vectors of each row (rows x DIM) and whether the row has a letter."""
+def text_vectors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bundled trigram vectors, whether a row has a letter), ``ROWS`` rows at a time.
+
+    Vectors are whole numbers. Trigrams are bound and counted in slices, so that memory follows neither the number of
+    different trigrams nor the length of a text.
+    """
+    n = len(offsets) - 1
+    for lo in range(0, n, ROWS):
+        hi = min(lo + ROWS, n)
+        part = offsets[lo : hi + 1]
+        yield lo, hi, *_bundle(data[part[0] : part[-1]], part - part[0])
+
+
+def _bundle(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = len(offsets) - 1
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -63,36 +77,38 @@ def text_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     kinds = letter_classes()[points]
     # A gap before and after every text; runs of other characters are one gap.
     seq = np.zeros(len(kinds) + 2 * rows, np.uint8)
-    row_of = np.repeat(np.arange(rows), np.diff(first))
+    row_of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(first))
     seq[np.arange(len(kinds)) + 2 * row_of + 1] = kinds
-    owner = np.repeat(np.arange(rows), np.diff(first) + 2)
+    owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(first) + 2)
     keep = seq > 0
     has = np.bincount(owner[keep], minlength=rows) > 0
     keep[1:] |= seq[:-1] > 0
-    starts = np.searchsorted(owner, np.arange(rows))
-    keep[starts] = True
+    keep[np.searchsorted(owner, np.arange(rows))] = True
     seq, owner = seq[keep].astype(np.int32), owner[keep]
+    out = np.zeros((rows, DIM))
     if len(seq) < 3:
-        return np.zeros((rows, DIM), np.float32), has
+        return out, has
     ids = (seq[:-2] * CLASSES + seq[1:-1]) * CLASSES + seq[2:]
     ok = (owner[:-2] == owner[2:]) & (seq[1:-1] > 0)
     ids, owner = ids[ok], owner[:-2][ok]
     seen = np.zeros(CLASSES**3, bool)
     seen[ids] = True
     found = np.flatnonzero(seen)
-    if not len(found):
-        return np.zeros((rows, DIM), np.float32), has
     rank = np.zeros(CLASSES**3, np.int32)
     rank[found] = np.arange(len(found))
-    a, b, c = letter_vectors()
-    bound = a[found // CLASSES**2] * b[found // CLASSES % CLASSES] * c[found % CLASSES]
-    out = np.empty((rows, DIM), np.float32)
     slots = rank[ids]
-    for lo in range(0, rows, 256):
-        hi = min(lo + 256, rows)
-        i, j = np.searchsorted(owner, [lo, hi])
-        counts = np.bincount((owner[i:j] - lo) * len(found) + slots[i:j], minlength=(hi - lo) * len(found))
-        out[lo:hi] = counts.reshape(hi - lo, len(found)).astype(np.float32) @ bound
+    a, b, c = letter_vectors()
+    if len(found) > SLICE:
+        order = np.argsort(slots, kind="stable")
+        slots, owner = slots[order], owner[order]
+    for lo in range(0, len(found), SLICE):
+        f = found[lo : lo + SLICE]
+        bound = a[f // CLASSES**2] * b[f // CLASSES % CLASSES] * c[f % CLASSES]
+        i, j = (0, len(slots)) if len(found) <= SLICE else np.searchsorted(slots, [lo, lo + len(f)])
+        counts = np.bincount(owner[i:j] * len(f) + (slots[i:j] - lo), minlength=rows * len(f)).reshape(rows, len(f))
+        # Sums of whole numbers below 2**24 are exact in four bytes, in whatever order they are added.
+        kind = np.float32 if j - i < 1 << 24 else np.float64
+        out += counts.astype(kind) @ bound.astype(kind, copy=False)
     return out, has
 
 
@@ -101,7 +117,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Prototypes by language: one vector per language reaches the driver, whatever the rows.
+    """Prototypes by language in steps of 2**-20: one vector per language reaches the driver, whatever the rows.
 
     The sums are integers (unit vectors in steps of 2**-20), so they don't depend on the order.
     """
@@ -111,11 +127,12 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in blocks(batch.column(1), 1 << 19):
-                v, has = text_vectors(data, offsets)
-                v = np.rint(_unit(v) * SCALE)
-                for name in sorted(set(langs[lo:hi])):
-                    sums[name] = sums.get(name, 0) + v[has & (langs[lo:hi] == name)].sum(axis=0).astype(np.int64)
+            for lo, _, data, offsets in blocks(batch.column(1), 1 << 19):
+                for i, j, v, has in text_vectors(data, offsets):
+                    v = np.rint(_unit(v) * SCALE).astype(np.int64)
+                    own = langs[lo + i : lo + j]
+                    for name in sorted(set(own)):
+                        sums[name] = sums.get(name, 0) + v[has & (own == name)].sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(v) for v in sums.values()], schema[1].type)], schema=schema)
 
@@ -131,13 +148,14 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
     protos = np.zeros((len(names), DIM))
     for r in rows:
         protos[names.index(r.lang), r.pos] = r.v
-    return names, _unit(protos).astype(np.float32)
+    return names, np.rint(_unit(protos) * SCALE).astype(np.int64)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (cosine with the best prototype, 0 to 1); the text itself goes on if asked."""
+    """Add ``lang_pred`` and ``score`` (cosine with the best prototype, 0 to 1), in place of columns of these names; the text itself goes on if asked."""
     names, protos = model
-    keys = [c for c in docs.columns if c != text]
+    size = np.linalg.norm(protos, axis=1) if len(names) else np.ones(1)
+    keys = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     plan = docs.select(*keys, text)
     kept = plan.columns if keep_text else keys
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name in kept] + ["lang_pred string", "score double"])
@@ -147,12 +165,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         for batch in batches:
             best, score = [], []
             for _, _, data, offsets in blocks(batch.column(len(keys)), 1 << 19):
-                v, has = text_vectors(data, offsets)
-                has &= len(names) > 0
-                cos = _unit(v) @ protos.T if len(names) else np.zeros((len(v), 1))
-                pick = np.where(has, cos.argmax(axis=1), len(names))
-                best.append(label[pick])
-                score.append(np.where(has, np.clip(cos.max(axis=1), 0, 1), 0).astype(np.float64))
+                for _, _, v, has in text_vectors(data, offsets):
+                    has &= len(names) > 0
+                    # Products of whole numbers: equal texts get equal answers whatever stands beside them.
+                    dot = v.astype(np.int64) @ protos.T if len(names) else np.zeros((len(v), 1))
+                    cos = dot / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None] / size
+                    best.append(label[np.where(has, cos.argmax(axis=1), len(names))])
+                    score.append(np.where(has, np.clip(cos.max(axis=1), 0, 1), 0))
             cols = [batch.column(i) for i in range(len(kept))]
             cols += [pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "lang_pred", "score"])

@@ -37,6 +37,8 @@ BLOCK = 1000
 SAMPLE_EDGE = np.uint64((1 << 64) // 3)
 BUCKET_TOKENS = 1_000_000
 BLOCK_CLASSES = 8_000
+#: Bytes of packed shingles in a block of classes.
+BLOCK_BYTES = 16 << 20
 MATRIX = 1 << 25
 
 
@@ -98,7 +100,7 @@ def live_classes(found: DataFrame) -> DataFrame:
     """set_key, n, text_hash of the classes that may have a link, by the shingles no other class has."""
     classes = found.where("sample is not null")
     size = classes.agg(F.count("*"), F.coalesce(F.sum(F.length("sample")), F.lit(0))).first()
-    n_blocks, n_buckets = parts_for(size[0], BLOCK_CLASSES), parts_for(size[1] // 6, BUCKET_TOKENS)
+    n_blocks, n_buckets = max(parts_for(size[0], BLOCK_CLASSES), parts_for(size[1], BLOCK_BYTES)), parts_for(size[1] // 6, BUCKET_TOKENS)
     dealt = classes.withColumn("block", F.pmod("set_key", F.lit(n_blocks)).cast("int"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:

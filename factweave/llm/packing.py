@@ -43,7 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        #: Strings that the tokenizer takes for one id; texts that hold one go the slow way.
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import base64
@@ -55,7 +56,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _PLAIN.search(text):
+        if self.fast is not None and not _PLAIN.search(text) and not any(a in text for a in self.added):
             return np.asarray(self.fast.encode_ordinary(text), "<u4")
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -69,7 +70,7 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
+    rest = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path, ranks_path, pattern)
@@ -81,14 +82,15 @@ def tokenize(docs: DataFrame, path: str, ranks_path: str | None = None, pattern:
                     part = ids[start : start + length]
                     out.append((doc_id, piece, start, length, zlib.crc32(part.tobytes())) + ((part.tolist(),) if with_ids else ()))
             if out:
+                types = [batch.schema.field(0).type, *rest]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return in_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, ddl)
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
+    return in_arrow(docs.select("doc_id", "text"), run, ddl)
 
 
 def best_fit(lengths: np.ndarray, window: int, max_docs: int, max_cost: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item. Residuals are kept as shares of each capacity."""
+    """Bin and offset of each item. Residuals are kept as shares of each capacity. An item over a capacity by itself has a bin alone."""
     order = np.argsort(-lengths, kind="stable")
     caps = np.array([window, max_docs, max_cost], float)
     w = np.array(weights, float)
@@ -114,7 +116,7 @@ def best_fit(lengths: np.ndarray, window: int, max_docs: int, max_cost: float, w
             open_n, made = open_n + 1, made + 1
         bins[i], offsets[i] = ids[at], window - left[at, 0]
         left[at] -= need
-        if left[at, 0] < least or left[at, 1] < 1:  # nothing fits any more
+        if left[at, 0] < least or left[at, 1] < 1 or left[at, 2] < least * least:  # nothing fits any more
             open_n -= 1
             left[at], ids[at] = left[open_n], ids[open_n]
     return bins, offsets

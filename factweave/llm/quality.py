@@ -4,13 +4,14 @@ Bytes are embedded, learned filters of eight bytes run over the whole text with
 four, their largest answers are pooled in overlapping chunks of 512 bytes (every 256),
 and the chunks' mean and maximum are combined by a logistic layer into one probability.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` rows, chosen by a hash of
-doc_id; of each, ``TRAIN_CHUNKS`` chunks spread over the text) to the driver. Scoring
-covers every byte of every text.
+Training takes a bounded sample of labelled rows to the driver: whole texts in the order of a hash of
+doc_id, as long as they are ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes at most. Training and scoring cover every
+byte of a text alike.
 
 Defined cases: null is an empty text and gets the score of no evidence; without any
 labelled row, or with one class only, all scores are the share of class 1 (0.5 when
-there is none); equal texts score alike.
+there is none); equal texts score alike, whatever stands beside them: the trained numbers are put in steps so that
+all sums are of whole numbers.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks
+from .shared import blocks, in_arrow
 
 EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 4, 24
 HOP = 256
 SAMPLE = 6000
-TRAIN_CHUNKS = 8
+SAMPLE_BYTES = 24 << 20
+STEPS = 127
 PIECE = 2 * HOP + WIDTH - STRIDE
 
 
@@ -42,17 +44,27 @@ class Net:
             "bias": np.zeros(1, np.float32),
         }
         self.constant: float | None = None
+        self.settle()
+
+    def settle(self) -> None:
+        """Put bytes' vectors and filters in steps: sums of 64 products of two numbers up to 127 are exact in four bytes."""
+        scale = 1.0
+        self.q = {}
+        for name in ("emb", "w"):
+            step = max(float(np.abs(self.p[name]).max()), 1e-9) / STEPS
+            self.q[name] = np.rint(self.p[name] / step).astype(np.float32)
+            scale *= step
+        self.scale = scale
 
     def conv(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Filter answers at every stride of a byte array (its length a multiple of the stride).
+        """Filter answers (in steps) at every stride of a byte array (its length a multiple of the stride).
 
         The windows at ``ends``, the last of each text, read zeros as in training, not the next text.
         """
-        half = STRIDE * EMBED
-        x = self.p["emb"][data].reshape(-1, half)
-        y = x @ np.concatenate([self.p["w"][:half], self.p["w"][half:]], axis=1)
+        half, emb, w = STRIDE * EMBED, self.q["emb"], self.q["w"]
+        y = emb[data].reshape(-1, half) @ np.concatenate([w[:half], w[half:]], axis=1)
         out = y[:, :FILTERS]
-        last = y[ends, :FILTERS] + np.tile(self.p["emb"][0], STRIDE) @ self.p["w"][half:]
+        last = y[ends, :FILTERS] + np.tile(emb[0], STRIDE) @ w[half:]
         out[:-1] += y[1:, FILTERS:]
         out[ends] = last
         return out
@@ -71,26 +83,25 @@ class Net:
         chunk[first[1:] - 1] = top[first[1:] - 1]  # the last half of a text has no neighbour
         count = np.maximum(halves - 1, 1)
         last = halves > 1
-        chunk = np.maximum(chunk + self.p["b"], 0)
+        chunk = np.rint(np.maximum(chunk * self.scale + self.p["b"], 0) * (1 << 16)).astype(np.int64)
         for_mean = chunk.copy()
         for_mean[first[1:][last] - 1] = 0  # it is covered by the chunk before
         mean = np.add.reduceat(for_mean, first[:-1], axis=0) / count[:, None]
         high = np.maximum.reduceat(chunk, first[:-1], axis=0)
-        z = np.concatenate([mean, high], axis=1) @ self.p["out"] + self.p["bias"]
-        return 1 / (1 + np.exp(-z.astype(np.float64)))
+        z = (np.concatenate([mean, high], axis=1) / (1 << 16) * self.p["out"].astype(np.float64)).sum(axis=1) + float(self.p["bias"][0])
+        return 1 / (1 + np.exp(-z))
 
 
 def _training_chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x chunks x PIECE) bytes and which chunks exist."""
-    x = np.zeros((len(texts), TRAIN_CHUNKS, PIECE), np.uint8)
-    there = np.zeros((len(texts), TRAIN_CHUNKS), bool)
-    for i, t in enumerate(texts):
-        n = max(1, -(-(len(t) + WIDTH - STRIDE) // HOP) - 1)
-        for j, c in enumerate(sorted(set(np.linspace(0, n - 1, TRAIN_CHUNKS).round().astype(int)))):
+    """Bytes of all chunks (chunks x PIECE) and each text's first one."""
+    counts = [max(1, -(-(len(t) + WIDTH - STRIDE) // HOP) - 1) for t in texts]
+    first = np.concatenate([[0], np.cumsum(counts)])
+    x = np.zeros((first[-1], PIECE), np.uint8)
+    for t, lo, n in zip(texts, first[:-1].tolist(), counts, strict=True):
+        for c in range(n):
             part = np.frombuffer(t[c * HOP : c * HOP + PIECE], np.uint8)
-            x[i, j, : len(part)] = part
-            there[i, j] = True
-    return x, there
+            x[lo + c, : len(part)] = part
+    return x, first
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 11) -> Net:
@@ -98,7 +109,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
     if not len(labels) or labels.min() == labels.max():
         net.constant = float(labels.mean()) if len(labels) else 0.5
         return net
-    x, there = _training_chunks(texts)
+    x, first = _training_chunks(texts)
+    sizes = np.diff(first)
     y = labels.astype(np.float32)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -109,16 +121,16 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
         order = r.permutation(len(y))
         for lo in range(0, len(y), batch):
             own = order[lo : lo + batch]
-            p, xb, tb = net.p, x[own], there[own]
-            flat = xb[tb]
+            p, m_own = net.p, sizes[own]
+            starts = np.cumsum(m_own) - m_own
+            flat = x[np.arange(m_own.sum()) + np.repeat(first[own] - starts, m_own)]
             e = p["emb"][flat].reshape(len(flat), PIECE // STRIDE, half)
             a = e[:, :-1] @ p["w"][:half] + e[:, 1:] @ p["w"][half:]
             at = a.argmax(axis=1)
             top = np.take_along_axis(a, at[:, None], 1)[:, 0] + p["b"]
             h = np.maximum(top, 0)
-            doc = np.repeat(np.arange(len(own)), tb.sum(axis=1))
-            starts = np.searchsorted(doc, np.arange(len(own)))
-            n = tb.sum(axis=1)[:, None]
+            doc = np.repeat(np.arange(len(own)), m_own)
+            n = m_own[:, None]
             mean, high = np.add.reduceat(h, starts, axis=0) / n, np.maximum.reduceat(h, starts, axis=0)
             z = np.concatenate([mean, high], axis=1) @ p["out"] + p["bias"]
             gz = (1 / (1 + np.exp(-z)) - y[own]) * weight[own] / len(own)
@@ -137,28 +149,34 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] ** 2 - v[k])
                 p[k] -= (rate * (0.5 ** (epoch // 3)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    net.settle()
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """At most ``limit`` labelled texts, the same for the same rows."""
+def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Whole labelled texts, at most ``limit`` and ``most_bytes`` together, the same for the same rows."""
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
     tagged = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y"))
     chosen = tagged.orderBy(key, "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y")).orderBy("doc_id")
-    got = rows.select(F.col("text").cast("binary").alias("text"), "y").collect()
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("n"), F.first("_y").alias("y")).orderBy(key, "doc_id").collect()
+    within = np.cumsum([r.n for r in sizes]) <= most_bytes
+    taken = docs.sparkSession.createDataFrame([(r.doc_id, int(r.y)) for r, ok in zip(sizes, within, strict=True) if ok], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
+    # Of rows with one doc_id the shortest text, then the least.
+    least = F.min(F.struct(F.octet_length("text").alias("n"), F.col("text").cast("binary").alias("t")))["t"]
+    got = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(least.alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()
     return [bytes(r.text) for r in got], np.array([r.y for r in got], np.int64)
 
 
 def score(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
-    """Add ``score`` to (key columns, text)."""
-    keys = [c for c in docs.columns if c != text]
+    """Add ``score`` to (key columns, text), in place of a column of that name."""
+    keys = [c for c in docs.columns if c not in (text, "score")]
     plan = docs.select(*keys, text)
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name != text] + ["score double"])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name in keys] + ["score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [net.score(data, offsets) for _, _, data, offsets in blocks(batch.column(len(keys)), 1 << 19)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))] + [pa.array(np.concatenate(got) if got else [], pa.float64())], [*keys, "score"])
 
-    return plan.mapInArrow(run, ddl)
+    return in_arrow(plan, run, ddl)

@@ -5,8 +5,9 @@ emits a row per page. Grey and RGB samples of 8 or 16 bits, chunky, are supporte
 byte orders; uncompressed, PackBits, LZW and deflate; predictor 1 and 2.
 ``encode`` writes the same kinds of file.
 
-Defined cases: a null or empty file has no page; a file that can't be read gives one row
-with page -1 and its error; a directory chain that returns to itself is an error.
+Defined cases: a null or empty file has no page; a file that can't be read gives the pages before its fault
+and a row with page -1 and the error; a directory chain that returns to itself, and an image that is larger than
+the file's bytes can give, are errors.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import blocks
+from .shared import blocks, in_arrow
 
 # Fixed values of the TIFF 6.0 format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -130,6 +131,8 @@ def lzw(raw: bytes) -> bytes:
 
 
 UNPACK = {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress}
+#: No compression here makes more than so many bytes of one (deflate's bound is the highest).
+MOST_GROWTH = 1040
 PACK = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda raw: zlib.compress(raw, 1)}
 
 
@@ -211,9 +214,13 @@ def pages(raw: bytes) -> Iterator[np.ndarray]:
         if bits not in ({8}, {16}) or t.get(PLANAR, (1,))[0] != 1:
             raise ValueError("only chunky samples of 8 or 16 bits are supported")
         kind = np.dtype(np.uint8 if bits == {8} else np.uint16)
+        if not (w and h and s) or w * h * s * kind.itemsize > len(raw) * MOST_GROWTH:
+            raise ValueError(f"an image of {w} x {h} x {s} samples can't be in {len(raw)} bytes")
         unpack = UNPACK[t.get(COMPRESSION, (NONE,))[0]]
         tiled = TILE_OFFSETS in t
         tw, th = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if tiled else (w, min(t.get(ROWS_PER_STRIP, (h,))[0], h))
+        if not (tw and th) or tiled and tw * th * s * kind.itemsize > len(raw) * MOST_GROWTH:
+            raise ValueError("a strip or tile of no or impossible size")
         places, sizes = (t[TILE_OFFSETS], t[TILE_COUNTS]) if tiled else (t[STRIP_OFFSETS], t[STRIP_COUNTS])
         image = np.zeros((h, w, s), kind)
         across = -(-w // tw)
@@ -239,14 +246,14 @@ def decode(files: DataFrame, key: str, media: str = "media") -> DataFrame:
                 try:
                     for n, image in enumerate(pages(raw)):
                         out.append((n, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     out.append((-1, None, None, None, None, f"{type(e).__name__}: {e}"))
                 if out:
                     n = len(out)
                     cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), *cols], [key, "page", "width", "height", "samples", "pixels", "error"])
 
-    return files.select(key, media).mapInArrow(run, ddl)
+    return in_arrow(files.select(key, media), run, ddl)
 
 
 # ---- texts as images -------------------------------------------------------------------

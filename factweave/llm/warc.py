@@ -36,12 +36,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
+#: Pages name no time of their capture, so all records carry this one.
+DATE = "2020-01-01T00:00:00Z"
+
+
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record: an HTTP response, or a revisit that has its headers alone."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -58,10 +62,12 @@ def inflate(source: BinaryIO) -> Iterator[bytes]:
     d = zlib.decompressobj(31)
     while raw := source.read(CHUNK):
         while raw:
-            yield d.decompress(raw)
-            raw = d.unused_data
+            yield d.decompress(raw, CHUNK)
+            raw = d.unconsumed_tail
             if d.eof:
-                d = zlib.decompressobj(31)
+                raw, d = d.unused_data, zlib.decompressobj(31)
+    if rest := d.flush():
+        yield rest
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -186,6 +192,22 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     return stash(dealt.mapInArrow(run, "archive string, offset bigint, length bigint, record_id string"), "warc-index")
 
 
+def read_sidecars(archives: DataFrame, root: str) -> DataFrame:
+    """The index again, from the text files beside the archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open(f"{name}.idx") as f:
+                    rows = [line.split(" ", 2) for line in f.read().decode().splitlines()]
+                if rows:
+                    o, n, i = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"archive": [name] * len(rows), "offset": pa.array(map(int, o), pa.int64()), "length": pa.array(map(int, n), pa.int64()), "record_id": list(i)})
+
+    return archives.select("archive").mapInArrow(run, "archive string, offset bigint, length bigint, record_id string")
+
+
 def read_archives(index: DataFrame, root: str) -> DataFrame:
     """Open each member at its offset: page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
 

@@ -204,10 +204,9 @@ def test_chains_take_the_best_order():
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    texts = ["a b", None, "", "word " * 5000, "žluťoučký kůň 😀", "x" * 300, "<|endoftext|>"] + ["same text here"] * 30
+    texts = ["a b", None, "", "word " * 5000, "žluťoučký kůň 😀", "x" * 300, "x <|endoftext|> y"] + ["same text here"] * 30
     rows = packing.pack_documents(make(spark, texts), *tokenizer_files(), group=10).collect()
     t = Tokenizer.from_file(tokenizer_files()[0])
-    t.encode_special_tokens = True
     for i, text in enumerate(texts):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
@@ -240,6 +239,40 @@ def test_warc(spark):
     assert got == sorted([(3, "revisit", 1, 4), (1, "response", None, 4), (1, "response", None, 4), (2, "response", None, 0), (5, "revisit", 2, 0), (4, "response", None, 14), (None, "revisit", 1, 4)], key=str)
 
 
+def test_sidecar_index_and_members(spark, tmp_path):
+    """The index beside an archive names each member; each is one record with its mandatory headers."""
+    import zlib
+
+    rows = [(i, f"http://h/{i}", None if i % 7 == 3 else f"<p>{i % 5}</p>" * (1 + i % 3)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    raw, clean = f"file://{tmp_path}/raw", f"file://{tmp_path}/clean"
+    archives = warc.write_archives(warc.mark_revisits(pages), raw)
+    index = warc.normalise(archives, raw, clean)
+    assert sorted(index.collect()) == sorted(warc.read_sidecars(archives, clean).collect())
+    for name, own in index.toPandas().groupby("archive"):
+        data, end = (tmp_path / "clean" / name).read_bytes(), 0
+        for r in own.sort_values("offset").itertuples():
+            assert r.offset == end
+            end += r.length
+            d = zlib.decompressobj(31)
+            body = d.decompress(data[r.offset : end])
+            assert d.eof and not d.unused_data
+            ((fields, record),) = warc.records(iter([body]))
+            assert record == body and fields["warc-record-id"] == r.record_id
+            assert {"warc-type", "warc-date", "warc-record-id", "content-length"} <= set(fields)
+        assert end == len(data)
+
+
+def test_inflating_in_bounded_chunks():
+    import gzip
+    import io
+
+    body = b"a" * (3 << 20) + bytes(range(256)) * 50
+    packed = gzip.compress(body) + gzip.compress(b"second")
+    parts = list(warc.inflate(io.BytesIO(packed)))
+    assert b"".join(parts) == body + b"second" and max(map(len, parts)) <= warc.CHUNK
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
 @pytest.mark.parametrize("layout", [{"order": ">"}, {"tile": (16, 32)}, {"predictor": 1, "rows_per_strip": 5}])
 def test_tiff_round_trip(compression, layout):
@@ -259,8 +292,33 @@ def test_text_images(spark):
         raw += b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), crc32(raw[-32:]))
     assert got[0][1:] == got[3][1:]
-    bad = spark.createDataFrame([(1, b"no"), (2, None)], "k int, media binary")
-    assert [(r.k, r.page, r.error) for r in tiff.decode(bad, "k").collect()] == [(1, -1, "ValueError: not a TIFF file")]
+
+
+def test_broken_tiff_files_are_rows(spark):
+    import struct
+
+    def with_tag(tag, value):
+        raw = bytearray(good)
+        at = struct.unpack_from("<I", raw, 4)[0]
+        for i in range(struct.unpack_from("<H", raw, at)[0]):
+            if struct.unpack_from("<H", raw, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<I", raw, at + 10 + 12 * i, value)
+        return bytes(raw)
+
+    good = tiff.encode([np.arange(200, dtype=np.uint8).reshape(10, 20)])
+    broken = [b"no", with_tag(tiff.WIDTH, 0), with_tag(tiff.WIDTH, 1 << 31), with_tag(tiff.ROWS_PER_STRIP, 0), with_tag(tiff.STRIP_OFFSETS, 1 << 30), with_tag(tiff.COMPRESSION, 7), good[:40], good[:9]]
+    files = spark.createDataFrame([*enumerate([*map(bytearray, broken), bytearray(good)]), (99, None)], "k int, media binary")
+    got = tiff.decode(files, "k").collect()
+    assert sorted((r.k, r.page) for r in got) == [*((i, -1) for i in range(len(broken))), (len(broken), 0)]
+    assert all(r.error for r in got if r.page < 0)
+
+
+def test_columns_that_clash_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the one and only text", "x", 7.0), (2, None, "y", 8.0)], DOCS + ", lang_pred string, score double")
+    found = langid.identify(docs, langid.learn(docs.withColumn("lang", F.lit("en"))), keep_text=True)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score"] and sorted((r.doc_id, r.lang_pred) for r in found.collect()) == [(1, "en"), (2, "und")]
+    scored = quality.score(docs, quality.train([], np.zeros(0)))
+    assert sorted(map(tuple, scored.collect())) == [(1, "x", 0.5), (2, "y", 0.5)]
 
 
 @pytest.mark.parametrize(("block", "run"), [(500, 256), (1 << 20, 7)])
@@ -326,7 +384,40 @@ def test_quality_does_not_depend_on_the_next_text():
     for i in range(40):
         data = own + r.integers(1, 255, 300, np.uint8).tobytes() * (i > 0)
         got.append(net.score(np.frombuffer(data, np.uint8), np.array([0, len(own), len(data)] if i else [0, len(own)]))[0])
-    assert max(got) - min(got) < 1e-6
+    assert len(set(got)) == 1
+
+
+def test_equal_texts_get_equal_answers_whatever_stands_beside_them(spark):
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    names, protos = langid.learn(docs)
+    net = quality.train(*quality.sample(docs, spark.read.parquet(f"{base}/labels.parquet")))
+    own = "the same text in many blocks, that is all there is to say of it".encode()
+    r = np.random.default_rng(3)
+    scores, vectors = set(), set()
+    for n in range(12):
+        others = [r.integers(97, 123, int(r.integers(0, 3000)), np.uint8).tobytes() for _ in range(n)]
+        texts = [*others[: n // 2], own, *others[n // 2 :]]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        scores.add(float(net.score(data, offsets)[n // 2]))
+        vectors |= {v[n // 2 - lo].tobytes() for lo, hi, v, _ in langid.text_vectors(data, offsets) if lo <= n // 2 < hi}
+    assert len(scores) == len(vectors) == 1 and protos.dtype == np.int64
+
+
+def test_trigrams_in_slices(monkeypatch):
+    """Many different letters are bound in slices, with the sums of the whole."""
+    r = np.random.default_rng(4)
+    texts = ["".join(map(chr, r.integers(0x3B1, 0x3F0, n))).encode() for n in (5000, 3, 0, 900)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ((_, _, whole, _),) = langid.text_vectors(data, offsets)
+    monkeypatch.setattr(langid, "SLICE", 100)
+    monkeypatch.setattr(langid, "ROWS", 3)
+    parts = np.concatenate([v for _, _, v, _ in langid.text_vectors(data, offsets)])
+    assert np.array_equal(whole, parts)
+    a, b, c = langid.letter_vectors()
+    kinds = [0, *(langid.letter_classes()[ord(ch)] for ch in texts[1].decode()), 0]
+    plain = sum(a[kinds[i]] * b[kinds[i + 1]] * c[kinds[i + 2]] for i in range(len(kinds) - 2))
+    assert np.array_equal(whole[1], plain)
 
 
 ODD = [(1, "some words that are here in a row for all", "a", 1), (1, "some words that are here in a row for all", "a", 1), (None, None, None, None), (None, "null id " * 40, "b", 2), (2, "", "", 3), (3, "long text " * 60_000, "c", 4), (4, "\t \n", "d", 5)]
