@@ -16,7 +16,7 @@ KEYBOARD_WALKS = "qwerty qwertyuiop asdf asdfgh asdfghjkl zxcv zxcvbn poiuy lkjh
 PLACEHOLDER_LOCALS = "test fake fakeemail asdf qwerty abc abc123 admin example demo sample noreply nomail".split()
 DISPOSABLE_DOMAINS = "mailinator.com guerrillamail.com tempmail.com temp-mail.org 10minutemail.com yopmail.com trashmail.com sharklasers.com getnada.com dispostable.com".split()
 KEY_FRAGMENTS = "qwe wer ert rty tyu yui uio iop asd sdf dfg fgh ghj hjk jkl zxc xcv cvb vbn bnm".split()
-RARE_BIGRAMS = "jd jk jq jx jz qd qk qx qz vq wq xj xq zx xv fq pq bq gq hq kq mq nq".split()
+RARE_BIGRAMS = "jd|jk|jq|jx|jz|qd|qk|qx|qz|vq|wq|xj|xq|zx|xv|fq|pq|bq|gq|hq|kq|mq|nq"
 FUNCTION_WORDS = (
     "the a an to of in on for and or is are am be we i you it my our your me us this that with about please would like want need can could have has do does will more info information demo help hi hello thanks thank"
 ).split()
@@ -91,7 +91,7 @@ def score_name(v: Column) -> Column:
             (ascii_word(letters) & ~has_vowel(letters), "no_vowels"),
             (F.exists(parts, gibberish), "gibberish_token"),
             ((diversity(compact) < 0.3) & (F.length(compact) >= 5), "low_entropy", 0.35),
-            (ascii_word(compact) & F.lower(compact).rlike("|".join(RARE_BIGRAMS)), "implausible_bigram", 0.3),
+            (ascii_word(compact) & F.lower(compact).rlike(RARE_BIGRAMS), "implausible_bigram", 0.3),
         )
     )
 
@@ -163,3 +163,23 @@ def distrust(scores: dict[str, Column]) -> dict[str, Column]:
     failures = sum((c["score"] < PASS).cast("int") for c in scores.values())
     low = F.struct(F.lit(0.4).alias("score"), F.lit("composite_distrust").alias("reason"))
     return {k: F.when((failures >= 2) & (c["score"] >= PASS), low).otherwise(c) for k, c in scores.items()}
+
+
+# What a form says of a failing field.
+MESSAGES = {
+    "name": "Please enter your full name.\nThe current name appears incomplete or invalid.",
+    "email": "Please enter a valid email address.\nThis email doesn't look deliverable.",
+    "phone": "Please enter a valid phone number.\nThis number doesn't look real.",
+    "message": "Please describe your enquiry in natural language.\nThe current message appears to contain random text.",
+}
+
+
+def field_message(field: str, check: Column) -> Column:
+    """The form's message for a field below the pass mark, else null."""
+    return F.when(check["score"] < PASS, MESSAGES[field])
+
+
+def form_errors(checks: dict[str, Column]) -> Column:
+    """Map of failing fields to messages."""
+    every = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*(field_message(k, c) for k, c in checks.items())))
+    return F.map_filter(every, lambda _, v: v.isNotNull())

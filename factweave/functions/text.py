@@ -59,6 +59,14 @@ def verify_quotes(rows: DataFrame, quote: str = "quote", page: str = "text", thr
     return named.withColumn("check", _check(raw, F.col(page), F.col("_near"), F.col("_text"), threshold)).drop("_near", "_text")
 
 
+def verify_against(quotes: DataFrame, pages: DataFrame, keys: list[str], quote: str = "quote", page_text: str = "text", threshold: float = APPROXIMATE) -> DataFrame:
+    """``quotes`` with ``check`` and ``normalized``; every page is put in canonical form once, before quotes meet it."""
+    ready = pages.select(*keys, F.col(page_text).alias("_page"), canonical(F.col(page_text)).alias("_text"))
+    raw = F.trim(F.coalesce(quote, F.lit("")))
+    named = quotes.withColumn("normalized", canonical(raw)).join(ready, keys, "left")
+    return named.withColumn("check", _check(raw, F.col("_page"), F.col("normalized"), F.col("_text"), threshold)).drop("_page", "_text")
+
+
 def _check(raw: Column, page: Column, near: Column, text: Column, threshold: float) -> Column:
     similarity = overlap(near, text)
     none = F.lit(None).cast("double")
@@ -112,6 +120,15 @@ def slug(title: Column, decompose: bool = True) -> Column:
     return F.coalesce(F.nullif(F.left(s, F.lit(80)), F.lit("")), F.lit("document"))
 
 
+def metric_id(taxonomy_key: Column, period: Column, code: Column) -> Column:
+    return F.concat_ws(":", taxonomy_key, F.coalesce(period, F.lit("?")), code)
+
+
+def run_id(document: Column, input_hash: Column) -> Column:
+    """The same for the same input, so that a repeated run finds its own rows."""
+    return short_hash(F.concat_ws(":", document.cast("string"), input_hash))
+
+
 def safe_filename(name: Column) -> Column:
     base = F.regexp_extract(F.coalesce(name, F.lit("")), "[^/\\\\]*$", 0)
     return F.coalesce(F.nullif(F.left(F.regexp_replace(base, "[^A-Za-z0-9._-]", "_"), F.lit(200)), F.lit("")), F.lit("document.pdf"))

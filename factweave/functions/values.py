@@ -38,7 +38,7 @@ CURRENCIES = [
 # Metric taxonomy; the first pattern that matches decides.
 _PAT = "(?:pat|profit after tax|net profit)"
 TAXONOMY = [
-    ("pat_adjusted", f"adjusted\\s*{_PAT}|{BEFORE}apat{AFTER}"),
+    ("pat_adjusted", f"adjusted\\s*{_PAT}|apat"),
     ("pat_reported", f"reported\\s*{_PAT}|^pat{AFTER}|profit after tax|net profit"),
     ("eps_diluted", "diluted\\s*eps|eps.*diluted"),
     ("eps_basic", f"basic\\s*eps|eps.*basic|^eps{AFTER}"),
@@ -167,7 +167,7 @@ def format_period(text: Column, code: Column, as_of_year: int) -> Column:
 
 
 def taxonomy_key(label: Column) -> Column:
-    return F.coalesce(first_match(F.trim(label), TAXONOMY), F.lit("unmapped"))
+    return F.coalesce(first_match(label, TAXONOMY), F.lit("unmapped"))
 
 
 def grouped(value: Column, decimals: int = 0) -> Column:

@@ -105,14 +105,15 @@ def legacy_confidence(sections_without_evidence: Column, metrics_without_excerpt
 
 
 def coverage(metrics: DataFrame, sections: DataFrame, issues: DataFrame, key: str) -> DataFrame:
-    """Verified shares, conflicts, reviews and the tier of each analysis; four aggregates joined on the key."""
+    """Verified shares, conflicts, reviews and the tier of each analysis that has a metric, section or issue; three aggregates joined on the key."""
     verified = text.verbatim(F.col("evidence_verification"))
     m = metrics.groupBy(key).agg(F.count("*").alias("n_metrics"), F.count_if(verified).alias("n_metrics_ok"))
     s = sections.groupBy(key).agg(F.count("*").alias("n_sections"), F.count_if(verified).alias("n_sections_ok"))
     conflict = (F.col("severity") == "BLOCKER") | (F.col("code") == "CONTRADICTORY_METRIC_VALUE")
     i = issues.groupBy(key).agg(F.count_if(conflict).alias("n_conflicts"), F.count_if(F.col("severity") == "WARNING").alias("n_warnings"), F.count_if(F.col("code") == "MISSING_CRITICAL_FIELD").alias("n_missing"))
     counts = ["n_metrics", "n_metrics_ok", "n_sections", "n_sections_ok", "n_conflicts", "n_warnings", "n_missing"]
-    rows = reduce(lambda a, b: a.join(b, key, "left"), [m, s, i]).fillna(0, counts)
+    # A report without any metric has a row too.
+    rows = reduce(lambda a, b: a.join(b, key, "full"), [m, s, i]).fillna(0, counts)
     # Thousandths, half up, in whole numbers.
     share = lambda ok, n: F.when(F.col(n) == 0, F.lit(0)).otherwise(F.expr(f"(2000 * {ok} + {n}) div (2 * {n})"))
     rows = rows.withColumn("numeric", share("n_metrics_ok", "n_metrics")).withColumn("narrative", share("n_sections_ok", "n_sections"))
@@ -153,3 +154,11 @@ def illegal_transitions(changes: DataFrame) -> DataFrame:
     """Status changes that no edge of the table allows."""
     legal = changes.sparkSession.createDataFrame(TRANSITIONS, "from_status string, to_status string")
     return changes.join(F.broadcast(legal), ["from_status", "to_status"], "left_anti")
+
+
+def legal_transitions(changes: DataFrame) -> DataFrame:
+    """``changes`` as they are; the first illegal one ends the job when it is read."""
+    legal = changes.sparkSession.createDataFrame(TRANSITIONS, "from_status string, to_status string").withColumn("_ok", F.lit(True))
+    marked = changes.join(F.broadcast(legal), ["from_status", "to_status"], "left")
+    broken = F.raise_error(F.concat(F.lit("illegal transition "), "from_status", F.lit(" to "), "to_status")).cast("boolean")
+    return marked.where(F.when(F.col("_ok"), True).otherwise(broken)).drop("_ok")

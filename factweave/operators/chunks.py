@@ -44,10 +44,12 @@ def plan(pages: DataFrame, max_chars: int = MAX_CHARS, max_pages: int = MAX_PAGE
 
     made = docs.withColumn("all", F.aggregate("rows", zero, step, lambda a: put(a["done"], a["s"], a["e"], a["m"] > 0)))
     kept = made.withColumn("chunks", F.slice("all", 1, max_chunks)).withColumn("last", F.array_max(F.transform("rows", lambda r: r["page"])))
-    rows = kept.select("doc_id", "rows", "last", F.array_max(F.transform("chunks", lambda c: c["e"])).alias("covered"), F.posexplode("chunks").alias("chunk_idx", "c"))
-    own = F.filter("rows", lambda r: r["page"].between(F.col("c.s"), F.col("c.e")))
-    body = F.array_join(F.transform(own, lambda r: rendered(r["page"], r["text"])), "\n\n")
-    rows = rows.withColumn("body", body)
+    # Bodies are made before the explode, so that no chunk carries its whole document.
+    own = lambda c: F.filter("rows", lambda r: r["page"].between(c["s"], c["e"]))
+    body = lambda c: F.array_join(F.transform(own(c), lambda r: rendered(r["page"], r["text"])), "\n\n")
+    full = F.transform("chunks", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), body(c).alias("body")))
+    rows = kept.select("doc_id", "last", F.array_max(F.transform("chunks", lambda c: c["e"])).alias("covered"), F.posexplode(full).alias("chunk_idx", "c"))
+    rows = rows.withColumn("body", F.col("c.body"))
     return rows.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("c.s").cast("bigint").alias("page_start"), F.col("c.e").cast("bigint").alias("page_end"), F.length("body").cast("bigint").alias("char_count"), text.chunk_hash(F.col("c.s"), F.col("c.e"), F.col("body")).alias("input_hash"), (F.col("covered") < F.col("last")).alias("truncated"))
 
 

@@ -112,3 +112,22 @@ def failing_fields(scores: DataFrame, key: str, fields: list[str], limit: int =
     """A row per failing field of (key, <field>, <field>_check)."""
     rows = F.array(*(F.struct(F.lit(f).alias("field"), F.left(F.col(f), F.lit(limit)).alias("value"), F.col(f"{f}_check.score").alias("score"), F.col(f"{f}_check.reason").alias("reason")) for f in fields))
     return scores.select(key, F.explode(F.filter(rows, lambda r: r["score"] < 0.5)).alias("r")).select(key, "r.*")
+
+
+def newest_heartbeats(heartbeats: DataFrame, most: int = 20) -> DataFrame:
+    return heartbeats.orderBy(F.desc("last_heartbeat_at"), "instance_id").limit(most)
+
+
+def fleet_status(workers: DataFrame) -> DataFrame:
+    """One row: active if any worker is fresh."""
+    return workers.agg(F.count("*").alias("n_workers"), F.count_if("fresh").alias("n_fresh"), F.when(F.bool_or("fresh"), "active").otherwise("inactive").alias("status"))
+
+
+def without_instance(workers: DataFrame, gone: DataFrame) -> DataFrame:
+    """Workers but those that have signed off."""
+    return workers.join(gone.select("instance_id").distinct(), "instance_id", "left_anti")
+
+
+def token_valid(expires: Column, now: Column) -> Column:
+    """A reset token counts until it expires; a missing one doesn't."""
+    return F.coalesce(expires > now, F.lit(False))

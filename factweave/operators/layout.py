@@ -22,6 +22,11 @@ def round_point(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+def bounding_box(page: Column, x: Column, y: Column, width: Column, height: Column, rotation: Column) -> Column:
+    """Corners in two decimals."""
+    return F.struct(page.alias("page"), round_point(x).alias("x0"), round_point(y).alias("y0"), round_point(x + width).alias("x1"), round_point(y + height).alias("y1"), F.lit("pt").alias("unit"), F.lit("top-left").alias("origin"), rotation.alias("rotation"))
+
+
 def image_only(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "\\s", "")) < IMAGE_ONLY_CHARS
 
@@ -66,7 +71,11 @@ def with_blocks(items: DataFrame) -> DataFrame:
 
 def anchors(items: DataFrame) -> DataFrame:
     """Column anchors of each block: mean centres of items whose centres follow closely."""
-    rows = with_blocks(items).withColumn("cx", F.col("x") + F.col("width") / 2)
+    return block_anchors(with_blocks(items))
+
+
+def block_anchors(blocks: DataFrame) -> DataFrame:
+    rows = blocks.withColumn("cx", F.col("x") + F.col("width") / 2)
     w = Window.partitionBy(*PAGE, "block").orderBy("cx", "item")
     rows = _islands(rows.withColumn("_gap", F.col("cx") - F.lag("cx").over(w) > ANCHOR_GAP), [*PAGE, "block"], ["cx", "item"], F.col("_gap"), "col")
     return rows.groupBy(*PAGE, "block", "col").agg(F.avg("cx").alias("anchor"))
@@ -74,8 +83,9 @@ def anchors(items: DataFrame) -> DataFrame:
 
 def cells(items: DataFrame) -> DataFrame:
     """Cells of each table: items go to the nearest anchor (the left one on a tie), those of one cell are joined left to right."""
+    # Anchors as window values of the same rows: the blocks are made once, without a join to themselves.
     rows = with_blocks(items).withColumn("cx", F.col("x") + F.col("width") / 2)
-    columns = anchors(items).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(F.struct("col", "anchor"))).alias("a")).where(F.size("a") >= LEAST_COLUMNS)
+    columns = block_anchors(rows).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(F.struct("col", "anchor"))).alias("a")).where(F.size("a") >= LEAST_COLUMNS)
     rows = rows.join(columns, [*PAGE, "block"])
     nearest = F.array_min(F.transform("a", lambda a: F.struct(F.abs(a["anchor"] - F.col("cx")).alias("d"), a["col"].alias("col"))))
     rows = rows.withColumn("col", nearest["col"])
@@ -97,6 +107,7 @@ def grid(table_cells: DataFrame) -> DataFrame:
 
 
 def text_class(pages: DataFrame) -> DataFrame:
-    """TEXT_EXTRACTABLE, or OCR_REQUIRED below 50 characters a page."""
-    rows = pages.groupBy("doc_id").agg(F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("chars"), F.count("*").alias("n_pages"))
-    return rows.withColumn("text_class", F.when(F.col("chars") < OCR_CHARS * F.col("n_pages"), "OCR_REQUIRED").otherwise("TEXT_EXTRACTABLE"))
+    """TEXT_EXTRACTABLE, OCR_REQUIRED below 50 characters a page, or CORRUPTED if a page could not be read (``error``, where the reader gives one)."""
+    broken = F.coalesce(F.bool_or(F.col("error").isNotNull()), F.lit(False)) if "error" in pages.columns else F.lit(False)
+    rows = pages.groupBy("doc_id").agg(F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("chars"), F.count("*").alias("n_pages"), broken.alias("_broken"))
+    return rows.withColumn("text_class", F.when(F.col("_broken"), "CORRUPTED").when(F.col("chars") < OCR_CHARS * F.col("n_pages"), "OCR_REQUIRED").otherwise("TEXT_EXTRACTABLE")).drop("_broken")

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import values
 
 
+def with_period(points: DataFrame, as_of_year: int) -> DataFrame:
+    """Add ``p``, the period as a struct or null.
+
+    The explode keeps the struct whole: without it each field repeats the whole expression, beyond what Spark compiles.
+    """
+    return points.withColumn("p", F.explode(F.array(values.parse_period(F.col("period"), as_of_year))))
+
+
 def parsed_points(points: DataFrame, as_of_year: int) -> DataFrame:
     """(series, ord, period, value, code) with the period read; points whose period can't be read go."""
     finite = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
-    rows = points.withColumn("p", values.parse_period(F.col("period"), as_of_year)).where("p is not null")
+    rows = with_period(points, as_of_year).where("p is not null")
     return rows.select("series", "ord", "p.*", finite.alias("value"), F.coalesce("code", F.lit("U")).alias("code"), F.when(F.col("value").isNull(), "SYSTEM_GENERATED_MISSING").otherwise("REPORTED").alias("data_status"))
 
 
@@ -46,7 +54,7 @@ def densify(points: DataFrame) -> DataFrame:
 
 def series_issues(points: DataFrame, dense: DataFrame, as_of_year: int) -> DataFrame:
     """(series, code, n): unreadable and repeated periods, mixed cadence, actuals after a forecast."""
-    unread = points.where(values.parse_period(F.col("period"), as_of_year).isNull()).groupBy("series").agg(F.count("*").alias("n")).withColumn("issue", F.lit("CHART_UNPARSEABLE_PERIOD"))
+    unread = with_period(points, as_of_year).where("p is null").groupBy("series").agg(F.count("*").alias("n")).withColumn("issue", F.lit("CHART_UNPARSEABLE_PERIOD"))
     own = dense.where("ord is not null")
     repeats = own.groupBy("series", "sort_key").agg(F.count("*").alias("m")).where("m > 1").groupBy("series").agg(F.sum(F.col("m") - 1).alias("n")).withColumn("issue", F.lit("CHART_DUPLICATE_PERIOD"))
     mixed = own.groupBy("series").agg(F.countDistinct("period_type").alias("n")).where("n > 1").withColumn("issue", F.lit("CHART_MIXED_PERIOD_TYPES"))

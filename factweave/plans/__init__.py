@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the SQL it is held against where SQL can express it."""
 
-from . import metrics, states, texts  # noqa: F401
+from . import admin, metrics, reports, states, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

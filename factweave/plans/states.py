@@ -157,14 +157,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted and rejected messages per sender; tests hold it against a plain loop, and the stream against it."""
-    squeezed = _messages(spark, sf_dir).withColumn("user_id", F.col("user_id") % 3)
-    return jobs.rate_limited(squeezed, "user_id")
+    return jobs.rate_limited(_messages(spark, sf_dir), "user_id", minutes=24 * 60)
 
 
 @query()
 def duplicates_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    squeezed = _messages(spark, sf_dir).withColumn("user_id", F.col("user_id") % 3)
-    return jobs.duplicates(squeezed, ["user_id", "event_type"], 600)
+    return jobs.duplicates(_messages(spark, sf_dir), ["user_id", "event_type"], 24 * 3600)
 
 
 @query("SELECT user_id, count(*) AS n_messages, min(ts) AS first_at, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY user_id")

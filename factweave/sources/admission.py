@@ -47,11 +47,13 @@ def page_count(content: Column) -> Column:
 def admit(files: DataFrame, max_bytes: int = MAX_BYTES, max_pages: int = MAX_PAGES) -> DataFrame:
     """Add ``verdict``: ok, or the first rule that fails."""
     c = F.col("content")
+    # A declared type counts without its parameters and in any case; none is no fault, a missing name is one.
+    mime = F.trim(F.split_part(F.lower(F.coalesce("declared_mime", F.lit(""))), F.lit(";"), F.lit(1)))
     rules = [
         (c.isNull() | (F.length(c) == 0), "EMPTY"),
         (F.length(c) > max_bytes, "TOO_LARGE"),
-        (~F.lower("name").endswith(".pdf"), "BAD_EXTENSION"),
-        (~F.coalesce(F.col("declared_mime"), F.lit("application/pdf")).isin(*ACCEPTED), "BAD_MIME"),
+        (~F.lower(F.trim(F.coalesce("name", F.lit("")))).endswith(".pdf"), "BAD_EXTENSION"),
+        ((mime != "") & ~mime.isin(*ACCEPTED), "BAD_MIME"),
         (F.substring(c, 1, 5) != F.lit(b"%PDF-"), "BAD_MAGIC"),
         (encrypted(c), "ENCRYPTED"),
         (~has_end_mark(c), "TRUNCATED"),

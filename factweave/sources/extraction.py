@@ -7,12 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.values import CODES, clean_code
 
-METRIC = "struct<label:string,value:string,period:string,classificationCode:string,category:string,sourceQuote:string,sourcePage:string>"
-SECTION = "struct<heading:string,content:string,sourceQuote:string,sourcePage:string>"
-RISK = "struct<title:string,description:string,sourceQuote:string,sourcePage:string>"
-CATALYST = "struct<title:string,description:string,timeline:string,impact:string,sourceQuote:string,sourcePage:string>"
-THESIS = "struct<title:string,body:string,sourceQuote:string,sourcePage:string>"
-CHUNK = f"struct<metrics:array<{METRIC}>,sections:array<{SECTION}>,risks:array<{RISK}>,catalysts:array<{CATALYST}>,thesisPoints:array<{THESIS}>>"
+# Field names of a chunk's JSON. Every field is read as text, so that numbers and texts are both taken.
+QUOTED = ("sourceQuote", "sourcePage")
+METRIC_FIELDS = ("label", "rawValue", "period", "classificationCode", "category", *QUOTED)
+RISK_FIELDS = ("name", "explanation", *QUOTED)
+CATALYST_FIELDS = ("name", "expectedPeriod", "direction", "explanation", *QUOTED)
+THESIS_FIELDS = ("title", "explanation", *QUOTED)
+SECTION_FIELDS = ("heading", "summary", *QUOTED)
+IDENTITY_FIELDS = ("companyName", "ticker", "exchange", "isin", "sector", "industry", "currency", "researchHouse", "analystName", "analystTitle", "publishedDate", "reportType", "accountingBasis")
+VALUATION_FIELDS = ("rating", "previousRating", "cmp", "cmpDate", "baseTarget", "bullTarget", "bearTarget", "previousTarget", "horizon", "valuationBasis", "appliedMultiple")
+# Kinds of narrative items with the fields that hold title and body.
+NARRATIVES = {"risk": ("risks", "name", "explanation"), "catalyst": ("catalysts", "name", "explanation"), "thesis": ("thesisPoints", "title", "explanation"), "section": ("sections", "heading", "summary")}
+
+
+def _texts(*fields: str) -> str:
+    return "struct<" + ",".join(f"{f}:string" for f in fields) + ">"
+
+
+METRIC, RISK, CATALYST, THESIS, SECTION = map(lambda f: _texts(*f), (METRIC_FIELDS, RISK_FIELDS, CATALYST_FIELDS, THESIS_FIELDS, SECTION_FIELDS))
+IDENTITY = _texts(*IDENTITY_FIELDS, "identityQuote", "identityPage")
+VALUATION = _texts(*VALUATION_FIELDS, "valuationQuote", "valuationPage")
+#: Items stay JSON at first, so that a malformed one costs itself and not its array.
+CHUNK = f"struct<identity:{IDENTITY},valuation:{VALUATION},metrics:array<string>,risks:array<string>,catalysts:array<string>,thesisPoints:array<string>,sections:array<string>>"
+
+# The first contract, one document at a time; numbers are read as texts first.
+LEGACY_METRIC = "struct<name:string,value:string,unit:string,currency:string,period:string,isHistorical:string,category:string,sourceExcerpt:string,page:string>"
+LEGACY_SECTION = "struct<title:string,summary:string,evidence:string,pageReferences:array<string>>"
+LEGACY_RISK = "struct<risk:string,explanation:string,evidence:string>"
+LEGACY_CHART = "struct<type:string,title:string,labels:array<string>,series:array<string>>"
+LEGACY_SERIES = "struct<name:string,data:array<string>>"
+LEGACY_TEXTS = ("title", "company", "reportDate", "recommendation", "cmp", "baseCaseTarget", "bullCaseTarget", "valuationMethodology")
+LEGACY = f"struct<{','.join(f'{f}:string' for f in LEGACY_TEXTS)},metrics:array<string>,sections:array<string>,risks:array<string>,charts:array<string>>"
+CHART_TYPES = ("line", "bar", "comparison")
+#: Longest document that the first contract takes.
+LEGACY_CHARS = 800_000
 
 
 def strip_fence(text: Column) -> Column:
@@ -45,20 +73,65 @@ def soft_bool(value: Column) -> Column:
     return F.coalesce(value.cast("string") == "true", F.lit(False))
 
 
+def legacy_number(value: Column) -> Column:
+    """The number a text begins with; null if it begins with none or isn't finite."""
+    return F.regexp_extract(F.ltrim(value.cast("string")), "^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0).try_cast("double")
+
+
 def legacy_numbers(values: Column) -> Column:
-    """Nulls and unreadable numbers become 0, as the first contract had it."""
-    return F.transform(values, lambda v: F.coalesce(v.try_cast("double"), F.lit(0.0)))
+    """Nulls and unreadable numbers become 0, and a missing array an empty one, as the first contract has it."""
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(legacy_number(v), F.lit(0.0)))
 
 
 def legacy_strings(values: Column) -> Column:
-    return F.transform(values, lambda v: F.coalesce(v, F.lit("")))
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v.cast("string"), F.lit("")))
+
+
+def items(values: Column, kind: str) -> Column:
+    """Items of an array of JSON texts, read one by one: a missing array is empty, and what is no object goes."""
+    objects = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
+    return F.transform(objects, lambda x: F.from_json(x, kind, {"mode": "PERMISSIVE"}))
+
+
+def read_legacy(text: Column) -> Column:
+    """The first contract's object: from the first brace to the last; null beyond ``LEGACY_CHARS`` characters or without an object."""
+    return F.when(F.length(text) <= LEGACY_CHARS, F.from_json(first_object(strip_fence(text)), LEGACY, {"mode": "PERMISSIVE"}))
+
+
+def legacy_metrics(doc: Column) -> Column:
+    plain = lambda m, f: F.coalesce(m[f], F.lit("")).alias(f)
+    return F.transform(items(doc["metrics"], LEGACY_METRIC), lambda m: F.struct(plain(m, "name"), plain(m, "value"), m["unit"].alias("unit"), m["currency"].alias("currency"), m["period"].alias("period"), soft_bool(m["isHistorical"]).alias("isHistorical"), plain(m, "category"), plain(m, "sourceExcerpt"), legacy_number(m["page"]).alias("page")))
+
+
+def legacy_sections(doc: Column) -> Column:
+    plain = lambda s, f: F.coalesce(s[f], F.lit("")).alias(f)
+    return F.transform(items(doc["sections"], LEGACY_SECTION), lambda s: F.struct(plain(s, "title"), plain(s, "summary"), plain(s, "evidence"), legacy_numbers(s["pageReferences"]).alias("pageReferences")))
+
+
+def legacy_risks(doc: Column) -> Column:
+    return F.transform(items(doc["risks"], LEGACY_RISK), lambda r: F.struct(*(F.coalesce(r[f], F.lit("")).alias(f) for f in ("risk", "explanation", "evidence"))))
+
+
+def legacy_charts(doc: Column) -> Column:
+    """Charts with numbers; an unknown type is a bar chart."""
+    one = lambda s: F.struct(F.coalesce(s["name"], F.lit("")).alias("name"), legacy_numbers(s["data"]).alias("data"))
+    return F.transform(
+        items(doc["charts"], LEGACY_CHART),
+        lambda c: F.struct(F.when(c["type"].isin(*CHART_TYPES), c["type"]).otherwise("bar").alias("type"), F.coalesce(c["title"], F.lit("")).alias("title"), legacy_strings(c["labels"]).alias("labels"), F.transform(items(c["series"], LEGACY_SERIES), one).alias("series")),
+    )
 
 
 def metrics_of(chunk: Column) -> Column:
-    """Metrics with a label and a value; codes outside the set (AI among them) are U."""
-    kept = F.filter(F.coalesce(chunk["metrics"], F.array().cast(f"array<{METRIC}>")), lambda m: m.isNotNull() & (soft_text(m["label"]) != "") & m["value"].isNotNull())
+    """Metrics of a chunk; codes outside the set (AI among them) are U."""
     codes = tuple(c for c in CODES if c != "AI")
     return F.transform(
-        kept,
-        lambda m: F.struct(soft_string(m["label"]).alias("label"), soft_string(m["value"]).alias("raw_value"), soft_string(m["period"]).alias("period"), F.coalesce(clean_code(m["classificationCode"], codes), F.lit("U")).alias("classification_code"), soft_string(m["sourceQuote"]).alias("source_quote"), soft_int(m["sourcePage"]).alias("source_page")),
+        items(chunk["metrics"], METRIC),
+        lambda m: F.struct(soft_text(m["label"]).alias("label"), soft_text(m["rawValue"]).alias("raw_value"), soft_string(m["period"]).alias("period"), F.coalesce(clean_code(m["classificationCode"], codes), F.lit("U")).alias("classification_code"), soft_string(m["category"]).alias("category"), soft_text(m["sourceQuote"]).alias("source_quote"), soft_int(m["sourcePage"]).alias("source_page")),
     )
+
+
+def narratives_of(chunk: Column, kind: str) -> Column:
+    """Risks, catalysts, thesis points or sections, as title, body, quote and page."""
+    name, title, body = NARRATIVES[kind]
+    shape = {"risk": RISK, "catalyst": CATALYST, "thesis": THESIS, "section": SECTION}[kind]
+    return F.transform(items(chunk[name], shape), lambda x: F.struct(soft_text(x[title]).alias("title"), soft_text(x[body]).alias("body"), soft_text(x["sourceQuote"]).alias("source_quote"), soft_int(x["sourcePage"]).alias("source_page")))

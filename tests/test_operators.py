@@ -2,14 +2,14 @@ import os
 import re
 import unicodedata
 from collections import defaultdict
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from factweave import plans
-from factweave.operators import chunks, jobs, merge, series
+from factweave.operators import checks, chunks, jobs, layout, merge, report, series, versions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,6 +21,62 @@ def test_merge_fold_depends_on_order(spark):
     assert (r.value, r.conflicts, r.n_raw, r.n_duplicates, r.n_conflicts) == (Decimal(1004), [Decimal(1100)], 4, 2, 1)
 
 
+def test_merge_metrics_against_a_plain_loop(spark):
+    """All folds of the query: the holder, its tier, conflicts and duplicates, value by value."""
+    rank = {"EXACT_MATCH": 4, "NORMALIZED_MATCH": 3, "UNVERIFIED": 1}
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect():
+        value = (Decimal(str(r.l_quantity)) / 10 + 1000).quantize(Decimal("0.1"), ROUND_HALF_UP)
+        lines[r.l_orderkey, r.l_returnflag].append((r.l_linenumber, r.l_partkey, value, ("UNVERIFIED", "EXACT_MATCH", "NORMALIZED_MATCH")[r.l_partkey % 3]))
+    want = {}
+    for key, rows in lines.items():
+        rows.sort()
+        holder, conflicts, duplicates = rows[0], [], 0
+        for r in rows[1:]:
+            if abs(r[2] - holder[2]) <= max(r[2], holder[2]) * Decimal("0.005"):
+                duplicates += 1
+                holder = r if rank[r[3]] > rank[holder[3]] else holder
+            else:
+                conflicts.append(r[2])
+        want[key] = (float(holder[2]), holder[3], [float(c) for c in conflicts], len(rows), duplicates)
+    got = {(r.l_orderkey, r.l_returnflag): (r.value, r.status, [float(c) for c in r.conflicts.split(",") if c], r.n_raw, r.n_duplicates) for r in plans.QUERIES["merge_metrics"](spark, SMALL).collect()}
+    assert got == want
+
+
+def test_slugs_differ_from_one_another_and_from_taken_ones(spark):
+    titles = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a-2"), (5, "b"), (6, "a-2-2"), (7, "a"), (8, "a-3")]
+    got = {r.id: r.slug for r in versions.unique_slugs(spark.createDataFrame(titles, "id int, slug string"), spark.createDataFrame([("b",), ("a-4",)], "slug string")).collect()}
+    assert got == {1: "a", 2: "a-5", 3: "a-2", 4: "a-2-3", 5: "b-2", 6: "a-2-2", 7: "a-6", 8: "a-3"}
+
+
+def test_illegal_transitions_end_the_job(spark):
+    legal = spark.createDataFrame([("PARTIAL", "FAILED")], "from_status string, to_status string")
+    assert checks.legal_transitions(legal).count() == 1
+    broken = legal.union(spark.createDataFrame([("FAILED", "APPROVED")], legal.schema))
+    with pytest.raises(Exception, match="illegal transition FAILED to APPROVED"):
+        checks.legal_transitions(broken).collect()
+
+
+def test_report_of_odd_chunks(spark):
+    """Null and malformed payloads, missing arrays and quotes, no page: a row for each document, nothing lost."""
+    payloads = [(1, 0, None), (2, 0, "not json"), (3, 0, "{}"), (4, 0, '{"metrics":[{"label":"Revenue","rawValue":"Rs 5 Cr"},null,"x"],"risks":"none","identity":null}'), (4, 1, '{"identity":{"companyName":" Co ","identityPage":"p. 9"},"catalysts":[{"name":"C"},{"name":"c "}]}')]
+    chunks_ = spark.createDataFrame(payloads, "doc_id bigint, chunk_idx int, payload string")
+    pages = spark.createDataFrame([], "doc_id bigint, page int, text string")
+    docs = spark.createDataFrame([(i, False) for i in range(1, 6)], "doc_id bigint, is_partial boolean")
+    made = report.assemble(chunks_, pages, docs, spark.createDataFrame([], "document_id bigint, version int"), 2026)
+    rows = {r.doc_id: r for r in made.summary.collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5]
+    assert [(rows[i].n_metrics, rows[i].n_evidence, rows[i].version, rows[i].tier) for i in (1, 4)] == [(0, 0, 1, "POOR"), (1, 0, 1, "POOR")]
+    assert [rows[i].n_blockers for i in (1, 4)] == [8, 7]
+    assert [(r.kind, r.title) for r in made.narratives.collect()] == [("catalyst", "C")]
+    assert report.compact(made.metrics).first().metrics[0].taxonomy_key == "revenue"
+
+
+def test_page_classes(spark):
+    pages = spark.createDataFrame([(1, "x" * 60, None), (2, "x", None), (3, "x" * 60, "broken")], "doc_id int, text string, error string")
+    assert {r.doc_id: r.text_class for r in layout.text_class(pages).collect()} == {1: "TEXT_EXTRACTABLE", 2: "OCR_REQUIRED", 3: "CORRUPTED"}
+
+
 def test_chunk_plan(spark):
     sizes = [40, 40, 40, 150, 30]
     banner = len("--- PAGE 1 ---\n")
