@@ -5,6 +5,8 @@ Word boundaries are spelt out in ASCII: Java's own take accented letters for let
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,11 @@ FORECAST_CODES = ("G", "E", "C", "S", "AI")
 ACTUAL_CODES = ("A", "R", "P")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, choices: list[tuple[str, str]]) -> Column:
     """Name of the first pattern found, ignoring case; null if none is."""
     out = F.lit(None).cast("string")
@@ -96,20 +103,25 @@ def multiplier_of(scale: Column) -> Column:
 
 def parse_value(raw: Column) -> Column:
     """struct<value, currency, scale, unit, is_percent, is_multiple>; no digits means no value, never zero."""
-    text = F.coalesce(F.trim(raw), F.lit(""))
-    percent = text.rlike(f"(?i)%|{word('percent')}|{word('bps')}")
-    multiple = text.rlike(f"(?i)[0-9]\\s*[x×]|{word('times')}")
-    number = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0).try_cast(VALUE)
-    bracketed = text.rlike("\\(\\s*[0-9,.]+\\s*\\)") & (number > 0)
-    found = number.isNotNull()
-    return F.struct(
-        F.when(bracketed, (-number).cast(VALUE)).otherwise(number).alias("value"),
-        F.when(found, currency_of(text)).alias("currency"),
-        F.when(found, scale_of(text)).alias("scale"),
-        F.when(found & percent, "%").when(found & multiple, "x").alias("unit"),
-        percent.alias("is_percent"),
-        multiple.alias("is_multiple"),
-    )
+
+    def read(t: Column) -> Column:
+        number = F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0).try_cast(VALUE)
+        return F.struct(
+            number.alias("number"), t.rlike(f"(?i)%|{word('percent')}|{word('bps')}").alias("percent"), t.rlike(f"(?i)[0-9]\\s*[x×]|{word('times')}").alias("multiple"), t.rlike("\\(\\s*[0-9,.]+\\s*\\)").alias("bracketed"), t.alias("text")
+        )
+
+    def made(p: Column) -> Column:
+        number, found = p["number"], p["number"].isNotNull()
+        return F.struct(
+            F.when(p["bracketed"] & (number > 0), (-number).cast(VALUE)).otherwise(number).alias("value"),
+            F.when(found, currency_of(p["text"])).alias("currency"),
+            F.when(found, scale_of(p["text"])).alias("scale"),
+            F.when(found & p["percent"], "%").when(found & p["multiple"], "x").alias("unit"),
+            p["percent"].alias("is_percent"),
+            p["multiple"].alias("is_multiple"),
+        )
+
+    return let(let(F.coalesce(F.trim(raw), F.lit("")), read), made)
 
 
 def strip_number(text: Column) -> Column:
@@ -140,24 +152,31 @@ def parse_period(text: Column, as_of_year: int) -> Column:
 
     A trailing year without digits takes ``as_of_year``, never the clock.
     """
-    t = F.regexp_replace(F.upper(F.trim(text)), "\\s+", "")
     quarterly = "^(?:Q([0-9])FY|([0-9])QFY)([0-9]{2,4})"
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    quarter = F.concat(part(quarterly, 1), part(quarterly, 2)).try_cast("int")
-    q_year = _year(part(quarterly, 3))
-    ttm_year = F.coalesce(_year(part("([0-9]{2,4})", 1)), F.lit(as_of_year))
     annual = "^FY([0-9]{2,4})(?:[-/]([0-9]{2,4}))?"
-    a_year = _year(F.coalesce(F.nullif(part(annual, 2), F.lit("")), part(annual, 1)))
+
+    def read(t: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(t, pattern, i)
+        return F.struct(
+            F.concat(part(quarterly, 1), part(quarterly, 2)).try_cast("int").alias("q"),
+            _year(part(quarterly, 3)).alias("q_year"),
+            F.coalesce(_year(part("([0-9]{2,4})", 1)), F.lit(as_of_year)).alias("any_year"),
+            _year(F.coalesce(F.nullif(part(annual, 2), F.lit("")), part(annual, 1))).alias("a_year"),
+            t.startswith("TTM").alias("trailing"),
+        )
 
     def period(label: Column, kind: str, year: Column, q: Column, key: Column) -> Column:
         return F.struct(label.alias("label"), F.lit(kind).alias("period_type"), year.alias("fiscal_year_end"), q.alias("quarter"), key.alias("sort_key"))
 
-    none = F.lit(None).cast("int")
-    return (
-        F.when(quarter.between(1, 4), period(F.concat(F.lit("Q"), quarter.cast("string"), F.lit("FY"), _short(q_year)), "QUARTER", q_year, quarter, q_year * 10 + quarter))
-        .when(t.startswith("TTM"), period(F.lit("TTM"), "TTM", ttm_year, none, ttm_year * 10 + 9))
-        .when(a_year.isNotNull(), period(F.concat(F.lit("FY"), _short(a_year)), "ANNUAL", a_year, none, a_year * 10))
-    )
+    def made(p: Column) -> Column:
+        none = F.lit(None).cast("int")
+        return (
+            F.when(p["q"].between(1, 4), period(F.concat(F.lit("Q"), p["q"].cast("string"), F.lit("FY"), _short(p["q_year"])), "QUARTER", p["q_year"], p["q"], p["q_year"] * 10 + p["q"]))
+            .when(p["trailing"], period(F.lit("TTM"), "TTM", p["any_year"], none, p["any_year"] * 10 + 9))
+            .when(p["a_year"].isNotNull(), period(F.concat(F.lit("FY"), _short(p["a_year"])), "ANNUAL", p["a_year"], none, p["a_year"] * 10))
+        )
+
+    return let(let(F.regexp_replace(F.upper(F.trim(text)), "\\s+", ""), read), made)
 
 
 def format_period(text: Column, code: Column, as_of_year: int) -> Column:

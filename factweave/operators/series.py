@@ -9,10 +9,7 @@ from ..functions import values
 
 
 def with_period(points: DataFrame, as_of_year: int) -> DataFrame:
-    """Add ``p``, the period as a struct or null.
-
-    The explode keeps the struct whole: without it each field repeats the whole expression, beyond what Spark compiles.
-    """
+    """Add ``p``, the period as a struct or null; the explode keeps it whole, so that its fields don't each compute it again."""
     return points.withColumn("p", F.explode(F.array(values.parse_period(F.col("period"), as_of_year))))
 
 

@@ -154,13 +154,23 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("id"), "ts", "value", "props")
 
 
-@query()
+_ORDERED = "SELECT {keys}, event_id AS id, ts, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS n FROM events"
+_RECENT = "len(list_filter(f.kept, lambda t: t > e.ts - INTERVAL 24 HOUR)) < 5"
+
+
+@query(f"""WITH RECURSIVE e AS ({_ORDERED.format(keys='user_id')}),
+    f AS (SELECT user_id, n, id, true AS accepted, [ts] AS kept FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.n, e.id, {_RECENT}, CASE WHEN {_RECENT} THEN list_append(f.kept, e.ts) ELSE f.kept END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+    SELECT user_id, id, accepted FROM f""")
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted and rejected messages per sender; tests hold it against a plain loop, and the stream against it."""
+    """Accepted and rejected messages per sender; tests hold the stream and a squeezed form against a plain loop."""
     return jobs.rate_limited(_messages(spark, sf_dir), "user_id", minutes=24 * 60)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_ORDERED.format(keys='user_id, event_type')}),
+    f AS (SELECT user_id, event_type, n, id, true AS accepted, ts AS last FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.event_type, e.n, e.id, e.ts - f.last >= INTERVAL 24 HOUR, CASE WHEN e.ts - f.last >= INTERVAL 24 HOUR THEN e.ts ELSE f.last END FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+    SELECT user_id, event_type, id, accepted FROM f""")
 def duplicates_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.duplicates(_messages(spark, sf_dir), ["user_id", "event_type"], 24 * 3600)
 

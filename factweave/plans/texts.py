@@ -94,23 +94,51 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.verify_against(quotes, pages, ["doc_id", "page"])
 
 
-@query()
+def _canonical_sql(column: str) -> str:
+    """The canonical form in SQL, for texts that NFKC leaves as they are (as it does those of the test tables)."""
+    steps = [
+        ("[\u00ad\u200b-\u200d\u2060\ufeff]", ""),
+        ("(\\pL)[-\u2010-\u2013]\\s*\\r?\\n\\s*(\\pL)", "\\1\\2"),
+        ("[\u2010-\u2015]", "-"),
+        ("[\u2018\u2019\u201a\u201b\u2032]", "''"),
+        ("[\u201c-\u201f\u2033]", '"'),
+        ("\u2026", "..."),
+        ("[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "),
+    ]
+    for a, b in text.LIGATURES:
+        column = f"replace({column}, '{a}', '{b}')"
+    for pattern, by in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return f"lower(trim({column}))"
+
+
+_CHECKED_SQL = f"""
+    d AS (SELECT doc_id, doc_id % 9 = 8 AS lost, doc_id % 4 AS k, text, substr(text, 11, 80) AS piece FROM documents),
+    q AS (SELECT doc_id, CASE WHEN lost THEN NULL ELSE text END AS page, trim(coalesce(CASE k WHEN 0 THEN piece WHEN 1 THEN upper(replace(replace(piece, 'ß', 'ss'), ' ', '  ')) WHEN 2 THEN array_to_string(list_reverse(string_split(piece, ' ')), ' ') ELSE 'zzzz qqqq xxxx' END, '')) AS raw FROM d),
+    c AS (SELECT doc_id, page, raw, {_canonical_sql("raw")} AS near, {_canonical_sql("coalesce(page, '')")} AS body FROM q),
+    t AS (SELECT *, list_filter(string_split(near, ' '), lambda w: length(w) > 2) AS w FROM c),
+    s AS (SELECT *, CASE WHEN len(w) = 0 THEN 0.0 ELSE CAST(len(list_filter(w, lambda x: contains(body, x))) AS DOUBLE) / len(w) END AS share FROM t),
+    checked AS (SELECT doc_id, CASE WHEN near = '' THEN 'UNVERIFIED' WHEN coalesce(page, '') = '' THEN 'UNVERIFIED' WHEN contains(page, raw) THEN 'EXACT_MATCH' WHEN contains(body, near) THEN 'NORMALIZED_MATCH' WHEN share >= 0.8 THEN 'APPROXIMATE_MATCH' ELSE 'UNVERIFIED' END AS status,
+        CASE WHEN near = '' THEN NULL WHEN coalesce(page, '') = '' THEN 0.0 WHEN contains(page, raw) OR contains(body, near) THEN NULL ELSE share END AS similarity FROM s)
+"""
+
+
+@query(f"WITH {_CHECKED_SQL} SELECT doc_id, status, CAST(round(similarity, 4) AS DOUBLE) AS similarity FROM checked")
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tier of each quotation against exactly the page it cites; composed forms have no SQL."""
+    """Tier of each quotation against exactly the page it cites."""
     return _checked(spark, sf_dir).select("doc_id", "check.status", F.round("check.similarity", 4).alias("similarity"))
 
 
-@query("""WITH d AS (SELECT doc_id % 9 = 8 AS lost, doc_id % 4 AS k, trim(substr(text, 11, 80)) AS q, text FROM documents WHERE text IS NOT NULL)
-    SELECT count(*) AS n_quotes, count(*) FILTER (NOT lost AND k = 0 AND q <> '') AS n_exact FROM d""")
+@query(f"WITH {_CHECKED_SQL} SELECT count(*) AS n_quotes, count(*) FILTER (status = 'EXACT_MATCH') AS n_exact FROM checked")
 def quote_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes, pages = _quotes(spark, sf_dir)
-    exact = quotes.where("doc_id % 4 = 0").join(pages, ["doc_id", "page"], "left").transform(text.verify_quotes, compose=False).where("check.status = 'EXACT_MATCH'")
-    return quotes.agg(F.count("*").alias("n_quotes")).join(exact.agg(F.count("*").alias("n_exact")))
+    """Exact quotes among all, whatever their manner."""
+    return _checked(spark, sf_dir).agg(F.count("*").alias("n_quotes"), F.count_if(F.col("check.status") == "EXACT_MATCH").alias("n_exact"))
 
 
-@query()
+@query(f"""WITH {_CHECKED_SQL}, n AS (SELECT count(*) AS n_quotes, count(*) FILTER (status = 'EXACT_MATCH') AS n_exact, count(*) FILTER (status IN ('EXACT_MATCH', 'NORMALIZED_MATCH')) AS n_verbatim FROM checked)
+    SELECT n_quotes, n_exact, n_verbatim, CASE WHEN n_quotes = 0 THEN 0.0 ELSE floor(CAST(n_verbatim AS DOUBLE) / n_quotes * 100 + 0.5) / 100 END AS rate FROM n""")
 def quote_verification_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and verbatim-safe quotes among all of them, and their rounded share; composed forms have no SQL."""
+    """Exact and verbatim-safe quotes among all of them, and their rounded share."""
     status = F.col("check.status")
     return _checked(spark, sf_dir).agg(F.count("*").alias("n_quotes"), F.count_if(status == "EXACT_MATCH").alias("n_exact"), F.count_if(text.verbatim(status)).alias("n_verbatim"), text.verification_rate(status).alias("rate"))
 
@@ -209,10 +237,12 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("doc_id", F.lit(1).alias("page"), (F.col("b") + F.col("c.n")).cast("bigint").alias("item"), F.col("c.s").alias("str"), F.col("c.x").alias("x"), "y", F.lit(10.0).alias("width"), F.lit(8.0).alias("height"))
 
 
-@query("""SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS BIGINT) AS line,
-    concat(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ' ', l_returnflag, ' ', l_linestatus, ' ', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS text FROM lineitem""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
+    SELECT l_orderkey AS doc_id, CAST(n - 1 AS BIGINT) AS line, CAST(50 + l_partkey % 3 AS DOUBLE) AS x, CAST(n * 12 + CASE WHEN n > 4 THEN 40 ELSE 0 END AS DOUBLE) AS y, CAST(210 + l_partkey % 3 AS DOUBLE) AS "right", CAST(4 AS BIGINT) AS n_items,
+    concat(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), ' ', l_returnflag, ' ', l_linestatus, ' ', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS text FROM n""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.lines(_items(spark, sf_dir)).select("doc_id", "line", "text")
+    """Lines with their boxes and texts."""
+    return layout.lines(_items(spark, sf_dir)).select("doc_id", "line", "x", "y", "right", "n_items", "text")
 
 
 @query("""WITH b AS (SELECT l_orderkey AS doc_id, CASE WHEN row_number() OVER (PARTITION BY l_orderkey) > 4 THEN 1 ELSE 0 END AS block FROM lineitem),
