@@ -444,3 +444,111 @@ def test_odd_tables(spark, empty):
     assert containment.contained(docs, bench.limit(0)).count() == 0
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), "key")
     assert extract.extract(pages).count() == n and warc.archive_pages(pages).count() == n
+
+
+def test_language_id_against_a_plain_loop(spark):
+    """Letter by letter: bind, bundle and compare without blocks, slices or packed arrays."""
+    a, b, c = langid.letter_vectors()
+    classes = langid.letter_classes()
+
+    def bundle(text):
+        kinds = [0]
+        for ch in text or "":
+            k = int(classes[ord(ch)])
+            if k or kinds[-1]:
+                kinds.append(k)
+        kinds += [0] * (kinds[-1] > 0)
+        v = np.zeros(langid.DIM)
+        for i in range(len(kinds) - 2):
+            if kinds[i + 1]:
+                v += a[kinds[i]] * b[kinds[i + 1]] * c[kinds[i + 2]]
+        return v
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.left("text", F.lit(400)).alias("text"), "lang")
+    docs = docs.union(spark.createDataFrame([(10**6, "", "en"), (10**6 + 1, "12 !", "en"), (10**6 + 2, None, "en"), (10**6 + 3, "Straße ñandú", None)], docs.schema))
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if r.text is not None and r.lang and any(ch.isalpha() for ch in r.text):
+            sums[r.lang] = sums.get(r.lang, 0) + unit(bundle(r.text))
+    protos = {k: unit(v) for k, v in sorted(sums.items())}
+    got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), langid.learn(docs)).collect()}
+    for r in rows:
+        cos = {k: float(unit(bundle(r.text)) @ p) for k, p in protos.items()}
+        if not any(ch.isalpha() for ch in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        best = sorted(cos.values())
+        assert abs(got[r.doc_id].score - max(0, best[-1])) < 1e-4
+        assert best[-1] - best[-2] < 1e-4 or cos[got[r.doc_id].lang_pred] == best[-1]
+
+
+def test_quality_against_a_plain_convolution():
+    """Byte by byte on the settled numbers: windows, chunks, maxima, the mean and the logistic layer."""
+    net = quality.Net(3)
+    net.p["b"] += 0.2
+    emb, w = net.q["emb"].astype(float), net.q["w"].astype(float)
+    r = np.random.default_rng(8)
+    texts = [r.integers(32, 127, n, np.uint8).tobytes() for n in (0, 1, 7, 251, 252, 253, 256, 508, 509, 700, 1500)]
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for text, score in zip(texts, got, strict=True):
+        halves = max(1, -(-(len(text) + quality.WIDTH - quality.STRIDE) // quality.HOP))
+        padded = np.frombuffer(text.ljust(halves * quality.HOP + quality.WIDTH, b"\0"), np.uint8)
+        answers = np.array([emb[padded[i : i + quality.WIDTH]].ravel() @ w for i in range(0, halves * quality.HOP, quality.STRIDE)])
+        per = quality.HOP // quality.STRIDE
+        chunks = [answers[c * per : (c + 2) * per].max(axis=0) for c in range(max(1, halves - 1))]
+        h = np.maximum(np.array(chunks) * net.scale + net.p["b"], 0)
+        z = np.concatenate([h.mean(axis=0), h.max(axis=0)]) @ net.p["out"] + net.p["bias"][0]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_against_a_plain_loop(rule):
+    """Every item looks at every bin ever opened."""
+    weights, caps = (1.0, 0.3, 0.2), (100.0, 5.0, 5000.0)
+    lengths = np.random.default_rng(2).integers(1, 90, 150)
+    bins, offsets = packing.best_fit(lengths, 100, 5, 5000.0, weights, rule)
+    left, want = [], {}
+    for i in np.argsort(-lengths, kind="stable"):
+        need = (float(lengths[i]), 1.0, float(lengths[i]) ** 2)
+        best = None
+        for b, have in enumerate(left):
+            if all(x >= y for x, y in zip(have, need, strict=True)):
+                if rule == "dot":
+                    value = -sum(k * (x / c) * (y / c) for k, x, y, c in zip(weights, have, need, caps, strict=True))
+                else:
+                    value = sum(k * ((x - y) / c) ** 2 for k, x, y, c in zip(weights, have, need, caps, strict=True))
+                if best is None or value < best[0] - 1e-12:
+                    best = (value, b)
+        if best is None:
+            left.append(list(caps))
+            best = (0, len(left) - 1)
+        want[i] = best[1]
+        left[best[1]] = [x - y for x, y in zip(left[best[1]], need, strict=True)]
+    filled = {}
+    for i in np.argsort(-lengths, kind="stable"):
+        assert offsets[i] == filled.get(bins[i], 0)
+        filled[bins[i]] = offsets[i] + lengths[i]
+    assert max(filled.values()) <= 100 and abs(len(filled) - len(left)) <= 1
+    assert sum(want[i] == bins[i] for i in range(len(lengths))) >= 0.9 * len(lengths) or len(filled) == len(left)
+
+
+def test_stored_form_and_feature_against_plain_loops(spark):
+    import hashlib
+    import io
+
+    texts = ["a", "bright and dark " * 900, "ü" * 5000, None]
+    files = {r.doc_id: bytes(r.media) for r in tiff.store_texts(make(spark, texts)).collect()}
+    got = {r.doc_id: r for r in tiff.read_features(tiff.store_texts(make(spark, texts))).collect()}
+    for i, raw in files.items():
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+        (image,) = tiff.pages(raw)
+        a = image[:, :, 0].astype(int)
+        h, wide = a.shape
+        ys, xs = [k * h // 8 for k in range(9)], [int(k * wide / 9) for k in range(10)]
+        cells = [[a[ys[y] : max(ys[y + 1], ys[y] + 1) if h >= 8 else ys[y] + 1, xs[x] : xs[x + 1]].sum() for x in range(9)] for y in range(8)] if h >= 8 else [[a[int(y * (h - 1) / 7), xs[x] : xs[x + 1]].sum() for x in range(9)] for y in range(8)]
+        bits = "".join("1" if row[x + 1] > row[x] else "0" for row in cells for x in range(8))
+        total, squares, n = int(a.sum()), int((a**2).sum()), a.size
+        assert got[i].feature == f"{int(bits, 2):016x}-{total // n}-{(squares - total * total // n) // n}"
+        assert io.BytesIO(raw).read(4) == b"II*\0"
