@@ -89,9 +89,9 @@ def evidence_rows(metrics: DataFrame, narratives: DataFrame) -> DataFrame:
 def charts(metrics: DataFrame, as_of_year: int) -> tuple[DataFrame, DataFrame]:
     """Points of each document's charts by period, and their issues; a series is named by document and metric."""
     named = metrics.withColumn("doc_id", F.col("doc_id").cast("string"))
-    points = series.charted(named, "doc_id").withColumn("key", F.col("series")).withColumn("series", F.concat_ws(":", "doc_id", "series"))
+    points = stored(series.charted(named, "doc_id").withColumn("key", F.col("series")).withColumn("series", F.concat_ws(":", "doc_id", "series")), "chart-points")
     raw = points.select("series", "ord", "period", F.col("value").cast("double").alias("value"), "code")
-    dense = series.densify(series.parsed_points(raw, as_of_year))
+    dense = stored(series.densify(series.parsed_points(raw, as_of_year)), "chart-series")
     arrays = series.legacy_arrays(dense)
     found = series.chart_issues(series.series_issues(raw, dense, as_of_year), raw, raw, arrays)
     names = points.select("series", "doc_id", "key").distinct()

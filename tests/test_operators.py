@@ -182,7 +182,7 @@ def test_quote_verification_rate_against_brute_force(spark):
         exact += quote in r.text
         ok += quote in r.text or canonical(quote) in canonical(r.text)
     got = plans.QUERIES["quote_verification_rate"](spark, SMALL).first()
-    assert exact > plans.QUERIES["quote_rate"](spark, SMALL).first().n_exact
+    assert exact == plans.QUERIES["quote_rate"](spark, SMALL).first().n_exact  # all quotes, not a part of them
     assert (got.n_quotes, got.n_exact, got.n_verbatim, got.rate) == (n, exact, ok, int(ok / n * 100 + 0.5) / 100)
     assert spark.createDataFrame([], "s string").agg(text.verification_rate(F.col("s"))).first()[0] == 0
 
