@@ -6,12 +6,13 @@
    classes where those alone are over a fifth have no link and leave.
 3. The classes left are read whole. Shingles are put in one global order (rare first); the
    first fifth of a set must meet the partner's first fifth, so classes that share such a
-   shingle, directly or over others, form a candidate group.
+   shingle, directly or over others, form a candidate group. A group for which that copies its
+   sets less is dealt by the shared shingles themselves, each with a group of its own.
 4. Each group is joined with a prefix tree: the sets (frequent shingles first) are stored in a
    trie, and one traversal carries the overlaps with all query sets from parent to child and
    drops a query below a node when the remaining lengths can't reach the threshold. Groups
-   of more than ``BLOCK`` sets are cut into blocks by size and salt, and blocks that may hold
-   partners meet in tasks of their own. Sets already connected inside a task need no test.
+   of more than ``BLOCK`` sets or ``BLOCK_TOKENS`` shingles are cut into blocks by size and salt, and
+   blocks that may hold partners meet in tasks of their own. Sets already connected inside a task need no test.
 
 Defined cases: a text with fewer than five words is one shingle of all its words; null, empty and
 blank texts have an empty set and link with nothing; repeated rows are links of themselves;
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SHINGLE_WORDS, blocks, components, in_arrow, mix, parts_for, shingles, small, stash, word_hashes, words
+from .shared import SHINGLE_WORDS, blocks, components, in_arrow, join_unique, mix, parts_for, shingles, small, stash, word_hashes, words
 
 #: A link: 100 * intersection >= SHARE * union.
 SHARE = 80
 BLOCK = 1000
+#: Shingles of all sets in a block of a group.
+BLOCK_TOKENS = 2_000_000
 SAMPLE_EDGE = np.uint64((1 << 64) // 3)
 BUCKET_TOKENS = 1_000_000
 BLOCK_CLASSES = 8_000
@@ -166,17 +169,32 @@ def whole_sets(docs: DataFrame, live: DataFrame, k: int = SHINGLE_WORDS) -> Data
     return in_arrow(texts.select("text"), run, "set_key bigint, n bigint, tokens array<bigint>")
 
 
-def candidate_groups(whole: DataFrame) -> DataFrame:
-    """(set_key, label): classes connected by shingles of their rare-first prefixes."""
+def candidate_groups(whole: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(set_key, label): classes that may have a link share a label.
+
+    A group is what shingles of the rare-first prefixes connect. In blocks of ``block`` each set of a group meets all
+    its blocks; dealt by shingle it meets, for each shingle of its prefix that others share, the blocks of that
+    shingle alone. The way with fewer meetings is taken, so a chain of many texts that share little isn't joined with itself.
+    """
     rows = whole.select("set_key", "n", F.explode("tokens").alias("token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ordered = rows.join(shared, "token").groupBy("set_key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     # Shingles of one class alone come first in the order.
     length = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1 - (F.col("n") - F.size("own"))
-    prefix = ordered.where(length > 0).select("set_key", F.explode(F.slice("own", 1, length.cast("int"))).alias("t")).select("set_key", "t.token")
-    centre = prefix.groupBy("token").agg(F.min("set_key").alias("b"), F.count("*").alias("m")).where("m > 1")
-    edges = prefix.join(centre, "token").select(F.col("set_key").alias("a"), "b").where("a != b")
-    return components(edges).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
+    prefix = stash(ordered.where(length > 0).select("set_key", F.explode(F.slice("own", 1, length.cast("int"))).alias("t")).select("set_key", "t.token"), "prefixes")
+    centre = stash(prefix.groupBy("token").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
+    held = stash(join_unique(prefix, centre.select("token", "b", F.col("n").alias("m")), ["token"], centre.select("token", "n")), "held")
+    groups = stash(components(held.select(F.col("set_key").alias("a"), "b").where("a != b")).select(F.col("node").alias("set_key"), F.col("root").alias("label")), "labels")
+    total = groups.groupBy("label").agg(F.count("*").alias("total")).where(F.col("total") > block)
+    n_large = total.count()
+    if not n_large:
+        return groups
+    total = small(total, n_large)
+    spread = held.join(groups.join(total, "label"), "set_key").groupBy("label").agg(F.first("total").alias("total"), F.sum(F.greatest(F.lit(1.0), F.col("m") / block)).alias("spread"))
+    by_shingle = stash(spread.where(F.col("spread") < F.col("total") * F.col("total") / block).select("label"), "by-shingle")
+    by_shingle = small(by_shingle, n_large)
+    dealt = held.join(groups.join(by_shingle, "label"), "set_key").select("set_key", F.xxhash64("label", "token").alias("label"))
+    return groups.join(by_shingle, "label", "left_anti").select("set_key", "label").unionByName(dealt)
 
 
 def trie_links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
@@ -245,15 +263,20 @@ def group_links(whole: DataFrame, groups: DataFrame, block: int = BLOCK) -> Data
     """(a, b): links that connect all classes of each candidate group as the whole join would."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("long")
     rows = stash(whole.join(groups, "set_key").withColumn("size_class", size_class), "groups")
-    cells = rows.groupBy("label", "size_class").agg(F.count("*").alias("m"))
-    labels = cells.groupBy("label").agg(F.sum("m").alias("total"), F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("m") / block).cast("long").alias("salts")))).alias("salts"))
-    n_tasks = parts_for(int(rows.count()), block)
-    few = rows.join(labels.where(F.col("total") <= block).select("label"), "label").select(F.concat(F.lit("g"), F.pmod(F.xxhash64("label"), F.lit(n_tasks)).cast("string")).alias("task"), F.lit(-1).cast("long").alias("cell"), "label", "set_key", "n", "tokens")
+    room = F.greatest(F.sum("m") / block, F.sum("tokens") / BLOCK_TOKENS)
+    cells = rows.groupBy("label", "size_class").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    labels = cells.withColumn("blocks", F.ceil(F.greatest(F.col("m") / block, F.col("tokens") / BLOCK_TOKENS)).cast("long"))
+    labels = labels.groupBy("label").agg(room.alias("room"), F.map_from_entries(F.collect_list(F.struct("size_class", "blocks"))).alias("salts"))
+    large = stash(labels.where("room > 1").select("label", "salts"), "large-groups")
+    n_rows, n_tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_tasks = max(parts_for(n_rows, block), parts_for(n_tokens, BLOCK_TOKENS))
+    rows = rows.join(small(large, large.count()), "label", "left")
+    few = rows.where("salts is null").select(F.concat(F.lit("g"), F.pmod(F.xxhash64("label"), F.lit(n_tasks)).cast("string")).alias("task"), F.lit(-1).cast("long").alias("cell"), "label", "set_key", "n", "tokens")
     wide = 1 << 32
     salts = lambda c: F.coalesce(F.element_at("salts", c), F.lit(0).cast("long"))
     cell = F.col("size_class") * wide + F.pmod("set_key", salts(F.col("size_class")))
     others = F.flatten(F.transform(F.array(*(F.col("size_class") + d for d in (-1, 0, 1))), lambda c: F.when(salts(c) > 0, F.transform(F.sequence(F.lit(0).cast("long"), salts(c) - 1), lambda s: c * wide + s)).otherwise(F.array().cast("array<bigint>"))))
-    many = rows.join(labels.where(F.col("total") > block), "label").withColumn("cell", cell).withColumn("other", F.explode(others))
+    many = rows.where("salts is not null").withColumn("cell", cell).withColumn("other", F.explode(others))
     many = many.select(F.concat_ws("|", F.col("label").cast("string"), F.least("cell", "other").cast("string"), F.greatest("cell", "other").cast("string")).alias("task"), "cell", "label", "set_key", "n", "tokens")
 
     def join(table: pa.Table) -> pa.Table:

@@ -95,6 +95,30 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     small, large = (ngram_join.components(ngram_join.group_links(whole, groups, b)) for b in (1000, 3))
     kinds = lambda d: sorted(sorted(x) for x in d.groupBy("root").agg(F.collect_list("node").alias("n")).toPandas()["n"].map(list))
     assert kinds(small) == kinds(large)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 100)
+    assert kinds(small) == kinds(ngram_join.components(ngram_join.group_links(whole, groups)))
+
+
+def test_chained_groups_are_dealt_by_shingle(spark):
+    """A long chain of texts, each sharing shingles with the next ones, is one group by connection but not by shingle."""
+    r = random.Random(9)
+    line = [f"c{i}" for i in range(700)]
+    texts = []
+    for i in range(0, 600, 4):
+        w = line[i : i + 60]
+        texts.append(" ".join(w))
+        if r.random() < 0.5:
+            w[r.randrange(60)] = "other"
+            texts.append(" ".join(w))
+    whole = ngram_join.whole_sets(make(spark, texts), ngram_join.live_classes(ngram_join.sets(make(spark, texts))))
+    groups = shared.stash(ngram_join.candidate_groups(whole, 4), "test-groups")
+    assert groups.count() > groups.select("set_key").distinct().count()
+    kinds = lambda d: sorted(sorted(x) for x in d.groupBy("root").agg(F.collect_list("node").alias("n")).toPandas()["n"].map(list))
+    found = kinds(ngram_join.components(ngram_join.group_links(whole, groups, 4)))
+    assert found == kinds(ngram_join.components(ngram_join.group_links(whole, ngram_join.candidate_groups(whole))))
+    by_key = {k.set_key: i for i, k in enumerate(ngram_join.sets(make(spark, texts)).orderBy("doc_id").collect())}
+    roots = brute_components(texts)
+    assert sorted(len(x) for x in found) == sorted(n for n in Counter(roots[i][1] for i in set(by_key.values())).values() if n > 1)
 
 
 def test_containment(spark):
