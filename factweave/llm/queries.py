@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, containment, extract, langid, lm, ngram_join, packing, quality, tiff, warc
+from . import chaining, containment, extract, langid, lm, mixing, negatives, ngram_join, packing, quality, spelling, tiff, warc
 from .shared import crc_mod
 
 
@@ -67,9 +67,25 @@ def op10_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(_read(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").where(negatives.usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_warc_normaliser, op4_ngram_join, op5_tiff_pages, op6_backoff_lm, op7_collinear_chaining, op8_html_extraction, op9_quality_cnn, op10_containment_search)
+    for f in (op1_language_id, op2_best_fit_packing, op3_warc_normaliser, op4_ngram_join, op5_tiff_pages, op6_backoff_lm, op7_collinear_chaining, op8_html_extraction, op9_quality_cnn, op10_containment_search, op11_systematic_mixing, op12_spelling_variants, op13_hard_negatives)
 }
 
 #: Words and shingles as the contracts of ops 4 and 10 define them.
@@ -100,6 +116,43 @@ ORACLE_SQL: dict[str, str] = {
         roots AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
     """,
+    "op11_systematic_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+        w AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {list(mixing.WEIGHTS)}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)] AS weight FROM d GROUP BY source),
+        o AS (SELECT *, sum({mixing.MOST} * source_size) OVER full_first - {mixing.MOST} * source_size AS taken, sum(weight) OVER () - sum(weight) OVER full_first + weight AS free, sum(source_size) OVER () AS total
+            FROM w WINDOW full_first AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        l AS (SELECT CAST(total - taken AS DOUBLE) AS rest, CAST(free AS DOUBLE) AS free FROM o WHERE CAST(total - taken AS DOUBLE) * weight / free <= {mixing.MOST} * source_size ORDER BY taken LIMIT 1),
+        t AS (SELECT source, source_size, least(rest * weight / free, CAST({mixing.MOST} * source_size AS DOUBLE)) AS target, CAST(concat('0x', substr(md5(concat('1:', coalesce(source, ''))), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS drawn FROM w, l),
+        p AS (SELECT d.doc_id, d.size, t.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        k AS (SELECT p.*, k, CAST(least(floor(rate * (i + 1) + (drawn + k / CAST({mixing.OFFSETS} AS DOUBLE))) - floor(rate * i + (drawn + k / CAST({mixing.OFFSETS} AS DOUBLE))), {mixing.MOST}) AS BIGINT) * size AS taken FROM p, range({mixing.OFFSETS}) AS r(k)),
+        b AS (SELECT DISTINCT ON (source) source, k FROM (SELECT source, k, any_value(target) AS target, sum(taken) AS s FROM k GROUP BY source, k) ORDER BY source, abs(s - target), k)
+        SELECT doc_id, size, source_size, target, taken FROM k JOIN b ON k.k = b.k AND k.source IS NOT DISTINCT FROM b.source
+    """,
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+        summed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, CAST(flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS BIGINT[])),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM runs, crc WHERE length(run) >= {spelling.LETTERS}),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {spelling.DELETE} = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM summed) WHERE length(word) >= {spelling.LETTERS} GROUP BY word HAVING sum(n) >= {spelling.SEEN}),
+        cut AS (SELECT word, n, p, concat(substr(word, 1, p - 1), substr(word, p + 1)) AS k FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM words)),
+        one AS (SELECT DISTINCT word, n, k FROM cut),
+        near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.k = b.k AND a.p = b.p AND a.word <> b.word
+            UNION ALL SELECT a.word, a.n, one.word, one.n FROM words a JOIN one ON a.word = one.k UNION ALL SELECT one.word, one.n, a.word, a.n FROM words a JOIN one ON a.word = one.k),
+        best AS (SELECT DISTINCT ON (word) word, CASE WHEN m >= {spelling.TIMES} * n THEN other END AS form, CASE WHEN m >= {spelling.TIMES} * n THEN m END AS form_n FROM near ORDER BY word, m DESC, other),
+        sizes AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+        way(word, root, step) AS (SELECT word, form, 1 FROM best WHERE form IS NOT NULL UNION ALL SELECT way.word, best.form, step + 1 FROM way JOIN best ON best.word = way.root WHERE best.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word)
+        SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN best USING (word) LEFT JOIN sizes USING (word) LEFT JOIN ends USING (word)
+    """,
+    "op13_hard_negatives": f"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same WHERE {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score)
+        SELECT * FROM n WHERE rank <= {negatives.NEGATIVES}
+    """,
     "op10_containment_search": f"""
         WITH dw AS ({_SHINGLES.format(keys="doc_id", lowered="lower(text)", table="documents")}),
         iw AS ({_SHINGLES.format(keys="item_id", lowered="lower(text)", table="benchmark")}),
