@@ -23,27 +23,25 @@ CRITICAL = {"company": "companyName", "recommendation": "rating", "cmp": "cmp",
 KINDS = ("metric", "risk", "catalyst", "thesis", "section")
 
 
-def items(chunks: DataFrame) -> DataFrame:
-    """Quoted items of all seven kinds of (doc_id, chunk_idx, payload), stacked: the JSON is read once."""
-    c = F.col("c")
-    none = F.lit(None).cast("string")
-
-    def row(kind: str, i: Column, title: Column, body: Column, quote: Column, page: Column, raw: Column = none, period: Column = none, code: Column = none, category: Column = none) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("item_idx"), title.alias("title"), body.alias("body"), raw.alias("raw_value"), period.alias("period"), code.alias("classification_code"), category.alias("category"), F.trim(quote).alias("quote"), page.alias("page"))
+def read(chunks: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_idx, payload), parsed once; those that don't conform have nothing in them."""
+    return chunks if "body" in chunks.columns else extraction.read_chunks(chunks.select("doc_id", "chunk_idx", "payload"))
 
-    def of_record(kind: str) -> Column:
-        r = c[kind]
-        one = row(kind, F.lit(0), F.lit(""), F.lit(""), extraction.soft_text(r[f"{kind}Quote"]), extraction.soft_int(r[f"{kind}Page"]))
-        return F.filter(F.array(one), lambda _: r.isNotNull())
 
-    metrics = F.transform(extraction.metrics_of(c), lambda m, i: row("metric", i, m["label"], F.lit(""), m["source_quote"], m["source_page"], m["raw_value"], m["period"], m["classification_code"], m["category"]))
+def items(chunks: DataFrame) -> DataFrame:
+    """Quoted items of all seven kinds of (doc_id, chunk_idx, payload) or of chunks already read, stacked."""
+    chunks = read(chunks)
+    none = F.lit(None).cast("string")
 
-    def of_narratives(kind: str) -> Column:
-        return F.transform(extraction.narratives_of(c, kind), lambda x, i: row(kind, i, x["title"], x["body"], x["source_quote"], x["source_page"]))
+    def of_record(kind: str) -> DataFrame:
+        r = F.col(kind)
+        return chunks.where(r.isNotNull()).select("doc_id", "chunk_idx", F.lit(kind).alias("kind"), F.lit(0).alias("item_idx"), F.lit("").alias("title"), F.lit("").alias("body"), none.alias("raw_value"), none.alias("period"), none.alias("classification_code"), none.alias("category"), F.trim(r[f"{kind}Quote"]).alias("quote"), extraction.page(r[f"{kind}Page"]).alias("page"))
 
-    every = F.concat(of_record("identity"), of_record("valuation"), metrics, *map(of_narratives, extraction.NARRATIVES))
-    read = chunks.select("doc_id", "chunk_idx", extraction.read_chunk(F.col("payload")).alias("c"))
-    return read.select("doc_id", "chunk_idx", F.explode(every).alias("i")).select("doc_id", "chunk_idx", "i.*")
+    found = extraction.read_items(chunks)
+    metric = F.col("kind") == "metric"
+    only = lambda c: F.when(metric, F.col(c))
+    rest = found.select("doc_id", "chunk_idx", "kind", "item_idx", "title", F.when(metric, "").otherwise(F.col("body")).alias("body"), only("body").alias("raw_value"), only("period").alias("period"), only("code").alias("classification_code"), only("category").alias("category"), F.trim("quote").alias("quote"), "page")
+    return of_record("identity").unionByName(of_record("valuation")).unionByName(rest)
 
 
 def with_evidence(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -55,8 +53,7 @@ def with_evidence(found: DataFrame, pages: DataFrame) -> DataFrame:
 def records(chunks: DataFrame, checked: DataFrame, kind: str) -> DataFrame:
     """Identity or valuation of each document: fields from the first chunk that has them, evidence from the best that gave one."""
     fields = list(extraction.IDENTITY_FIELDS if kind == "identity" else extraction.VALUATION_FIELDS)
-    read = chunks.select("doc_id", "chunk_idx", extraction.read_chunk(F.col("payload"))[kind].alias("r")).where("r is not null")
-    rows = read.select("doc_id", "chunk_idx", *(extraction.soft_string(F.col("r")[f]).alias(f) for f in fields))
+    rows = read(chunks).where(F.col(kind).isNotNull()).select("doc_id", "chunk_idx", *(F.col(kind)[f].alias(f) for f in fields))
     told = checked.where(F.col("kind") == kind).select("doc_id", "chunk_idx", "status", "quote", "page")
     return merge.record_with_evidence(rows.join(told, ["doc_id", "chunk_idx"], "left"), KEY, fields, "chunk_idx", "status", ["quote", "page"])
 
@@ -115,7 +112,8 @@ class Report:
 def assemble(chunks: DataFrame, pages: DataFrame, documents: DataFrame, analyses: DataFrame, as_of_year: int) -> Report:
     """Reports of (doc_id, chunk_idx, payload); ``documents`` has doc_id and is_partial, ``analyses`` document_id and version of earlier runs."""
     # Each of these is read by many of the tables below, so they are written once.
-    checked = stored(with_evidence(items(chunks), pages), "checked-items")
+    chunks = stored(read(chunks), "read-chunks")
+    checked = stored(with_evidence(stored(items(chunks), "items"), pages), "checked-items")
     metrics, narratives = stored(merged_metrics(checked, as_of_year), "merged-metrics"), stored(merged_narratives(checked), "narratives")
     identity, valuation = (stored(records(chunks, checked, kind), kind) for kind in ("identity", "valuation"))
     evidence = evidence_rows(metrics, narratives)

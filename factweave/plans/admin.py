@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calc, contact, text, values
 from ..operators import checks, jobs, layout, versions
 from ..sources import admission, extraction
-from .registry import query, table
+from .registry import query, spread, table
 
 NOW = "2024-01-15 12:00:00"
 
@@ -88,11 +88,10 @@ def legacy_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('Here it is: {"company":'), F.when(k % 2 == 0, F.concat(F.lit('"Co '), k, F.lit('"'))).otherwise("null"), F.lit(',"metrics":[{"name":"m","isHistorical":'), F.when(k % 3 == 0, "true").otherwise('"no"'), F.lit(',"page":'), page,
         F.lit('}],"sections":[{"title":"s","pageReferences":'), pages, F.lit('}],"risks":[{"risk":"r'), k, F.lit('"}],"charts":['), chart, F.lit("]} as you asked"),
     )
-    d = F.col("d")
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), extraction.read_legacy(payload).alias("d"))
-    metric, section, c, risk = (F.get(f(d), F.lit(0)) for f in (extraction.legacy_metrics, extraction.legacy_sections, extraction.legacy_charts, extraction.legacy_risks))
+    rows = extraction.read_legacy(spread(table(spark, sf_dir, "orders"), "o_orderkey").select(k.alias("id"), payload.alias("payload")))
+    metric, section, c, risk = (F.get(name, F.lit(0)) for name in ("metrics", "sections", "charts", "risks"))
     numbers = F.array_join(F.transform(section["pageReferences"], lambda v: F.regexp_replace(v.cast("string"), "\\.0$", "")), ",")
-    return rows.select("id", d["company"].alias("company"), metric["isHistorical"].alias("historical"), metric["page"].alias("page"), numbers.alias("numbers"), c["type"].alias("chart"), F.array_join(c["labels"], ",").alias("labels"), risk["risk"].alias("risk"), risk["evidence"].alias("evidence"))
+    return rows.select("id", "company", metric["isHistorical"].alias("historical"), metric["page"].alias("page"), numbers.alias("numbers"), c["type"].alias("chart"), F.array_join(c["labels"], ",").alias("labels"), risk["risk"].alias("risk"), risk["evidence"].alias("evidence"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import report
-from .registry import query, table
+from .registry import query, spread, table
 
 AS_OF_YEAR = 2026
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("n"), F.col("l_quantity").cast("int").cast("string").alias("q"), (F.col("l_returnflag") != "R").alias("told"), (F.col("l_linestatus") == "O").alias("loud"))
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("k"), n.alias("n"), F.col("l_quantity").cast("int").cast("string").alias("q"), (F.col("l_returnflag") != "R").alias("told"), (F.col("l_linestatus") == "O").alias("loud"))
     return rows.withColumn("c", F.expr("(n - 1) div 2"))
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Chunks, pages, documents and earlier analyses."""
     k, n, c = F.col("k"), F.col("n"), F.col("c")
     early = n <= 4
@@ -46,7 +46,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return chunks, pages, documents, analyses
 
 
-_LINES_SQL = """
+LINES_SQL = """
     l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CAST(l_quantity AS INTEGER) AS q,
         CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus = 'O' THEN 3 ELSE 4 END AS rank FROM lineitem),
     d AS (SELECT k, (max(n) + 1) // 2 AS chunks, ((max(n) + 1) // 2 + 1) // 2 AS even FROM l GROUP BY k),
@@ -62,29 +62,29 @@ _LINES_SQL = """
 """
 
 
-@query(f"""WITH {_LINES_SQL} SELECT k AS doc_id, CAST(k % 10 + 1 AS INTEGER) AS version, CASE WHEN k % 9 = 0 THEN 'PARTIAL' ELSE 'REVIEW_REQUIRED' END AS status, metrics AS n_metrics, CAST(metrics + 1 + even AS BIGINT) AS n_evidence,
+@query(f"""WITH {LINES_SQL} SELECT k AS doc_id, CAST(k % 10 + 1 AS INTEGER) AS version, CASE WHEN k % 9 = 0 THEN 'PARTIAL' ELSE 'REVIEW_REQUIRED' END AS status, metrics AS n_metrics, CAST(metrics + 1 + even AS BIGINT) AS n_evidence,
     charts AS n_charts, CAST(blockers + units + late AS BIGINT) AS n_issues, CAST(blockers AS BIGINT) AS n_blockers, CAST(missing + target + others + units + late AS BIGINT) AS n_stored, CAST(num AS DOUBLE) / 1000 AS numeric_coverage, CAST(nar AS DOUBLE) / 1000 AS narrative_coverage,
     CASE WHEN blockers = 0 AND num >= 900 AND nar >= 800 THEN 'EXCELLENT' WHEN blockers = 0 AND num >= 750 THEN 'GOOD' WHEN num >= 500 THEN 'FAIR' ELSE 'POOR' END AS tier FROM y""")
 def assembled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk JSON to checked, merged and versioned reports: a row per document with what its tables hold."""
-    return report.assemble(*_inputs(spark, sf_dir), AS_OF_YEAR).summary
+    return report.assemble(*report_inputs(spark, sf_dir), AS_OF_YEAR).summary
 
 
-@query(f"""WITH {_LINES_SQL} SELECT k AS doc_id, CASE WHEN k % 3 <> 0 THEN concat('Company ', k) WHEN chunks > 1 THEN concat('Late ', k) END AS company, CASE WHEN chunks > 1 THEN 'House' END AS house,
+@query(f"""WITH {LINES_SQL} SELECT k AS doc_id, CASE WHEN k % 3 <> 0 THEN concat('Company ', k) WHEN chunks > 1 THEN concat('Late ', k) END AS company, CASE WHEN chunks > 1 THEN 'House' END AS house,
     CASE WHEN chunks > 1 THEN 'EXACT_MATCH' ELSE 'UNVERIFIED' END AS status, CAST(CASE WHEN chunks > 1 THEN 2 ELSE 1 END AS INTEGER) AS page FROM d""")
 def report_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity of each report and the evidence chosen for it."""
-    chunks, pages, _, _ = _inputs(spark, sf_dir)
+    chunks, pages, _, _ = report_inputs(spark, sf_dir)
     found = report.records(chunks, report.with_evidence(report.items(chunks), pages), "identity")
     return found.select("doc_id", F.col("companyName").alias("company"), F.col("researchHouse").alias("house"), "status", "page")
 
 
-@query(f"""WITH {_LINES_SQL}, b AS (SELECT k, tax, early, f, arg_max(n, rank * 1000 - n) FILTER (q = f) AS n, max(rank) FILTER (q = f) AS rank, count(*) FILTER (q <> f) AS conflicts FROM g GROUP BY k, tax, early, f)
+@query(f"""WITH {LINES_SQL}, b AS (SELECT k, tax, early, f, arg_max(n, rank * 1000 - n) FILTER (q = f) AS n, max(rank) FILTER (q = f) AS rank, count(*) FILTER (q <> f) AS conflicts FROM g GROUP BY k, tax, early, f)
     SELECT k AS doc_id, CASE tax WHEN 0 THEN 'revenue' ELSE 'ebitda' END AS taxonomy_key, CASE WHEN early THEN 'FY24' ELSE 'FY25' END AS period, CASE WHEN (k % 7 = 0) = early THEN 'E' ELSE 'A' END AS classification_code, CAST(f AS DOUBLE) AS value,
         CASE WHEN NOT early AND k % 4 = 0 THEN 'USD' ELSE 'INR' END AS currency, CASE WHEN NOT early AND k % 4 = 0 THEN 'million' ELSE 'crore' END AS scale, CAST((n + 1) // 2 AS INTEGER) AS page, CAST(conflicts AS INTEGER) AS n_conflicts,
         row_number() OVER (PARTITION BY k ORDER BY tax DESC, early DESC) - 1 AS ord, CASE WHEN conflicts > 0 THEN 'CONFLICTING' WHEN rank = 4 THEN 'HIGH' WHEN rank = 3 THEN 'MEDIUM' ELSE 'UNVERIFIED' END AS confidence FROM b""")
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised and folded metrics of each report in their order."""
-    chunks, pages, _, _ = _inputs(spark, sf_dir)
+    chunks, pages, _, _ = report_inputs(spark, sf_dir)
     found = report.merged_metrics(report.with_evidence(report.items(chunks), pages), AS_OF_YEAR)
     return found.select("doc_id", "taxonomy_key", "period", "classification_code", F.col("value").cast("double").alias("value"), "currency", "scale", "page", "n_conflicts", "ord", "confidence")

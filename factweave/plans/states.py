@@ -241,5 +241,5 @@ def legacy_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first contract's coercions: unreadable numbers are 0, flags are the text true."""
     key = F.col("event_id")
-    numbers = extraction.legacy_numbers(F.array(F.lit("n/a"), key.cast("string")))
+    numbers = extraction.legacy_numbers("array('n/a', CAST(event_id AS STRING))")
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(numbers, lambda v: v.cast("bigint").cast("string")), ",").alias("numbers"), extraction.soft_bool(F.when(key % 2 == 0, "true").otherwise("True")).alias("flag"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 from ..operators import chunks, layout, merge
 from ..sources import admission, extraction
-from .registry import query, table
+from .registry import query, spread, table
 
 AS_OF_YEAR = 2026
 
@@ -282,7 +282,7 @@ def schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fenced JSON of the lines, some fields missing or of another type, read tolerantly."""
     n = F.col("l_linenumber")
     item = F.concat(F.lit('{"label":'), F.when(n % 4 == 3, "null").otherwise('" Revenue "'), F.lit(',"rawValue":'), F.col("l_quantity").cast("string"), F.lit(',"classificationCode":"'), F.when(n % 2 == 0, "ai").otherwise("a"), F.lit('","sourcePage":"p. 3"}'))
-    raw = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(item), ",").alias("items"))
+    raw = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list(item), ",").alias("items"))
     fenced = F.concat(F.lit('```json\n{"metrics":['), "items", F.lit("]}\n```"))
-    rows = raw.select(F.col("l_orderkey").alias("doc_id"), F.explode(extraction.metrics_of(extraction.read_chunk(fenced))).alias("m"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_metrics"), F.count_if(F.col("m.classification_code") == "U").alias("n_unclear"))
+    rows = extraction.read_items(extraction.read_chunks(raw.select(F.col("l_orderkey").alias("doc_id"), fenced.alias("payload"))), ("metric",))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_metrics"), F.count_if(F.col("code") == "U").alias("n_unclear"))

@@ -1,50 +1,33 @@
-"""Tolerant schema-on-read of model output: scalars are coerced, malformed items dropped one by one."""
+"""Tolerant schema-on-read of model output: scalars are coerced, malformed items dropped one by one.
+
+JSON is read as a variant, so that a number given for a text is taken and an object is not. A chunk whose identity or
+valuation is malformed doesn't conform as a whole; an item of an array that doesn't costs itself alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import CODES, clean_code
+from . import typed
 
-# Field names of a chunk's JSON. Every field is read as text, so that numbers and texts are both taken.
-QUOTED = ("sourceQuote", "sourcePage")
-METRIC_FIELDS = ("label", "rawValue", "period", "classificationCode", "category", *QUOTED)
-RISK_FIELDS = ("name", "explanation", *QUOTED)
-CATALYST_FIELDS = ("name", "expectedPeriod", "direction", "explanation", *QUOTED)
-THESIS_FIELDS = ("title", "explanation", *QUOTED)
-SECTION_FIELDS = ("heading", "summary", *QUOTED)
+# Field names of a chunk's JSON.
 IDENTITY_FIELDS = ("companyName", "ticker", "exchange", "isin", "sector", "industry", "currency", "researchHouse", "analystName", "analystTitle", "publishedDate", "reportType", "accountingBasis")
 VALUATION_FIELDS = ("rating", "previousRating", "cmp", "cmpDate", "baseTarget", "bullTarget", "bearTarget", "previousTarget", "horizon", "valuationBasis", "appliedMultiple")
-# Kinds of narrative items with the fields that hold title and body.
-NARRATIVES = {"risk": ("risks", "name", "explanation"), "catalyst": ("catalysts", "name", "explanation"), "thesis": ("thesisPoints", "title", "explanation"), "section": ("sections", "heading", "summary")}
-
-
-def _texts(*fields: str) -> str:
-    return "struct<" + ",".join(f"{f}:string" for f in fields) + ">"
-
 
-METRIC, RISK, CATALYST, THESIS, SECTION = map(lambda f: _texts(*f), (METRIC_FIELDS, RISK_FIELDS, CATALYST_FIELDS, THESIS_FIELDS, SECTION_FIELDS))
-IDENTITY = _texts(*IDENTITY_FIELDS, "identityQuote", "identityPage")
-VALUATION = _texts(*VALUATION_FIELDS, "valuationQuote", "valuationPage")
-#: Items stay JSON at first, so that a malformed one costs itself and not its array.
-CHUNK = f"struct<identity:{IDENTITY},valuation:{VALUATION},metrics:array<string>,risks:array<string>,catalysts:array<string>,thesisPoints:array<string>,sections:array<string>>"
+#: Kinds of narrative items.
+NARRATIVES = ("risk", "catalyst", "thesis", "section")
 
-# The first contract, one document at a time; numbers are read as texts first.
-LEGACY_METRIC = "struct<name:string,value:string,unit:string,currency:string,period:string,isHistorical:string,category:string,sourceExcerpt:string,page:string>"
-LEGACY_SECTION = "struct<title:string,summary:string,evidence:string,pageReferences:array<string>>"
-LEGACY_RISK = "struct<risk:string,explanation:string,evidence:string>"
-LEGACY_CHART = "struct<type:string,title:string,labels:array<string>,series:array<string>>"
-LEGACY_SERIES = "struct<name:string,data:array<string>>"
+# The first contract, one document at a time.
 LEGACY_TEXTS = ("title", "company", "reportDate", "recommendation", "cmp", "baseCaseTarget", "bullCaseTarget", "valuationMethodology")
-LEGACY = f"struct<{','.join(f'{f}:string' for f in LEGACY_TEXTS)},metrics:array<string>,sections:array<string>,risks:array<string>,charts:array<string>>"
 CHART_TYPES = ("line", "bar", "comparison")
 #: Longest document that the first contract takes.
 LEGACY_CHARS = 800_000
 
 
 def strip_fence(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^```[A-Za-z]*\\s*", ""), "\\s*```$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
 
 
 def first_object(text: Column) -> Column:
@@ -53,85 +36,99 @@ def first_object(text: Column) -> Column:
     return F.when((a > 0) & (b > a), F.substr(text, a, b - a + 1))
 
 
-def read_chunk(text: Column) -> Column:
-    return F.from_json(strip_fence(text), CHUNK, {"mode": "PERMISSIVE"})
+def _readers(*fields: str) -> dict[str, typed.Reader]:
+    return {f: typed.soft_int if f.endswith("Page") else typed.required if f.endswith("Quote") else typed.soft_text for f in fields}
 
 
-def soft_string(value: Column) -> Column:
-    return F.trim(value.cast("string"))
+def read_chunks(chunks: DataFrame, payload: str = "payload") -> DataFrame:
+    """Chunks with ``identity`` and ``valuation`` (null if absent) and ``body``, the whole as a variant, in place of the payload.
 
+    ``conforms`` tells whether the payload is one object and neither record in it is malformed; else all three are null.
+    """
+    shapes = {"identity": _readers(*IDENTITY_FIELDS, "identityQuote", "identityPage"), "valuation": _readers(*VALUATION_FIELDS, "valuationQuote", "valuationPage")}
+    both = "named_struct('body', b, " + ", ".join(f"'{k}', {typed.record(typed.member('b', k), shape)}" for k, shape in shapes.items()) + ")"
+    fine = " AND ".join([typed.is_object("c.body"), *(f"(c.{k}.ok OR {typed.absent(typed.member('c.body', k))})" for k in shapes)])
+    whole = f"if(coalesce({fine}, false), named_struct('body', c.body, 'identity', c.identity.value, 'valuation', c.valuation.value), null)"
+    rows = chunks.withColumn("_text", strip_fence(F.col(payload)))
+    rows = rows.withColumn("_c", F.expr(typed.let(typed.let(typed.parsed("_text"), "b", both), "c", whole)))
+    kept = [c for c in chunks.columns if c != payload]
+    return rows.select(*kept, F.col("_c").isNotNull().alias("conforms"), "_c.body", "_c.identity", "_c.valuation")
 
-def soft_text(value: Column) -> Column:
-    return F.coalesce(soft_string(value), F.lit(""))
 
+# Where each kind of item stands in a chunk, and the fields that fill its places.
+PLACES = {
+    "metric": ("metrics", {"title": "label", "body": "rawValue", "period": "period", "code": "classificationCode", "category": "category"}),
+    "risk": ("risks", {"title": "name", "body": "explanation"}),
+    "catalyst": ("catalysts", {"title": "name", "body": "explanation", "period": "expectedPeriod", "code": "direction"}),
+    "thesis": ("thesisPoints", {"title": "title", "body": "explanation"}),
+    "section": ("sections", {"title": "heading", "body": "summary"}),
+}
 
-def soft_int(value: Column) -> Column:
-    return F.regexp_replace(value.cast("string"), "[^0-9-]", "").try_cast("int")
-
-
-def soft_bool(value: Column) -> Column:
-    return F.coalesce(value.cast("string") == "true", F.lit(False))
 
+def read_items(read: DataFrame, kinds: tuple[str, ...] = tuple(PLACES)) -> DataFrame:
+    """A row for each conforming item of chunks as ``read_chunks`` gives them: kind, item_idx (among those kept), title, body, period, code, category, quote and page.
 
-def legacy_number(value: Column) -> Column:
-    """The number a text begins with; null if it begins with none or isn't finite."""
-    return F.regexp_extract(F.ltrim(value.cast("string")), "^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0).try_cast("double")
+    A metric's code outside the set (AI among them) is U; for a catalyst ``code`` is its direction.
+    """
+    keys = [c for c in read.columns if c not in ("conforms", "identity", "valuation", "body")]
 
+    def of(kind: str) -> str:
+        name, places = PLACES[kind]
+        readers = {field: typed.required if place in ("title", "body") else typed.soft_text for place, field in places.items()} | {"sourceQuote": typed.required, "sourcePage": typed.soft_int}
+        fields = places | {"quote": "sourceQuote", "page": "sourcePage"}
+        placed = ", ".join(f"'{p}', {f'h.{fields[p]}' if p in fields else 'CAST(null AS STRING)'}" for p in ("title", "body", "period", "code", "category", "quote", "page"))
+        return f"transform({typed.records(typed.member('body', name), readers)}, (h, i) -> named_struct('kind', '{kind}', 'item_idx', i, {placed}))"
 
-def legacy_numbers(values: Column) -> Column:
-    """Nulls and unreadable numbers become 0, and a missing array an empty one, as the first contract has it."""
-    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(legacy_number(v), F.lit(0.0)))
-
-
-def legacy_strings(values: Column) -> Column:
-    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v.cast("string"), F.lit("")))
-
+    rows = read.select(*keys, F.explode(F.expr(f"concat({', '.join(map(of, kinds))})")).alias("i")).select(*keys, "i.*")
+    codes = tuple(c for c in CODES if c != "AI")
+    code = F.when(F.col("kind") == "metric", F.coalesce(clean_code(F.col("code"), codes), F.lit("U"))).otherwise(F.col("code"))
+    return rows.withColumns({"code": code, "page": page(F.col("page"))})
 
-def items(values: Column, kind: str) -> Column:
-    """Items of an array of JSON texts, read one by one: a missing array is empty, and what is no object goes."""
-    objects = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
-    return F.transform(objects, lambda x: F.from_json(x, kind, {"mode": "PERMISSIVE"}))
 
+def page(number: Column) -> Column:
+    """A cited page as a number of a page; a part of a page is none."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2147483648.0), number).cast("int")
 
-def read_legacy(text: Column) -> Column:
-    """The first contract's object: from the first brace to the last; null beyond ``LEGACY_CHARS`` characters or without an object."""
-    return F.when(F.length(text) <= LEGACY_CHARS, F.from_json(first_object(strip_fence(text)), LEGACY, {"mode": "PERMISSIVE"}))
 
+def soft_bool(value: Column) -> Column:
+    return F.coalesce(value.cast("string") == "true", F.lit(False))
 
-def legacy_metrics(doc: Column) -> Column:
-    plain = lambda m, f: F.coalesce(m[f], F.lit("")).alias(f)
-    return F.transform(items(doc["metrics"], LEGACY_METRIC), lambda m: F.struct(plain(m, "name"), plain(m, "value"), m["unit"].alias("unit"), m["currency"].alias("currency"), m["period"].alias("period"), soft_bool(m["isHistorical"]).alias("isHistorical"), plain(m, "category"), plain(m, "sourceExcerpt"), legacy_number(m["page"]).alias("page")))
 
+def legacy_numbers(values: str) -> Column:
+    """An array of texts (SQL) as numbers: nulls, unreadable ones and those of no finite size become 0, and a missing array an empty one."""
+    return F.expr(f"transform(coalesce({values}, CAST(array() AS ARRAY<STRING>)), n -> coalesce({typed.leading_number('n')}, 0D))")
 
-def legacy_sections(doc: Column) -> Column:
-    plain = lambda s, f: F.coalesce(s[f], F.lit("")).alias(f)
-    return F.transform(items(doc["sections"], LEGACY_SECTION), lambda s: F.struct(plain(s, "title"), plain(s, "summary"), plain(s, "evidence"), legacy_numbers(s["pageReferences"]).alias("pageReferences")))
 
+def _bar_unless_known(s: str) -> str:
+    """A chart's type; whatever it is else, it is a bar chart."""
+    known = ", ".join(f"'{t}'" for t in CHART_TYPES)
+    return f"named_struct('ok', true, 'value', if({s}.kind = 'STRING' AND {s}.text IN ({known}), {s}.text, 'bar'))"
 
-def legacy_risks(doc: Column) -> Column:
-    return F.transform(items(doc["risks"], LEGACY_RISK), lambda r: F.struct(*(F.coalesce(r[f], F.lit("")).alias(f) for f in ("risk", "explanation", "evidence"))))
 
+def _series(value: str) -> str:
+    return f"named_struct('ok', true, 'value', {typed.records(value, {'name': typed.verbatim_filled}, {'data': typed.soft_numbers})})"
 
-def legacy_charts(doc: Column) -> Column:
-    """Charts with numbers; an unknown type is a bar chart."""
-    one = lambda s: F.struct(F.coalesce(s["name"], F.lit("")).alias("name"), legacy_numbers(s["data"]).alias("data"))
-    return F.transform(
-        items(doc["charts"], LEGACY_CHART),
-        lambda c: F.struct(F.when(c["type"].isin(*CHART_TYPES), c["type"]).otherwise("bar").alias("type"), F.coalesce(c["title"], F.lit("")).alias("title"), legacy_strings(c["labels"]).alias("labels"), F.transform(items(c["series"], LEGACY_SERIES), one).alias("series")),
-    )
 
+_T, _E = typed.verbatim, typed.verbatim_filled
+#: The first contract's arrays: readers of plain fields, and of arrays in them.
+_LEGACY: dict[str, tuple[dict[str, typed.Reader], dict[str, typed.Reader]]] = {
+    "metrics": ({"name": _E, "value": _E, "unit": _T, "currency": _T, "period": _T, "isHistorical": typed.soft_flag, "category": _E, "sourceExcerpt": _E, "page": typed.soft_number}, {}),
+    "sections": ({"title": _E, "summary": _E, "evidence": _E}, {"pageReferences": typed.soft_numbers}),
+    "risks": ({"risk": _E, "explanation": _E, "evidence": _E}, {}),
+    "charts": ({"type": _bar_unless_known, "title": _E}, {"labels": typed.soft_texts, "series": _series}),
+}
 
-def metrics_of(chunk: Column) -> Column:
-    """Metrics of a chunk; codes outside the set (AI among them) are U."""
-    codes = tuple(c for c in CODES if c != "AI")
-    return F.transform(
-        items(chunk["metrics"], METRIC),
-        lambda m: F.struct(soft_text(m["label"]).alias("label"), soft_text(m["rawValue"]).alias("raw_value"), soft_string(m["period"]).alias("period"), F.coalesce(clean_code(m["classificationCode"], codes), F.lit("U")).alias("classification_code"), soft_string(m["category"]).alias("category"), soft_text(m["sourceQuote"]).alias("source_quote"), soft_int(m["sourcePage"]).alias("source_page")),
-    )
 
+def read_legacy(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """The first contract's own texts and the arrays metrics, sections, risks and charts, in place of the payload.
 
-def narratives_of(chunk: Column, kind: str) -> Column:
-    """Risks, catalysts, thesis points or sections, as title, body, quote and page."""
-    name, title, body = NARRATIVES[kind]
-    shape = {"risk": RISK, "catalyst": CATALYST, "thesis": THESIS, "section": SECTION}[kind]
-    return F.transform(items(chunk[name], shape), lambda x: F.struct(soft_text(x[title]).alias("title"), soft_text(x[body]).alias("body"), soft_text(x["sourceQuote"]).alias("source_quote"), soft_int(x["sourcePage"]).alias("source_page")))
+    The object goes from the first brace to the last. ``conforms`` is false, and the rest null, beyond ``LEGACY_CHARS``
+    characters, without an object, or if one of its own texts is malformed. Charts of an unknown type are bar charts.
+    """
+    text = F.when(F.length(payload) <= LEGACY_CHARS, first_object(F.col(payload)))
+    arrays = ", ".join(f"'{name}', {typed.records(typed.member('b', name), *readers)}" for name, readers in _LEGACY.items())
+    own = typed.record("b", {f: typed.verbatim for f in LEGACY_TEXTS})
+    whole = typed.let(own, "c", f"if(coalesce(c.ok, false), named_struct('own', c.value, {arrays}), null)")
+    read = rows.withColumn("_text", text).withColumn("_d", F.expr(typed.let(typed.parsed("_text"), "b", whole)))
+    kept = [c for c in rows.columns if c != payload]
+    return read.select(*kept, F.col("_d").isNotNull().alias("conforms"), "_d.own.*", *(f"_d.{name}" for name in _LEGACY))

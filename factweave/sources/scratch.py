@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in ``spark.checkpoint.dir``; in local mode a folder of our own where none is set, elsewhere an error."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in ``spark.checkpoint.dir``; in local mode a folder of our own where none is set, elsewhere an error."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="factweave-"))
-        folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/factweave/{name}-{uuid.uuid4().hex}"
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/factweave/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
