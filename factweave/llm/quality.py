@@ -153,6 +153,19 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
     return net
 
 
+def fitting(sizes: list[int], most_bytes: int) -> list[int]:
+    """Places of the texts to take: in their order, each that still fits; those over a 64th of all bytes come last, the shortest first.
+
+    A text that doesn't fit is passed over and costs itself alone.
+    """
+    taken, held = [], 0
+    for i in sorted(range(len(sizes)), key=lambda i: max(0, sizes[i] - most_bytes // 64)):
+        if held + sizes[i] <= most_bytes:
+            taken.append(i)
+            held += sizes[i]
+    return taken
+
+
 def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """Whole labelled texts, at most ``limit`` and ``most_bytes`` together, the same for the same rows."""
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
@@ -160,8 +173,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: i
     chosen = tagged.orderBy(key, "doc_id").limit(limit)
     texts = docs.select("doc_id", "text").where("text is not null")
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("n"), F.first("_y").alias("y")).orderBy(key, "doc_id").collect()
-    within = np.cumsum([r.n for r in sizes]) <= most_bytes
-    taken = docs.sparkSession.createDataFrame([(r.doc_id, int(r.y)) for r, ok in zip(sizes, within, strict=True) if ok], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
+    within = fitting([r.n for r in sizes], most_bytes)
+    taken = docs.sparkSession.createDataFrame([(sizes[i].doc_id, int(sizes[i].y)) for i in within], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
     # Of rows with one doc_id the shortest text, then the least.
     least = F.min(F.struct(F.octet_length("text").alias("n"), F.col("text").cast("binary").alias("t")))["t"]
     got = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(least.alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()

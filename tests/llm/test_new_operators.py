@@ -230,3 +230,17 @@ def test_lists_outside_the_window_are_skipped():
     middle, reach = anchors @ index.centres.T, np.linalg.norm(anchors, axis=1)[:, None] * index.radii
     inside = (middle + reach >= 800) & (middle - reach <= 3000) & (index.counts > 0)
     assert np.array_equal(early | late, inside) and 0 < inside.mean() < 0.5
+
+
+def test_one_long_text_does_not_end_the_sample(spark):
+    from factweave.llm import quality
+
+    sizes = [300] * 200
+    for at in (0, 100, 200):
+        whole = [*sizes[:at], 32 << 20, *sizes[at:]]
+        assert quality.fitting(whole, 24 << 20) == [i for i in range(201) if i != at]
+        assert len(quality.fitting([*sizes[:at], 20 << 20, *sizes[at:]], 24 << 20)) == 201
+    docs = spark.createDataFrame([(i, "good words " * (4000 if i == 3 else 3)) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    texts, y = quality.sample(docs, labels, most_bytes=20_000)
+    assert len(texts) == len(y) == 39 and max(map(len, texts)) < 100
