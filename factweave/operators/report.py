@@ -24,12 +24,12 @@ KINDS = ("metric", "risk", "catalyst", "thesis", "section")
 
 
 def read(chunks: DataFrame) -> DataFrame:
-    """Chunks (doc_id, chunk_idx, payload), parsed once; those that don't conform have nothing in them."""
-    return chunks if "body" in chunks.columns else extraction.read_chunks(chunks.select("doc_id", "chunk_idx", "payload"))
+    """Chunks (doc_id, chunk_idx, payload), parsed once and written; those that don't conform have nothing in them."""
+    return chunks if "body" in chunks.columns else stored(extraction.read_chunks(chunks.select("doc_id", "chunk_idx", "payload")), "read-chunks")
 
 
 def items(chunks: DataFrame) -> DataFrame:
-    """Quoted items of all seven kinds of (doc_id, chunk_idx, payload) or of chunks already read, stacked."""
+    """Quoted items of all seven kinds of (doc_id, chunk_idx, payload) or of chunks already read, stacked and written once, for their checks read them several times."""
     chunks = read(chunks)
     none = F.lit(None).cast("string")
 
@@ -41,7 +41,7 @@ def items(chunks: DataFrame) -> DataFrame:
     metric = F.col("kind") == "metric"
     only = lambda c: F.when(metric, F.col(c))
     rest = found.select("doc_id", "chunk_idx", "kind", "item_idx", "title", F.when(metric, "").otherwise(F.col("body")).alias("body"), only("body").alias("raw_value"), only("period").alias("period"), only("code").alias("classification_code"), only("category").alias("category"), F.trim("quote").alias("quote"), "page")
-    return of_record("identity").unionByName(of_record("valuation")).unionByName(rest)
+    return stored(of_record("identity").unionByName(of_record("valuation")).unionByName(rest), "items")
 
 
 def with_evidence(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ class Report:
 def assemble(chunks: DataFrame, pages: DataFrame, documents: DataFrame, analyses: DataFrame, as_of_year: int) -> Report:
     """Reports of (doc_id, chunk_idx, payload); ``documents`` has doc_id and is_partial, ``analyses`` document_id and version of earlier runs."""
     # Each of these is read by many of the tables below, so they are written once.
-    chunks = stored(read(chunks), "read-chunks")
-    checked = stored(with_evidence(stored(items(chunks), "items"), pages), "checked-items")
+    chunks = read(chunks)
+    checked = stored(with_evidence(items(chunks), pages), "checked-items")
     metrics, narratives = stored(merged_metrics(checked, as_of_year), "merged-metrics"), stored(merged_narratives(checked), "narratives")
     identity, valuation = (stored(records(chunks, checked, kind), kind) for kind in ("identity", "valuation"))
     evidence = evidence_rows(metrics, narratives)

@@ -75,6 +75,7 @@ def assembled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity of each report and the evidence chosen for it."""
     chunks, pages, _, _ = report_inputs(spark, sf_dir)
+    chunks = report.read(chunks)
     found = report.records(chunks, report.with_evidence(report.items(chunks), pages), "identity")
     return found.select("doc_id", F.col("companyName").alias("company"), F.col("researchHouse").alias("house"), "status", "page")
 
