@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import persist
+from ..operators import persist, upserts
 from ..sources.commits import Store
 from ..sources.scratch import folder
 from .registry import query, spread, table
@@ -66,3 +66,25 @@ def report_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.join(store.read(name).groupBy("analysis_id").agg(F.count("*").alias(f"n_{name}")), "analysis_id", "left").fillna(0, [f"n_{name}"])
     runs = persist.states(store, "run").select(F.col("entity_id").alias("analysis_id"), F.col("event").alias("run"))
     return out.join(runs, "analysis_id", "left").drop("analysis_id")
+
+
+@query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""")
+def upserted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type, merged batch by batch into buckets; every batch is played twice."""
+    store = Store(spark, folder(spark, "upsert-store"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    for part in range(3):
+        for _ in range(2):
+            upserts.upsert(store, f"batch-{part}", "last_event", rows.where(F.col("event_id") % 3 == part), ["user_id", "event_type"], "event_id", 8)
+    return upserts.read(store, "last_event", "user_id bigint, event_type string, event_id bigint, value double", 8)
+
+
+@query("""SELECT user_id, count(*) AS n_messages, min(event_id) AS first_at, max(event_id) AS last_at FROM events GROUP BY user_id""")
+def counted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each sender, raised batch by batch without reading history again."""
+    store = Store(spark, folder(spark, "counter-store"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.lit(1).cast("bigint").alias("n_messages"), F.col("event_id").alias("first_at"), F.col("event_id").alias("last_at"))
+    for part in range(3):
+        for _ in range(2):
+            upserts.count_up(store, f"batch-{part}", "customers", rows.where(F.col("first_at") % 3 == part), ["user_id"], 8)
+    return upserts.read(store, "customers", "user_id bigint, n_messages bigint, first_at bigint, last_at bigint", 8)
