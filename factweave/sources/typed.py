@@ -153,6 +153,18 @@ def soft_texts(value: str) -> str:
     return _pair(f"({absent(value)} OR {listed(value)} IS NOT NULL)", f"transform({elements(value)}, n -> {any_text('n')})")
 
 
+#: What readers make of a field of an object in which all values are texts, nulls or plain numbers: (x, whether it is a text) to (ok, value).
+_AT_ONCE: dict[Reader, Callable[[str, str], tuple[str, str]]] = {
+    verbatim: lambda x, _: ("", x),
+    verbatim_filled: lambda x, _: ("", f"coalesce({x}, '')"),
+    soft_text: lambda x, _: ("", f"trim({x})"),
+    required: lambda x, _: ("", f"coalesce(trim({x}), '')"),
+    soft_int: lambda x, text: ("", f"CASE WHEN {x} IS NULL THEN null WHEN {text} THEN {leading_int(x)} ELSE CAST({x} AS DOUBLE) END"),
+    soft_number: lambda x, text: ("", f"CASE WHEN {x} IS NULL THEN null WHEN {text} THEN {leading_number(x)} ELSE CAST({x} AS DOUBLE) END"),
+    soft_flag: lambda x, text: (f"({x} IS NULL OR {text})", f"coalesce({x} = 'true' AND {text}, false)"),
+}
+
+
 def record(value: str, scalars: dict[str, Reader], others: dict[str, Reader] | None = None) -> str:
     """``struct<ok, value>`` of an object: it conforms if it is one and all its fields do.
 
@@ -160,16 +172,18 @@ def record(value: str, scalars: dict[str, Reader], others: dict[str, Reader] | N
     nothing but texts, nulls and plain numbers, all fields are taken at once; a whole number of over 15 digits then keeps them all.
     """
     others = others or {}
-    shape = ",".join(f"{n}:string" for n in scalars)
-    kinds = lambda n: f"CASE WHEN r.{n} IS NULL THEN 'VOID' WHEN t RLIKE '(?:<|, ){n}: STRING' THEN 'STRING' ELSE 'NUMBER' END"
-    at_once = ", ".join(f"named_struct('kind', {kinds(n)}, 'text', r.{n}, 'number', if(r.{n} IS NOT NULL AND NOT t RLIKE '(?:<|, ){n}: STRING', CAST(r.{n} AS DOUBLE), null))" for n in scalars)
-    flat = let(f"try_variant_get(v, '$', 'struct<{shape}>')", "r", f"array({at_once})")
+    names = [*scalars, *others]
     apart = f"transform(array({', '.join(member('v', n) for n in scalars)}), w -> {scalar('w')})"
-    every = let("schema_of_variant(v)", "t", f"if(t RLIKE r'{_FLAT}', {flat}, {apart})")
     read = ", ".join([*(f"'{n}', {f(f'get(a, {i})')}" for i, (n, f) in enumerate(scalars.items())), *(f"'{n}', {f(member('v', n))}" for n, f in others.items())])
-    names = [*scalars, *others]
-    whole = _pair(" AND ".join([is_object("v"), *(f"q.{n}.ok" for n in names)]), "named_struct(" + ", ".join(f"'{n}', q.{n}.value" for n in names) + ")")
-    return let(value, "v", f"if({is_object('v')}, {let(let(every, 'a', f'named_struct({read})'), 'q', whole)}, null)")
+    whole = _pair(" AND ".join(f"q.{n}.ok" for n in names), "named_struct(" + ", ".join(f"'{n}', q.{n}.value" for n in names) + ")")
+    found = f"if(startswith(t, 'OBJECT'), {let(let(apart, 'a', f'named_struct({read})'), 'q', whole)}, null)"
+    if not others and all(f in _AT_ONCE for f in scalars.values()):
+        pairs = {n: _AT_ONCE[f](f"r.{n}", f"t RLIKE '(?:<|, ){n}: STRING'") for n, f in scalars.items()}
+        fine = " AND ".join(ok for ok, _ in pairs.values() if ok) or "true"
+        shape = ",".join(f"{n}:string" for n in scalars)
+        flat = let(f"try_variant_get(v, '$', 'struct<{shape}>')", "r", _pair(fine, "named_struct(" + ", ".join(f"'{n}', {x}" for n, (_, x) in pairs.items()) + ")"))
+        found = f"if(t RLIKE r'{_FLAT}', {flat}, {found})"
+    return let(value, "v", let("schema_of_variant(v)", "t", found))
 
 
 def records(value: str, scalars: dict[str, Reader], others: dict[str, Reader] | None = None) -> str:
