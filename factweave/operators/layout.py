@@ -22,6 +22,19 @@ def round_point(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+def placed(raw: DataFrame) -> DataFrame:
+    """Items at their place on the shown page, from (doc_id, page, item, str, transform, viewport, width, height, has_eol).
+
+    The text matrix is composed with the page's viewport, both as arrays of six, so rotation and crop are accounted for; y runs down from
+    the top and an item hangs from its baseline. A missing width is 0, a height that isn't positive is the font's; items without text go.
+    """
+    m = affine(*([F.get(c, F.lit(i)) for i in range(6)] for c in ("viewport", "transform")))
+    rows = raw.where(F.length("str") > 0).withColumns({f"_m{i}": c for i, c in enumerate(m)})
+    rows = rows.withColumn("_font", F.hypot("_m2", "_m3")).withColumn("_high", F.when(F.col("height") > 0, F.col("height")).otherwise(F.col("_font")))
+    at = {"x": F.col("_m4"), "y": F.col("_m5") - F.col("_high"), "width": F.coalesce("width", F.lit(0.0)), "height": F.col("_high"), "font_height": F.col("_font")}
+    return rows.select(*PAGE, "item", "str", *(round_point(c).alias(name) for name, c in at.items()), F.coalesce("has_eol", F.lit(False)).alias("has_eol"))
+
+
 def bounding_box(page: Column, x: Column, y: Column, width: Column, height: Column, rotation: Column) -> Column:
     """Corners in two decimals."""
     return F.struct(page.alias("page"), round_point(x).alias("x0"), round_point(y).alias("y0"), round_point(x + width).alias("x1"), round_point(y + height).alias("y1"), F.lit("pt").alias("unit"), F.lit("top-left").alias("origin"), rotation.alias("rotation"))
@@ -83,7 +96,7 @@ def block_anchors(blocks: DataFrame) -> DataFrame:
 
 def cells(items: DataFrame) -> DataFrame:
     """Cells of each table: items go to the nearest anchor (the left one on a tie), those of one cell are joined left to right."""
-    # Anchors as window values of the same rows: the blocks are made once, without a join to themselves.
+    # Anchors are few for each block, so they are gathered and joined back to its items.
     rows = with_blocks(items).withColumn("cx", F.col("x") + F.col("width") / 2)
     columns = block_anchors(rows).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(F.struct("col", "anchor"))).alias("a")).where(F.size("a") >= LEAST_COLUMNS)
     rows = rows.join(columns, [*PAGE, "block"])

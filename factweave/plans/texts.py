@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -286,3 +286,19 @@ def schema_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.concat(F.lit('```json\n{"metrics":['), "items", F.lit("]}\n```"))
     rows = extraction.read_items(extraction.read_chunks(raw.select(F.col("l_orderkey").alias("doc_id"), fenced.alias("payload"))), ("metric",))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_metrics"), F.count_if(F.col("code") == "U").alias("n_unclear"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, l_partkey * 1000 + l_suppkey AS item, l_returnflag AS str, CASE WHEN l_linenumber % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS up, l_quantity AS w, l_quantity - 10 AS h, l_tax * 100 + 8 AS size, l_discount * 1000 AS tx, l_extendedprice / 200 AS ty FROM lineitem WHERE l_linestatus = 'O'),
+    m AS (SELECT *, CASE WHEN up = 1 THEN tx ELSE ty END AS mx, CASE WHEN up = 1 THEN 842 - ty ELSE tx END AS my, CASE WHEN h > 0 THEN h ELSE size END AS high FROM t)
+    SELECT doc_id, page, item, str, floor(mx * 100 + 0.5) / 100 AS x, floor((my - high) * 100 + 0.5) / 100 AS y, CASE WHEN page % 3 = 0 THEN 0 ELSE floor(w * 100 + 0.5) / 100 END AS width, floor(high * 100 + 0.5) / 100 AS height, floor(size * 100 + 0.5) / 100 AS font_height, page = 1 AS has_eol FROM m""")
+def placed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text matrices composed with the viewports of upright and turned pages."""
+    n, size = F.col("l_linenumber"), F.col("l_tax") * 100 + 8
+    six = lambda *v: F.array(*((x if isinstance(x, Column) else F.lit(float(x))).cast("double") for x in v))
+    viewport = F.when(n % 2 == 1, six(1, 0, 0, -1, 0, 842)).otherwise(six(0, 1, 1, 0, 0, 0))
+    text = F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).otherwise("")
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("page"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("item"), text.alias("str"), viewport.alias("viewport"),
+        six(size, 0, 0, size, F.col("l_discount") * 1000, F.col("l_extendedprice") / 200).alias("transform"), F.when(n % 3 != 0, F.col("l_quantity")).alias("width"), (F.col("l_quantity") - 10).alias("height"), F.when(n == 1, True).alias("has_eol"),
+    )
+    return layout.placed(raw)
