@@ -1,20 +1,26 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass looks at every block alone: many
-link letters make it bad; a long one with many stop words is good; short ones and those with a middling
-share of stop words stay open. The second pass gives an open block the label of its nearest decided
-neighbour.
-
-Tags and names bound *sections*: an article or main element, a menu, header, footer, form, advert, notice or
-comment list, or the rest of the page. They count in three ways: prose inside a menu, advert and the like is
-bad however it reads, and so is what stands beside an article; neighbours are those of
-the same section, and in the rest of the page a change of section counts as ``BORDER`` blocks; a section
-without any decided block is good if it is an article and bad if it is a menu and the like.
+A page is cut into blocks at block-level tags. The first pass decides blocks by their densities: many
+link letters make one bad; a long one with many stop words is good, a long one with few is bad; short ones and those with a
+middling share of stop words stay open. On a page whose long blocks have hardly any stop word of the known languages, stop words
+tell nothing, and length and link density decide. The second pass gives an open block the label of its nearest decided neighbour.
+
+Tags and names weigh, and none condemns prose alone:
+
+* Menus, footers, forms, asides and the like, hidden parts, and elements whose class or id holds words for them, are *set aside*. What is set aside by a
+  name is taken back where nothing outside of it is good, if the name has other words too or the element holds the page's h1; so is what a form holds.
+* A name that ends in a word for the article (``legal-news``) counts for nothing; one that holds a doubtful word beside unknown ones is *doubtful*:
+  there prose is good from ``DOUBT`` times the length on, and short blocks are bad.
+* The header of the page itself is set aside, one inside a part of the page is doubtful, but its headings follow what comes after it.
+* An article or main element bounds the text if it holds at least half of the page's good letters; a page of teasers in
+  articles is decided by densities alone.
+* Neighbours are those of the same part of the page (the innermost element that holds two blocks or more). Where a part has no good block, an article is good but for its link lists,
+  and other parts look further: a change of part counts as ``BORDER`` blocks, and the page's ends count as bad.
+
 A heading takes the label of what follows it; on a tie good wins.
 
-Defined cases: null, empty or markup-free html gives its plain text or ""; a page on which nothing is decided and
-nothing is a section is kept whole; unclosed tags and comments run to the end of what holds them; repeated
-rows are each answered. Time is linear in the page's length.
+Defined cases: null, empty or markup-free html gives its plain text or ""; a page without any good block keeps its open ones that aren't
+set aside or doubtful; unclosed tags and comments run to the end of what holds them; repeated rows are each answered. Time is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -42,6 +48,7 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math object canvas noframes noembed xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form button select menu dialog search head fieldset".split())
+PART_TAGS = frozenset("article aside blockquote body center div footer form header main nav section td th".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a stray end tag inside them doesn't close.
@@ -49,12 +56,12 @@ BARRIERS = frozenset("article main body table td".split())
 #: A tag that opens implicitly closes an open one of these.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCK_TAGS if t not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "body")}
 
-# Words of class and id that name what isn't the article, whole or as a word's beginning.
-BAD_WORDS = frozenset(
-    """ad ads adsense banner cookie cookies consent gdpr notice alert popup modal overlay newsletter signup social share sharing related widget sidebar rail menu breadcrumb breadcrumbs pagination pager
-    toolbar topbar masthead footer foot header comment comments commentlist replies respond disqus login search tags copyright legal disclaimer""".split()
-)
+# Words of class and id. BAD_WORDS and BAD_PREFIXES name what isn't the article, DOUBTFUL_WORDS often do, GOOD_WORDS name the article, PLAIN_WORDS say nothing.
+BAD_WORDS = frozenset("adsense cookie cookies consent gdpr popup modal newsletter related sidebar menu breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer comment comments commentlist disqus".split())
 BAD_PREFIXES = ("advert", "sponsor", "promo", "subscri", "recommend", "nav")
+DOUBTFUL_WORDS = frozenset("ad ads banner notice alert overlay signup social share sharing widget rail foot header replies respond login search tags copyright legal disclaimer".split())
+GOOD_WORDS = frozenset("article articles story stories news post posts entry prose essay blog report chapter".split())
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons card col column container content form global group inner item items label left link links list main outer page panel right row section site slot sticky text the top unit user wrap wrapper".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 MAX_LINK_DENSITY = 0.33
@@ -64,13 +71,24 @@ LONG_CHARS = 70
 LOW_STOPWORDS = 0.15
 HIGH_STOPWORDS = 0.30
 BORDER = 3
+#: The page's ends are bad neighbours at this distance from its first and last block.
+EDGE = 2
+#: So many times longer must prose be in doubtful places.
+DOUBT = 2
+#: Where no block of a page is good, shorter ones with many stop words are.
+SHORT_CHARS = 25
 
-NEUTRAL, CONTENT, BOILERPLATE = 0, 1, 2
+NEUTRAL, CONTENT, DOUBTFUL, ASIDE = 0, 1, 2, 3
+#: How a section is set aside: for good; unless it holds the page's h1; unless nothing else is good; so, and an article inside counts.
+FIRM, NAMED, LOOSE, FORM = 0, 1, 2, 3
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ROOT = ("", 0, 0, 0)
 #: Attributes up to the end of a tag; only a quote after an equals sign opens a value.
 _ATTRS = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+")
 _ATTR = re.compile(r"(?<![\w:-])([a-zA-Z:_-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+_NAME_WORDS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: White space of the markup and of plain text, no-break space included.
 _SPACES = re.compile(r"\s+")
@@ -81,12 +99,28 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 class Block:
     text: str
     link_chars: int
+    part: int
     section: int
     kind: int
-    heading: bool
+    tag: str
     label: str = ""
     second: bool = False
 
+    @property
+    def heading(self) -> bool:
+        return self.tag in HEADINGS
+
+    @property
+    def linked(self) -> float:
+        return self.link_chars / len(self.text)
+
+
+@dataclass(slots=True)
+class Page:
+    blocks: list[Block]
+    #: Of each section how firmly it is set aside; 0 is the page.
+    sections: list[int]
+
 
 def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
     """(text before, tag, attributes, slash of an end tag) of each tag; the last has no tag. Raw elements are skipped."""
@@ -125,21 +159,35 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
     yield source[start:], "", "", ""
 
 
-def named_bad(attrs: str) -> bool:
-    """Whether class, id, role or style tell that an element isn't part of the article, or isn't seen."""
+def named(attrs: str) -> tuple[int, int]:
+    """(kind, firmness) that class, id, role and style suggest."""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    words = re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    if any(w in BAD_WORDS or w.startswith(BAD_PREFIXES) for w in words):
-        return True
     hidden = "hidden" in attrs.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return hidden or found.get("role", "").lower() in BAD_ROLES
+    if hidden or found.get("role", "").lower() in BAD_ROLES:
+        return ASIDE, FIRM
+    kind, firm = NEUTRAL, FIRM
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = [w for w in _NAME_WORDS.split(_CAMEL.sub("-", name).lower()) if w]
+        bad = sum(w in BAD_WORDS or w.startswith(BAD_PREFIXES) for w in words)
+        doubtful = sum(w in DOUBTFUL_WORDS for w in words)
+        telling = [w for w in words if w not in PLAIN_WORDS]
+        if not bad + doubtful or not bad and telling[-1] in GOOD_WORDS:
+            continue
+        whole = bad + doubtful == len(telling)
+        if bad or whole:
+            kind, firm = ASIDE, max(firm, NAMED if whole else LOOSE)
+        elif kind == NEUTRAL:
+            kind = DOUBTFUL
+    return kind, firm
 
 
-def blocks_of(source: str) -> list[Block]:
+def parse(source: str) -> Page:
+    """Blocks in page order, each with its part of the page and the section that it is in."""
     out: list[Block] = []
+    above, firmness = [0], [FIRM]  # of each part the part around it; of each section
     parts: list[str] = []
-    link = sections = 0
-    stack: list[tuple[str, int, int]] = []  # tag, kind and number of the section inside
+    link = 0
+    stack: list[tuple[str, int, int, int]] = []  # tag, kind, number of section and of part inside
     where: dict[str, list[int]] = {}  # places in the stack of each open tag
     block_at: list[int] = []  # of open block-level tags
     barrier_at: list[int] = [-1]
@@ -148,13 +196,13 @@ def blocks_of(source: str) -> list[Block]:
         nonlocal link
         text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            tag, kind, section = stack[-1] if stack else ("", NEUTRAL, 0)
-            out.append(Block(text, min(link, len(text)), section, kind, bool(block_at) and stack[block_at[-1]][0] in HEADINGS))
+            _, kind, section, part = stack[-1] if stack else ROOT
+            out.append(Block(text, min(link, len(text)), part, section, kind, stack[block_at[-1]][0] if block_at else ""))
         parts.clear()
         link = 0
 
     def pop(at: int) -> None:
-        if block_at and block_at[-1] >= at or stack[-1][2] != (stack[at - 1][2] if at else 0):
+        if block_at and block_at[-1] >= at or stack[-1][2] != (stack[at - 1] if at else ROOT)[2]:
             flush()
         while len(stack) > at:
             i, tag = len(stack) - 1, stack[-1][0]
@@ -194,24 +242,58 @@ def blocks_of(source: str) -> list[Block]:
             flush()
         if tag in ("br", "hr", "img", "input"):
             parts.append(" ")
-        if tag in VOID_TAGS or attrs.endswith("/"):
+        if tag in VOID_TAGS or attrs.endswith("/") and attrs[-2:-1] in ("", " ", "\t", "\n", "'", '"'):  # a bare value may end in a slash
             continue
-        _, kind, section = stack[-1] if stack else ("", NEUTRAL, 0)
-        if kind != BOILERPLATE:
-            bad = tag in BAD_TAGS or tag == "header" and kind == NEUTRAL or bool(attrs) and tag not in ("html", "body", "article", "main") and named_bad(attrs)
-            if bad or tag in CONTENT_TAGS and kind == NEUTRAL:
-                flush()
-                sections += 1
-                kind, section = BOILERPLATE if bad else CONTENT, sections
+        _, kind, section, part = stack[-1] if stack else ROOT
+        if tag in PART_TAGS:
+            above.append(part)
+            part = len(above) - 1
+        told = kind_of(tag, attrs, kind, stack[-1][0] if stack else "", firmness[section])
+        if told:
+            flush()
+            kind, firm = told
+            firmness.append(firm)
+            section = len(firmness) - 1
         i = len(stack)
-        stack.append((tag, kind, section))
+        stack.append((tag, kind, section, part))
         where.setdefault(tag, []).append(i)
         if tag in BLOCK_TAGS:
             block_at.append(i)
         if tag in BARRIERS:
             barrier_at.append(i)
     flush()
-    return out
+    merge_parts(out, above)
+    return Page(out, firmness)
+
+
+def kind_of(tag: str, attrs: str, kind: int, around: str, firm: int) -> tuple[int, int] | None:
+    """(kind, firmness) of the section that a tag opens inside one of ``kind`` and ``firm``, or None if it opens none."""
+    if tag in ("html", "body"):
+        return None
+    if kind == ASIDE:  # a form or a name around the whole page doesn't hide its article
+        return (CONTENT, FIRM) if firm == FORM and tag in CONTENT_TAGS or firm != FIRM and tag == "main" else None
+    said, how = named(attrs) if attrs else (NEUTRAL, FIRM)
+    if said == ASIDE and (tag != "main" or how == FIRM):
+        return ASIDE, how
+    if tag in BAD_TAGS:
+        return ASIDE, FORM if tag == "form" else FIRM
+    if tag == "header" and kind != CONTENT:
+        return (ASIDE, NAMED) if around in ("", "html", "body") else (DOUBTFUL, FIRM)
+    if tag in CONTENT_TAGS:
+        return (CONTENT, FIRM) if kind != CONTENT else None
+    return (DOUBTFUL, FIRM) if said == DOUBTFUL and kind == NEUTRAL else None
+
+
+def merge_parts(blocks: list[Block], above: list[int]) -> None:
+    """Elements that hold a single block are no parts of their own."""
+    held = [0] * len(above)
+    for b in blocks:
+        held[b.part] += 1
+    for part in range(len(above) - 1, 0, -1):
+        held[above[part]] += held[part]
+    for b in blocks:
+        while held[b.part] == 1 and b.part:
+            b.part = above[b.part]
 
 
 def stopword_density(text: str) -> float:
@@ -219,34 +301,72 @@ def stopword_density(text: str) -> float:
     return sum(w in STOPWORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(blocks: list[Block]) -> None:
-    """good, bad or "" (open) from a block's own link density, length and stop-word density."""
+def prose(blocks: list[Block]) -> bool:
+    """Whether anything that isn't set aside is good."""
+    return any(b.label == "good" and b.kind != ASIDE for b in blocks)
+
+
+def first_pass(page: Page) -> None:
+    """good, bad or "" (open) from a block's link density, length and stop-word density, and from the weight of its section."""
+    blocks = page.blocks
+    shares = [stopword_density(b.text) if len(b.text) >= SHORT_CHARS else 0.0 for b in blocks]
+    told = [(len(b.text), s) for b, s in zip(blocks, shares, strict=True) if len(b.text) >= LONG_CHARS and b.linked <= MAX_LINK_DENSITY]
+    known = sum(n * s for n, s in told) >= LOW_STOPWORDS * sum(n for n, _ in told)
+    for b, share in zip(blocks, shares, strict=True):
+        if b.linked > (MAX_ARTICLE_LINKS if b.kind == CONTENT else MAX_LINK_DENSITY):
+            b.label = "bad"
+        elif len(b.text) >= LONG_CHARS * (DOUBT if b.kind == DOUBTFUL else 1) and (share >= HIGH_STOPWORDS or not known):
+            b.label = "good"
+        elif b.kind == DOUBTFUL:
+            b.label = "" if b.heading else "bad"
+        elif len(b.text) >= LONG_CHARS and share < LOW_STOPWORDS and b.kind != CONTENT:
+            b.label = "bad"
+    if not prose(blocks):
+        take_back(page)
+    if not prose(blocks):
+        for b, share in zip(blocks, shares, strict=True):
+            if b.kind in (NEUTRAL, CONTENT) and not b.label and len(b.text) >= SHORT_CHARS and share >= HIGH_STOPWORDS:
+                b.label = "good"
+    bound(blocks)
+
+
+def take_back(page: Page) -> None:
+    """What a name or a form set aside, where nothing else of the page could be its text."""
+    if any(b.kind == CONTENT and b.label != "bad" for b in page.blocks):
+        return
+    titled = {b.section for b in page.blocks if b.tag == "h1"}
+    good = {b.section for b in page.blocks if b.label == "good" and b.kind == ASIDE}
+    back = {i for i in good if page.sections[i] in (LOOSE, FORM) or page.sections[i] == NAMED and i in titled}
+    for b in page.blocks:
+        if b.section in back:
+            b.kind = NEUTRAL
+
+
+def bound(blocks: list[Block]) -> None:
+    """What is set aside is bad; an article with half of the good letters bounds the text."""
     for b in blocks:
-        linked = b.link_chars / len(b.text)
-        if linked > (MAX_ARTICLE_LINKS if b.kind == CONTENT else MAX_LINK_DENSITY):
+        if b.kind == ASIDE:
             b.label = "bad"
-        elif len(b.text) >= LONG_CHARS:
-            share = stopword_density(b.text)
-            if share >= HIGH_STOPWORDS:
-                b.label = "bad" if b.kind == BOILERPLATE else "good"
-            elif share < LOW_STOPWORDS and b.kind != CONTENT:
-                b.label = "bad"
-    if any(b.kind == CONTENT for b in blocks):
+    inside = sum(len(b.text) for b in blocks if b.kind == CONTENT and b.label == "good")
+    outside = sum(len(b.text) for b in blocks if b.kind in (NEUTRAL, DOUBTFUL) and b.label == "good")
+    if any(b.kind == CONTENT for b in blocks) and (inside >= outside or not inside and outside < DOUBT * LONG_CHARS):
         for b in blocks:
-            if b.kind == NEUTRAL:
+            if b.kind in (NEUTRAL, DOUBTFUL):
                 b.label = "bad"
 
 
-def _neighbours(blocks: list[Block], order: range, places: list[int]) -> list[tuple[int, str] | None]:
-    """Of each block, (distance, label) of the decided block last met in this order: of its section, or of any for the rest of the page."""
+def _sweep(blocks: list[Block], order: range, places: list[int], own: set[int]) -> list[tuple[int, str] | None]:
+    """Of each block, (distance, label) of the decided block last met in this order: of its part if that is in ``own``, else of any."""
     last: dict[int, tuple[int, str]] = {}
     out: list[tuple[int, str] | None] = [None] * len(blocks)
     for i in order:
         b = blocks[i]
-        near = last.get(b.section if b.kind != NEUTRAL else -1)
+        near = last.get(b.part if b.part in own else -1)
         out[i] = (abs(places[i] - near[0]), near[1]) if near else None
         if b.label:
-            last[b.section] = last[-1] = (places[i], b.label)
+            last[-1] = (places[i], b.label)
+            if b.kind != ASIDE:  # an advert between two paragraphs is nobody's neighbour
+                last[b.part] = last[-1]
     return out
 
 
@@ -254,32 +374,35 @@ def second_pass(blocks: list[Block]) -> None:
     """Open blocks inherit the label of their nearest decided neighbour."""
     places, at = [], 0
     for i, b in enumerate(blocks):
-        at += 1 + (BORDER if i and blocks[i - 1].section != b.section else 0)
+        at += 1 + (BORDER if i and blocks[i - 1].part != b.part else 0)
         places.append(at)
-    before, after = _neighbours(blocks, range(len(blocks)), places), _neighbours(blocks, range(len(blocks) - 1, -1, -1), places)
-    nothing = not any(b.label for b in blocks)
-    for b, left, right in zip(blocks, before, after, strict=True):
+    own = {b.part for b in blocks if b.label == "good"}
+    sure = bool(own)
+    before, after = _sweep(blocks, range(len(blocks)), places, own), _sweep(blocks, range(len(blocks) - 1, -1, -1), places, own)
+    for i, (b, left, right) in enumerate(zip(blocks, before, after, strict=True)):
         if b.label:
             continue
         b.second = True
-        near = right if b.heading and right else min((x for x in (left, right) if x), key=lambda x: (x[0], x[1] == "bad"), default=None)
-        if near:
-            b.label = near[1]
+        if not sure or b.kind == CONTENT and b.part not in own:  # link lists alone don't pull an article down
+            b.label = "good" if b.kind in (NEUTRAL, CONTENT) else "bad"
+        elif b.heading and right:
+            b.label = right[1]
         else:
-            b.label = "good" if b.kind == CONTENT or b.kind == NEUTRAL and nothing else "bad"
+            ends = [] if b.part in own else [(i + EDGE, "bad"), (len(blocks) - 1 - i + EDGE, "bad")]
+            b.label = min((x for x in (left, right, *ends) if x), key=lambda x: (x[0], x[1] == "bad"))[1]
 
 
-def decide(blocks: list[Block]) -> None:
-    first_pass(blocks)
-    second_pass(blocks)
+def decide(page: Page) -> None:
+    first_pass(page)
+    second_pass(page.blocks)
 
 
 def main_text(source: str | None) -> str:
-    blocks = blocks_of(source or "")
+    page = parse(source or "")
     if "<" not in (source or ""):
-        return "\n\n".join(b.text for b in blocks)
-    decide(blocks)
-    return "\n\n".join(b.text for b in blocks if b.label == "good")
+        return "\n\n".join(b.text for b in page.blocks)
+    decide(page)
+    return "\n\n".join(b.text for b in page.blocks if b.label == "good")
 
 
 def extract(pages: DataFrame) -> DataFrame:
