@@ -27,9 +27,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, stash
+from .shared import ARROW_BYTES, in_arrow, join_unique, scratch, stash
 
 CHUNK = 1 << 18
+#: Payloads read back go on together up to so many bytes or rows.
+READ_BYTES = ARROW_BYTES
+READ_ROWS = 10_000
 
 
 def digest(payload: bytes) -> str:
@@ -126,11 +129,17 @@ def _task() -> int:
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to); only digests and ids meet, and html moves once, by page."""
+    """(page_id, url, html, refers_to); only digests and ids meet, and html moves once, by page.
+
+    A payload that a large share of pages has, such as the empty one, is no key of a shuffle: ``join_unique`` broadcasts it.
+    """
     html = F.coalesce("html", F.lit(""))
     seen = pages.select("page_id", F.sha1(html.cast("binary")).alias("_sha"), F.octet_length(html).alias("_size"))
     firsts = seen.where(F.col("_size") >= min_bytes).groupBy("_sha", "_size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1")
-    late = seen.join(firsts, ["_sha", "_size"]).where("page_id > refers_to or (page_id is null and refers_to is not null)")
+    firsts = stash(firsts, "warc-firsts")
+    keys = ["_sha", "_size"]
+    late = join_unique(seen, firsts.drop("_n"), keys, firsts.select(*keys, F.col("_n").alias("n")))
+    late = late.where("page_id > refers_to or (page_id is null and refers_to is not null)")
     late = late.select(F.col("page_id").alias("_page"), "_sha", "refers_to").distinct()
     rows = pages.select("page_id", "url", html.alias("html"))
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.sha1(F.col("html").cast("binary")) == F.col("_sha"))
@@ -156,7 +165,7 @@ def write_archives(marked: DataFrame, root: str) -> DataFrame:
         Store(root).write(name, parts())
         yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([n], pa.int64())})
 
-    return stash(marked.mapInArrow(run, "archive string, records bigint"), "archives")
+    return stash(in_arrow(marked, run, "archive string, records bigint"), "archives")
 
 
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
@@ -214,17 +223,23 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
     def number(uri: str | None) -> int | None:
         return int(uri[10:-1]) if uri and uri != "<urn:page:>" else None
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, held, name = Store(root), None, None
+        # A batch of the index is a few bytes a row and says nothing of its payloads: these are counted and handed on by their bytes.
+        store, source, name = Store(root), None, None
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
             for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if archive != name:
-                    if held is not None:
-                        held.close()
-                    held, name = store.open(archive), archive
-                held.seek(offset)
-                ((fields, raw),) = records(iter([zlib.decompress(held.read(length), 31)]))
+                    if source is not None:
+                        source.close()
+                    source, name = store.open(archive), archive
+                source.seek(offset)
+                ((fields, raw),) = records(iter([zlib.decompress(source.read(length), 31)]))
                 block = raw[raw.index(b"\r\n\r\n") + 4 : -4]
                 head, _, payload = block.partition(b"\r\n\r\n")
                 said = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -232,11 +247,17 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
                 if fields["warc-type"] == "response" and (len(payload), digest(payload)) != (size, said):
                     raise ValueError(f"record {fields['warc-record-id']} of {archive} doesn't match its digest")
                 out.append((number(fields["warc-record-id"]), size, said, fields["warc-type"], number(fields.get("warc-refers-to")), payload))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                held += len(payload)
+                if held >= READ_BYTES or len(out) >= READ_ROWS:
+                    yield table(out)
+                    out, held = [], 0
+        if out:
+            yield table(out)
+        if source is not None:
+            source.close()
 
     ddl = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return index.select("archive", "offset", "length").mapInArrow(run, ddl)
+    return in_arrow(index.select("archive", "offset", "length"), run, ddl)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

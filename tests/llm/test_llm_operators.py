@@ -256,6 +256,23 @@ def test_best_fit_keeps_every_capacity(rule):
         assert own.sum() <= 100 and len(own) <= 4 and (own.astype(float) ** 2).sum() <= max(6000.0, own[0] ** 2)
 
 
+def test_warc_reads_back_by_bytes_and_marks_a_hot_payload(spark, monkeypatch):
+    """A third of all pages is empty: they stay where they are, and every later one refers to the first."""
+    monkeypatch.setattr(warc, "READ_BYTES", 40_000)
+    monkeypatch.setattr(shared, "HOT_KEYS", 10)
+    rows = [(i, f"u{i}", None if i % 3 == 0 else f"page {i % 50}" * 3_000 if i % 3 == 1 else f"only {i}") for i in range(300)]
+    got = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html or "", i)
+    for i, _, html in rows:
+        r = got[i]
+        want = first[html or ""]
+        assert (r.record_type, r.refers_to) == (("response", None) if want == i else ("revisit", want))
+        assert r.payload_bytes == len(html or "") and (bytes(r.payload).decode() == (html or "") or r.refers_to is not None)
+
+
 def test_warc(spark):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, "http://c", None), (5, "http://d", ""), (4, "http://e", "ü\r\n\r\nWARC/1.1"), (None, "u", "same"), (1, "http://b", "same")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
