@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import contact
 from ..operators import checks, jobs, versions
 from ..sources import extraction
+from . import contact_sql
 from .registry import query, table
 
 NOW = "2024-01-15 12:00:00"
@@ -216,16 +217,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({f"{k}_check": c for k, c in final.items()})
 
 
-@query()
+@query(contact_sql.SCORES)
 def contact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and reason of four fields; back-references have no SQL here, tests hold vectors."""
+    """Score and reason of four fields."""
     fields = ("name", "email", "phone", "message")
     rows = _scored(spark, sf_dir)
     mean = sum((F.col(f"{k}_check.score") for k in fields), F.lit(0.0)) / 4
     return rows.select("id", *(F.col(f"{k}_check.{p}").alias(f"{k}_{p}") for k in fields for p in ("score", "reason")), F.round(mean, 4).alias("validation_score"))
 
 
-@query()
+@query(contact_sql.LOG)
 def validation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.failing_fields(_scored(spark, sf_dir), "id", ["name", "email", "phone", "message"])
 
