@@ -195,7 +195,8 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[
         out[from_long] = picked
         for r in np.flatnonzero((counts > 0) & (counts < k)):
             n = int(counts[r])
-            out[out_first[r]] = (h[first[r] : first[r] + n] * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n) * _PLACE[14]
+            # Sums wrap in arrays without a warning, unlike those of single numbers.
+            out[out_first[r] : out_first[r] + 1] = np.full(1, n, np.uint64) * _PLACE[14] + (h[first[r] : first[r] + n] * _PLACE[:n]).sum(dtype=np.uint64)
     return mix(out), out_first
 
 
