@@ -32,7 +32,8 @@ def nfkd(text: pd.Series) -> pd.Series:
 def canonical(text: Column, compose: bool = True) -> Column:
     """Composed, ligatures spelt out, invisible characters gone, broken words joined, marks unified, one space, lower case."""
     s = F.coalesce(text, F.lit(""))
-    s = nfkc(s) if compose else s
+    # Texts of ASCII alone are composed already and don't go to Python.
+    s = F.coalesce(nfkc(F.when(F.octet_length(s) > F.char_length(s), s)), s) if compose else s
     for a, b in LIGATURES:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, "[­​‌‍﻿⁠]", "")
