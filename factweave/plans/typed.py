@@ -72,7 +72,7 @@ def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which chunks conform as a whole, and how many of their metrics do."""
     chunks = metric_chunks(spark, sf_dir)
     read = stored(extraction.read_chunks(chunks), "typed-chunks")
-    whole = read.select("doc_id", "conforms", F.col("identity.companyName").alias("company"), F.expr(f"CAST(size({typed.elements(typed.member('body', 'metrics'))}) AS BIGINT)").alias("n_items"))
+    whole = read.select("doc_id", "conforms", F.col("identity.companyName").alias("company"), F.coalesce(F.col("body.given.metrics"), F.lit(0)).cast("bigint").alias("n_items"))
     kept = extraction.read_items(read, ("metric",)).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
     return whole.join(kept, "doc_id", "left").fillna(0, ["n_kept"])
 

@@ -1,16 +1,22 @@
 """Tolerant schema-on-read of model output: scalars are coerced, malformed items dropped one by one.
 
-JSON is read as a variant, so that a number given for a text is taken and an object is not. A chunk whose identity or
-valuation is malformed doesn't conform as a whole; an item of an array that doesn't costs itself alone.
+JSON is read with its types, so that a number given for a text is taken and an object is not. A chunk whose identity or
+valuation is malformed doesn't conform as a whole; an item of an array that doesn't costs itself alone. A text is parsed once, in batches
+of Arrow: readers written as expressions run interpreted over nested values, at a multiple of the time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CODES, clean_code
-from . import typed
+from . import reading, typed
 
 # Field names of a chunk's JSON.
 IDENTITY_FIELDS = ("companyName", "ticker", "exchange", "isin", "sector", "industry", "currency", "researchHouse", "analystName", "analystTitle", "publishedDate", "reportType", "accountingBasis")
@@ -26,33 +32,42 @@ CHART_TYPES = ("line", "bar", "comparison")
 LEGACY_CHARS = 800_000
 
 
-def strip_fence(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
+#: What readers give; the rest give texts.
+_GIVES: dict[reading.Reader, pa.DataType] = {reading.soft_int: pa.float64(), reading.soft_number: pa.float64(), reading.soft_flag: pa.bool_(), reading.soft_numbers: pa.list_(pa.float64()), reading.soft_texts: pa.list_(pa.string())}
+_DDL = {pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean", pa.int32(): "int"}
 
 
-def first_object(text: Column) -> Column:
-    """From the first brace to the last."""
-    a, b = F.locate("{", text), F.length(text) - F.locate("}", F.reverse(text)) + 1
-    return F.when((a > 0) & (b > a), F.substr(text, a, b - a + 1))
+def _ddl(of: pa.DataType) -> str:
+    """A type of Arrow as Spark writes it."""
+    if pa.types.is_list(of):
+        return f"array<{_ddl(of.value_type)}>"
+    if pa.types.is_struct(of):
+        return "struct<" + ",".join(f"{f.name}:{_ddl(f.type)}" for f in of) + ">"
+    return _DDL[of]
 
 
-def _readers(*fields: str) -> dict[str, typed.Reader]:
-    return {f: typed.soft_int if f.endswith("Page") else typed.required if f.endswith("Quote") else typed.soft_text for f in fields}
+def _shape(taken: reading.Fields) -> pa.DataType:
+    return pa.struct([(to, _GIVES.get(f, pa.string())) for to, _, f in taken])
 
 
-def read_chunks(chunks: DataFrame, payload: str = "payload") -> DataFrame:
-    """Chunks with ``identity`` and ``valuation`` (null if absent) and ``body``, the whole as a variant, in place of the payload.
+def _read(payload: Column, of: pa.DataType, read: Callable[[str | None], dict[str, Any]]) -> Column:
+    """What ``read`` makes of each text; null where it finds the whole malformed."""
 
-    ``conforms`` tells whether the payload is one object and neither record in it is malformed; else all three are null.
-    """
-    shapes = {"identity": _readers(*IDENTITY_FIELDS, "identityQuote", "identityPage"), "valuation": _readers(*VALUATION_FIELDS, "valuationQuote", "valuationPage")}
-    both = "named_struct('body', b, " + ", ".join(f"'{k}', {typed.record(typed.member('b', k), shape)}" for k, shape in shapes.items()) + ")"
-    fine = " AND ".join([typed.is_object("c.body"), *(f"(c.{k}.ok OR {typed.absent(typed.member('c.body', k))})" for k in shapes)])
-    whole = f"if(coalesce({fine}, false), named_struct('body', c.body, 'identity', c.identity.value, 'valuation', c.valuation.value), null)"
-    rows = chunks.withColumn("_text", strip_fence(F.col(payload)))
-    rows = rows.withColumn("_c", F.expr(typed.let(typed.let(typed.parsed("_text"), "b", both), "c", whole)))
-    kept = [c for c in chunks.columns if c != payload]
-    return rows.select(*kept, F.col("_c").isNotNull().alias("conforms"), "_c.body", "_c.identity", "_c.valuation")
+    def one(text: str | None) -> dict[str, Any] | None:
+        try:
+            return read(text)
+        except reading.Malformed:
+            return None
+
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], of)
+
+    # Not to be pushed below a filter or into one, where it would run a second time.
+    return F.arrow_udf(batch, _ddl(of)).asNondeterministic()(payload)
+
+
+def _readers(*fields: str) -> reading.Fields:
+    return reading.fields({f: reading.soft_int if f.endswith("Page") else reading.required if f.endswith("Quote") else reading.soft_text for f in fields})
 
 
 # Where each kind of item stands in a chunk, and the fields that fill its places.
@@ -63,6 +78,43 @@ PLACES = {
     "thesis": ("thesisPoints", {"title": "title", "body": "explanation"}),
     "section": ("sections", {"title": "heading", "body": "summary"}),
 }
+_RECORDS = {"identity": _readers(*IDENTITY_FIELDS, "identityQuote", "identityPage"), "valuation": _readers(*VALUATION_FIELDS, "valuationQuote", "valuationPage")}
+#: For each place of an item its field and reader.
+_TAKEN = {kind: [(place, field, reading.required if place in ("title", "body", "quote") else reading.soft_int if place == "page" else reading.soft_text) for place, field in (places | {"quote": "sourceQuote", "page": "sourcePage"}).items()] for kind, (_, places) in PLACES.items()}
+_ITEM = pa.struct([("kind", pa.string()), ("item_idx", pa.int32()), *((p, pa.string()) for p in ("title", "body", "period", "code", "category", "quote")), ("page", pa.float64())])
+_BODY = pa.struct([("given", pa.struct([(name, pa.int32()) for name, _ in PLACES.values()])), ("items", pa.list_(_ITEM))])
+_CHUNK = pa.struct([("body", _BODY), *((kind, _shape(readers)) for kind, readers in _RECORDS.items())])
+_OPENED, _CLOSED = re.compile(r"```(?:json)?\s*", re.IGNORECASE), re.compile(r"\s*```\Z")
+
+
+def _chunk(text: str | None) -> dict[str, Any]:
+    bare = (text or "").strip()
+    opened = _OPENED.match(bare)
+    bare = bare[opened.end() :] if opened else bare
+    whole = reading.parsed(_CLOSED.sub("", bare) if bare.endswith("```") else bare)
+    if type(whole) is not dict:
+        raise reading.Malformed
+    found = {kind: None if whole.get(kind) is None else reading.record(whole[kind], readers) for kind, readers in _RECORDS.items()}
+    items: list[dict[str, Any]] = []
+    given = {}
+    for kind, (name, _) in PLACES.items():
+        each = whole.get(name)
+        given[name] = len(each) if type(each) is list else 0
+        for i, r in enumerate(reading.records(each, _TAKEN[kind]) if each else ()):
+            r["kind"], r["item_idx"] = kind, i
+            items.append(r)
+    return found | {"body": {"given": given, "items": items}}
+
+
+def read_chunks(chunks: DataFrame, payload: str = "payload") -> DataFrame:
+    """Chunks with ``identity`` and ``valuation`` (null if absent) and ``body``, in place of the payload.
+
+    ``body`` has the ``items`` that conform and how many each array had ``given``. ``conforms`` tells whether the payload is one object and neither
+    record in it is malformed; else all three are null.
+    """
+    kept = [c for c in chunks.columns if c != payload]
+    rows = chunks.select(*kept, _read(F.col(payload), _CHUNK, _chunk).alias("_c"))
+    return rows.select(*kept, F.col("_c").isNotNull().alias("conforms"), "_c.body", "_c.identity", "_c.valuation")
 
 
 def read_items(read: DataFrame, kinds: tuple[str, ...] = tuple(PLACES)) -> DataFrame:
@@ -71,15 +123,8 @@ def read_items(read: DataFrame, kinds: tuple[str, ...] = tuple(PLACES)) -> DataF
     A metric's code outside the set (AI among them) is U; for a catalyst ``code`` is its direction.
     """
     keys = [c for c in read.columns if c not in ("conforms", "identity", "valuation", "body")]
-
-    def of(kind: str) -> str:
-        name, places = PLACES[kind]
-        readers = {field: typed.required if place in ("title", "body") else typed.soft_text for place, field in places.items()} | {"sourceQuote": typed.required, "sourcePage": typed.soft_int}
-        fields = places | {"quote": "sourceQuote", "page": "sourcePage"}
-        placed = ", ".join(f"'{p}', {f'h.{fields[p]}' if p in fields else 'CAST(null AS STRING)'}" for p in ("title", "body", "period", "code", "category", "quote", "page"))
-        return f"transform({typed.records(typed.member('body', name), readers)}, (h, i) -> named_struct('kind', '{kind}', 'item_idx', i, {placed}))"
-
-    rows = read.select(*keys, F.explode(F.expr(f"concat({', '.join(map(of, kinds))})")).alias("i")).select(*keys, "i.*")
+    rows = read.select(*keys, F.explode("body.items").alias("i")).select(*keys, "i.*")
+    rows = rows if set(kinds) == set(PLACES) else rows.where(F.col("kind").isin(*kinds))
     codes = tuple(c for c in CODES if c != "AI")
     code = F.when(F.col("kind") == "metric", F.coalesce(clean_code(F.col("code"), codes), F.lit("U"))).otherwise(F.col("code"))
     return rows.withColumns({"code": code, "page": page(F.col("page"))})
@@ -99,24 +144,37 @@ def legacy_numbers(values: str) -> Column:
     return F.expr(f"transform(coalesce({values}, CAST(array() AS ARRAY<STRING>)), n -> coalesce({typed.leading_number('n')}, 0D))")
 
 
-def _bar_unless_known(s: str) -> str:
+def _bar_unless_known(v: Any) -> str:
     """A chart's type; whatever it is else, it is a bar chart."""
-    known = ", ".join(f"'{t}'" for t in CHART_TYPES)
-    return f"named_struct('ok', true, 'value', if({s}.kind = 'STRING' AND {s}.text IN ({known}), {s}.text, 'bar'))"
+    return v if type(v) is str and v in CHART_TYPES else "bar"
+
+
+_SERIES = reading.fields({"name": reading.verbatim_filled, "data": reading.soft_numbers})
 
 
-def _series(value: str) -> str:
-    return f"named_struct('ok', true, 'value', {typed.records(value, {'name': typed.verbatim_filled}, {'data': typed.soft_numbers})})"
+def _series(v: Any) -> list[dict[str, Any]]:
+    return reading.records(v, _SERIES)
 
 
-_T, _E = typed.verbatim, typed.verbatim_filled
-#: The first contract's arrays: readers of plain fields, and of arrays in them.
-_LEGACY: dict[str, tuple[dict[str, typed.Reader], dict[str, typed.Reader]]] = {
-    "metrics": ({"name": _E, "value": _E, "unit": _T, "currency": _T, "period": _T, "isHistorical": typed.soft_flag, "category": _E, "sourceExcerpt": _E, "page": typed.soft_number}, {}),
-    "sections": ({"title": _E, "summary": _E, "evidence": _E}, {"pageReferences": typed.soft_numbers}),
-    "risks": ({"risk": _E, "explanation": _E, "evidence": _E}, {}),
-    "charts": ({"type": _bar_unless_known, "title": _E}, {"labels": typed.soft_texts, "series": _series}),
+_GIVES[_series] = pa.list_(_shape(_SERIES))
+_T, _E = reading.verbatim, reading.verbatim_filled
+#: The first contract's own texts, and readers of the fields of its arrays.
+_OWN = reading.fields(dict.fromkeys(LEGACY_TEXTS, _T))
+_LEGACY: dict[str, reading.Fields] = {
+    "metrics": reading.fields({"name": _E, "value": _E, "unit": _T, "currency": _T, "period": _T, "isHistorical": reading.soft_flag, "category": _E, "sourceExcerpt": _E, "page": reading.soft_number}),
+    "sections": reading.fields({"title": _E, "summary": _E, "evidence": _E, "pageReferences": reading.soft_numbers}),
+    "risks": reading.fields({"risk": _E, "explanation": _E, "evidence": _E}),
+    "charts": reading.fields({"type": _bar_unless_known, "title": _E, "labels": reading.soft_texts, "series": _series}),
 }
+_DOCUMENT = pa.struct([("own", _shape(_OWN)), *((name, pa.list_(_shape(readers))) for name, readers in _LEGACY.items())])
+
+
+def _document(text: str | None) -> dict[str, Any]:
+    text = text or ""
+    if len(text) > LEGACY_CHARS:
+        raise reading.Malformed
+    whole = reading.parsed(text[text.find("{") : text.rfind("}") + 1])
+    return {"own": reading.record(whole, _OWN)} | {name: reading.records(whole.get(name), readers) for name, readers in _LEGACY.items()}
 
 
 def read_legacy(rows: DataFrame, payload: str = "payload") -> DataFrame:
@@ -125,10 +183,6 @@ def read_legacy(rows: DataFrame, payload: str = "payload") -> DataFrame:
     The object goes from the first brace to the last. ``conforms`` is false, and the rest null, beyond ``LEGACY_CHARS``
     characters, without an object, or if one of its own texts is malformed. Charts of an unknown type are bar charts.
     """
-    text = F.when(F.length(payload) <= LEGACY_CHARS, first_object(F.col(payload)))
-    arrays = ", ".join(f"'{name}', {typed.records(typed.member('b', name), *readers)}" for name, readers in _LEGACY.items())
-    own = typed.record("b", {f: typed.verbatim for f in LEGACY_TEXTS})
-    whole = typed.let(own, "c", f"if(coalesce(c.ok, false), named_struct('own', c.value, {arrays}), null)")
-    read = rows.withColumn("_text", text).withColumn("_d", F.expr(typed.let(typed.parsed("_text"), "b", whole)))
     kept = [c for c in rows.columns if c != payload]
+    read = rows.select(*kept, _read(F.col(payload), _DOCUMENT, _document).alias("_d"))
     return read.select(*kept, F.col("_d").isNotNull().alias("conforms"), "_d.own.*", *(f"_d.{name}" for name in _LEGACY))

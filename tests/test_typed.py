@@ -101,3 +101,26 @@ def test_canonical_json_at_every_depth(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", typed.canonical(typed.parsed("t")) + " AS c").collect()
     assert {r.t: r.c for r in rows} == {t: stable(json.loads(t)) for t in texts}
+
+
+def test_a_text_is_parsed_once_and_read_as_the_expressions_read_it(spark):
+    from factweave.sources import reading
+
+    pairs = (("text", typed.soft_text, reading.soft_text), ("same", typed.verbatim_filled, reading.verbatim_filled), ("int", typed.soft_int, reading.soft_int), ("number", typed.soft_number, reading.soft_number), ("flag", typed.soft_flag, reading.soft_flag))
+    rows = spark.createDataFrame([(t,) for t in TOKENS], "t string").selectExpr("t", typed.parsed("concat('{\"f\":', t, '}')") + " AS v")
+    for r in rows.select("t", *(F.expr(typed.record("v", {"f": f})).alias(n) for n, f, _ in pairs)).collect():
+        for name, _, f in pairs:
+            try:
+                got = (True, f(reading.parsed(r.t)))
+            except reading.Malformed:
+                got = (False, None)
+            assert got[0] == r[name].ok and (not got[0] or got[1] == r[name].value.f), (name, r)
+    # A filter on what a text holds doesn't parse it a second time.
+    for read in (extraction.read_chunks, extraction.read_legacy):
+        plan = read(spark.range(1).select(F.col("id").cast("string").alias("payload"))).where("conforms")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "try_variant_get" not in plan
+
+
+def test_nested_arrays_join_by_commas_and_nothing_else_is_lost(spark):
+    text = '{"charts":[{"labels":[["a]b",null,[1e21,"\\"c\\""]],[{}],"\\ud800"]}]}'
+    assert extraction.read_legacy(spark.range(1).withColumn("payload", F.lit(text))).first().charts[0].labels == ['a]b,,1e+21,"c"', "[object Object]", "?"]
