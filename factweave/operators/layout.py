@@ -72,14 +72,15 @@ def lines(items: DataFrame) -> DataFrame:
 
 def with_blocks(items: DataFrame) -> DataFrame:
     """Items of table rows (lines of three items or more) with ``block``: a new one after a wide vertical gap."""
-    rows = with_lines(items)
-    per_line = rows.groupBy(*PAGE, "line").agg(F.min("y").alias("ly"), F.max("height").alias("lh"), F.count("*").alias("m")).where(F.col("m") >= LEAST_ITEMS)
-    w = Window.partitionBy(*PAGE).orderBy("line")
-    gap = F.col("ly") - F.lag("ly").over(w) > F.greatest(F.lag("lh").over(w) * BLOCK_FACTOR, F.lit(BLOCK_LEAST))
-    blocks = _islands(per_line.withColumn("_gap", gap), PAGE, ["line"], F.col("_gap"), "block").drop("_gap")
-    big = Window.partitionBy(*PAGE, "block")
-    blocks = blocks.withColumn("n_rows", F.count("*").over(big)).where(F.col("n_rows") >= LEAST_ROWS)
-    return rows.join(blocks.select(*PAGE, "line", "block"), [*PAGE, "line"])
+    # Windows over the page throughout: the items are never moved or made again to meet what their lines add up to.
+    line, order = Window.partitionBy(*PAGE, "line"), ["line", "x", "item"]
+    rows = with_lines(items).withColumns({"_y": F.min("y").over(line), "_h": F.max("height").over(line), "_m": F.count("*").over(line)}).where(F.col("_m") >= LEAST_ITEMS)
+    w = Window.partitionBy(*PAGE).orderBy(*order)
+    gap = F.col("_y") - F.lag("_y").over(w) > F.greatest(F.lag("_h").over(w) * BLOCK_FACTOR, F.lit(BLOCK_LEAST))
+    first = ~F.lag("line").over(w).eqNullSafe(F.col("line"))
+    blocks = _islands(rows.withColumns({"_first": first, "_gap": first & gap}), PAGE, order, F.col("_gap"), "block")
+    n_rows = F.sum(F.col("_first").cast("int")).over(Window.partitionBy(*PAGE, "block"))
+    return blocks.withColumn("_n", n_rows).where(F.col("_n") >= LEAST_ROWS).drop("_y", "_h", "_m", "_first", "_gap", "_n")
 
 
 def anchors(items: DataFrame) -> DataFrame:
@@ -88,18 +89,22 @@ def anchors(items: DataFrame) -> DataFrame:
 
 
 def block_anchors(blocks: DataFrame) -> DataFrame:
+    return _columns(blocks).groupBy(*PAGE, "block", "col").agg(F.avg("cx").alias("anchor"))
+
+
+def _columns(blocks: DataFrame) -> DataFrame:
+    """Items with their centre and the column that it falls in."""
     rows = blocks.withColumn("cx", F.col("x") + F.col("width") / 2)
     w = Window.partitionBy(*PAGE, "block").orderBy("cx", "item")
-    rows = _islands(rows.withColumn("_gap", F.col("cx") - F.lag("cx").over(w) > ANCHOR_GAP), [*PAGE, "block"], ["cx", "item"], F.col("_gap"), "col")
-    return rows.groupBy(*PAGE, "block", "col").agg(F.avg("cx").alias("anchor"))
+    return _islands(rows.withColumn("_gap", F.col("cx") - F.lag("cx").over(w) > ANCHOR_GAP), [*PAGE, "block"], ["cx", "item"], F.col("_gap"), "col").drop("_gap")
 
 
 def cells(items: DataFrame) -> DataFrame:
     """Cells of each table: items go to the nearest anchor (the left one on a tie), those of one cell are joined left to right."""
-    # Anchors are few for each block, so they are gathered and joined back to its items.
-    rows = with_blocks(items).withColumn("cx", F.col("x") + F.col("width") / 2)
-    columns = block_anchors(rows).groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(F.struct("col", "anchor"))).alias("a")).where(F.size("a") >= LEAST_COLUMNS)
-    rows = rows.join(columns, [*PAGE, "block"])
+    # Anchors are few for each block, so each item sees all of its block's.
+    rows = _columns(with_blocks(items)).withColumn("anchor", F.avg("cx").over(Window.partitionBy(*PAGE, "block", "col")))
+    every = F.array_sort(F.collect_set(F.struct("col", "anchor")).over(Window.partitionBy(*PAGE, "block")))
+    rows = rows.withColumn("a", every).where(F.size("a") >= LEAST_COLUMNS)
     nearest = F.array_min(F.transform("a", lambda a: F.struct(F.abs(a["anchor"] - F.col("cx")).alias("d"), a["col"].alias("col"))))
     rows = rows.withColumn("col", nearest["col"])
     made = rows.groupBy(*PAGE, "block", "line", "col").agg(F.array_sort(F.collect_list(F.struct("x", "item", "str"))).alias("p"))

@@ -229,7 +229,7 @@ def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages, lines as rows of four items with a little jitter."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag", "l_linestatus")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", n.alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag", "l_linestatus")
     y = F.col("l_linenumber") * 12 + F.when(F.col("l_linenumber") > 4, 40).otherwise(0)
     cell = lambda n, s, x: F.struct(F.lit(n).alias("n"), s.alias("s"), (F.lit(x) + F.col("l_partkey") % 3).cast("double").alias("x"))
     cells = F.array(cell(0, F.col("q"), 50), cell(1, F.col("l_returnflag"), 100), cell(2, F.col("l_linestatus"), 120), cell(3, F.col("q"), 200))
