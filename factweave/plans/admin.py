@@ -179,7 +179,7 @@ def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run, count(*) FILTER (r = 1) AS n_chunks, CAST(sum(v) FILTER (r = 1) AS BIGINT) AS payload, count(*) FILTER (f = 1) AS n_flags FROM r GROUP BY run""")
 def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upserts by (run, index), first issue per fingerprint, and children of deleted documents gone."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") % 3).alias("idx"), F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("v"), F.col("l_returnflag").alias("fingerprint"))
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") % 3).alias("idx"), F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("v"), F.col("l_returnflag").alias("fingerprint"))
     gone = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("run"))
     kept = versions.without_deleted(li, gone, "run")
     last = versions.last_write(kept, ["run", "idx"], "at").groupBy("run").agg(F.count("*").alias("n_chunks"), F.sum("v").alias("payload"))
@@ -229,4 +229,4 @@ def form_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = {"name": contact.score_name, "email": contact.score_email, "phone": contact.score_phone, "message": contact.score_message}
     # One failing field alone is not enough to distrust the others, so raw checks serve here.
     errors = contact.form_errors({f: scores[f](c) for f, c in fields.items()})
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_join(F.array_sort(F.map_keys(errors)), ",").alias("failing"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), F.array_join(F.array_sort(F.map_keys(errors)), ",").alias("failing"))
