@@ -52,14 +52,18 @@ def applied(job: Job | None, kind: str, us: int) -> Job | None:
     return job
 
 
+def _micros(ts: pd.Series) -> list[int]:
+    return (ts.to_numpy().astype("datetime64[us]").astype("int64")).tolist()
+
+
 class Queue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._job = handle.getValueState("job", STATE)
 
-    def _wait(self, job: Job | None) -> None:
-        """One timer: when the lease runs out, or when an ended job may be forgotten."""
-        for t in list(self._handle.listTimers()):
+    def _wait(self, job: Job | None, known: bool) -> None:
+        """One timer: when the lease runs out, or when an ended job may be forgotten. A job that had no state has no timer either."""
+        for t in list(self._handle.listTimers()) if known else ():
             self._handle.deleteTimer(t)
         if job and job[0] == "RUNNING":
             self._handle.registerTimer(job[2] // 1000 + LEASE_MS + 1)
@@ -67,11 +71,12 @@ class Queue(StatefulProcessor):
             self._handle.registerTimer(job[2] // 1000 + KEEP_MS)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        job: Job | None = tuple(self._job.get()) if self._job.exists() else None
+        had = self._job.get()
+        job: Job | None = tuple(had) if had else None
         out = []
-        every = pd.concat(list(rows)).sort_values(["ts", "id"])
-        for us, kind in zip(every["ts"].astype("int64") // (1000 if every["ts"].dtype == "datetime64[ns]" else 1), every["kind"], strict=True):
-            us = int(us)
+        # Most jobs have few rows, so they are plain values: frames would cost more than all else.
+        every = sorted(row for part in rows for row in zip(_micros(part["ts"]), part["id"].tolist(), part["kind"].tolist(), strict=True))
+        for us, _, kind in every:
             if job and expired(job, us):
                 job, why = released(job)
                 out.append((key[0], pd.Timestamp(job[2] + LEASE_MS * 1000 + 1000, unit="us"), job[0], job[1], why))
@@ -81,8 +86,9 @@ class Queue(StatefulProcessor):
             job = after
         if job:
             self._job.update(job)
-        self._wait(job)
-        yield pd.DataFrame(out, columns=["job", "at", "status", "attempts", "reason"]).astype({"at": "datetime64[us]"})
+        self._wait(job, had is not None)
+        if out:
+            yield pd.DataFrame(out, columns=["job", "at", "status", "attempts", "reason"]).astype({"at": "datetime64[us]"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         job: Job | None = tuple(self._job.get()) if self._job.exists() else None
