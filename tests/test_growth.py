@@ -39,3 +39,21 @@ def test_blocks_skip_short_lines_and_break_at_gaps(spark):
     got = layout.with_blocks(rows).groupBy("block", "line").agg(F.count("*").alias("n")).orderBy("line").collect()
     assert [tuple(r) for r in got] == [(0, 0, 3), (0, 1, 3), (0, 2, 3)]
     assert [tuple(r) for r in layout.tables(rows).collect()] == [(1, 1, 0, 3, 3, 9, 9)]
+
+
+def test_ascii_texts_take_the_short_way_to_the_same_form(spark):
+    from factweave.functions import text
+
+    said = ["A well-\n known  Fact\t", "a-b - c", "x-\r\ny", "1-\n2", "\x0b q \x0c", "", "--\n a", "Ab-\n\n Cd", "z- \n9"]
+    rows = spark.createDataFrame([(s,) for s in said] + [(None,)], "s string")
+    # A word of another script before it sends the same text through all rules.
+    got = rows.select(text.canonical(F.col("s")).alias("short"), text.canonical(F.concat(F.lit("é | "), F.col("s"))).alias("long")).collect()
+    assert all((r.long or "").removeprefix("é |").strip(" ") == r.short for r in got)
+
+
+def test_texts_without_a_number_have_none(spark):
+    from factweave.functions import values
+
+    rows = spark.createDataFrame([("",), ("n/a",), ("FY",), ("FY24",), ("Q3FY25",)], "s string")
+    got = rows.select(values.parse_period(F.col("s"), 2026)["label"].alias("p"), values.parse_value(F.col("s"))["value"].cast("int").alias("v"), values.whole_number(F.col("s")).alias("w")).collect()
+    assert [tuple(r) for r in got] == [(None, None, None), (None, None, None), (None, None, None), ("FY24", 24, 24), ("Q3FY25", 3, 325)]
