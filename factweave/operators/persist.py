@@ -10,28 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..sources import extraction, typed
+from ..sources import extraction
 from ..sources.commits import Store
 from ..sources.scratch import stored
 from . import checks, report, versions
 
 ANALYSES = "analysis_id string, doc_id bigint, version int, status string, summary string, recommendation string, valuation string, risks string, confidence double, model string"
+#: What the first contract writes of a document and its arrays.
+WRITTEN = {"own": ("title", "company", "recommendation", "valuationMethodology"), "metrics": ("name", "value", "unit", "period", "category", "sourceExcerpt"), "sections": ("title", "summary", "evidence")}
 EVENTS = "entity string, entity_id string, doc_id bigint, event string, version int"
 
 
-def next_versions(store: Store, seen: int, docs: DataFrame) -> DataFrame:
-    """doc_id and the version that comes next for it."""
+def with_next_versions(store: Store, seen: int, rows: DataFrame) -> DataFrame:
+    """``rows`` that name a document, with the version that comes next for it."""
     had = store.read("analyses", ANALYSES, seen).groupBy("doc_id").agg(F.max("version").alias("_last"))
-    return docs.select("doc_id").distinct().join(had, "doc_id", "left").select("doc_id", (F.coalesce("_last", F.lit(0)) + 1).cast("int").alias("version"))
+    named = rows.where("doc_id is not null").join(had, "doc_id", "left")
+    return named.withColumn("version", (F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
 
 
 def _events(rows: DataFrame, entity: str, entity_id: Column, event: Column) -> DataFrame:
     return rows.select(F.lit(entity).alias("entity"), entity_id.cast("string").alias("entity_id"), "doc_id", event.alias("event"), "version")
 
 
-def numeric_value(value: str) -> Column:
-    """The number of a value (SQL) once all but digits, points and dashes are gone."""
-    return F.expr(typed.leading_number(f"regexp_replace({value}, '[^0-9.-]', '')"))
+def with_number(rows: DataFrame, value: str, to: str) -> DataFrame:
+    """Add the number of a text once all but digits, points and dashes are gone; null if it begins with none or with one of no finite size.
+
+    In steps, each of which uses the one before twice, so that none is computed twice.
+    """
+    digits = F.regexp_extract(F.regexp_replace(value, "[^0-9.-]+", ""), "^-?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)", 0)
+    rows = rows.withColumn("_digits", digits).withColumn("_number", F.when(F.col("_digits") != "", F.col("_digits").try_cast("double")))
+    return rows.withColumn(to, F.when(F.abs("_number") < float("inf"), F.col("_number"))).drop("_digits", "_number")
 
 
 def first_contract(store: Store, batch: str, rows: DataFrame, model: str) -> int:
@@ -41,8 +49,8 @@ def first_contract(store: Store, batch: str, rows: DataFrame, model: str) -> int
     """
 
     def make(seen: int) -> dict[str, DataFrame]:
-        named = rows.join(next_versions(store, seen, rows), "doc_id")
-        read = stored(extraction.read_legacy(named.select("doc_id", "job_id", "version", "payload")).withColumnRenamed("conforms", "ok"), "first-contract")
+        named = with_next_versions(store, seen, rows)
+        read = stored(extraction.read_legacy(named.select("doc_id", "job_id", "version", "payload"), fields=WRITTEN).withColumnRenamed("conforms", "ok"), "first-contract")
         id_ = texts.run_id(F.col("doc_id"), F.concat_ws(":", F.lit(batch), "version"))
         good = read.where("ok").withColumn("analysis_id", id_)
         bare = lambda field: lambda x: F.trim(x[field]) == ""
@@ -52,7 +60,7 @@ def first_contract(store: Store, batch: str, rows: DataFrame, model: str) -> int
         analyses = good.select("analysis_id", "doc_id", "version", F.lit("REVIEW_REQUIRED").alias("status"), summary.alias("summary"), "recommendation", F.col("valuationMethodology").alias("valuation"), F.to_json("risks").alias("risks"), confidence.cast("double").alias("confidence"), F.lit(model).alias("model"))
         each = lambda name: good.select("analysis_id", "doc_id", F.posexplode(name).alias("ord", "x"))
         sections = each("sections").select("analysis_id", "doc_id", "ord", F.col("x.title").alias("heading"), F.col("x.summary").alias("content"), F.col("x.evidence").alias("source_excerpt"))
-        metrics = each("metrics").select("analysis_id", "doc_id", "ord", F.col("x.name").alias("label"), "x.value", numeric_value("x.value").alias("numeric_value"), "x.unit", "x.period", "x.category")
+        metrics = with_number(each("metrics").select("analysis_id", "doc_id", "ord", F.col("x.name").alias("label"), "x.value", "x.unit", "x.period", "x.category"), "value", "numeric_value")
         charts = each("charts").select("analysis_id", "doc_id", "ord", "x.type", "x.title", F.to_json(F.struct("x.labels", "x.series")).alias("config"))
         jobs = _events(read, "job", F.col("job_id"), F.when(F.col("ok"), "DONE").otherwise("FAILED"))
         documents = _events(read, "document", F.col("doc_id"), F.lit("RELEASED"))

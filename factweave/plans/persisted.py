@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import persist, upserts
@@ -15,7 +15,8 @@ from .reports import AS_OF_YEAR, LINES_SQL, report_inputs
 def first_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, job_id and payload of each order: its lines are metrics and sections."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.concat(F.lit('{"name":"'), "l_returnflag", F.lit('","value":"Rs '), F.col("l_extendedprice").cast("string"), F.lit(' Cr","sourceExcerpt":"'), F.when(F.col("l_linestatus") == "O", "").otherwise("as printed"), F.lit('"}')).alias("m"), F.concat(F.lit('{"title":"'), "l_linestatus", F.lit('","summary":"s","evidence":'), F.when(F.col("l_returnflag") == "R", "null").otherwise('"e"'), F.lit("}")).alias("s"))
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("r"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", line.alias("line"))  # compiled here; inside the aggregate it would be interpreted
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("r"))
     joined = lambda f: F.coalesce(F.array_join(F.transform("r", lambda x: x[f]), ","), F.lit(""))
     said = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('"Co '), F.col("o_custkey").cast("string"), F.lit('"'))).otherwise("null")
     payload = F.concat(F.lit('{"title":"'), "o_orderpriority", F.lit('","company":'), said, F.lit(',"recommendation":"'), "o_orderstatus", F.lit('","metrics":['), joined("m"), F.lit('],"sections":['), joined("s"), F.lit('],"charts":[{"type":"line","title":"t","labels":["'), "o_orderstatus", F.lit('"],"series":[]},7]}'))
@@ -35,15 +36,14 @@ def first_contract_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     persist.first_contract(store, "run-1", rows, "model")
     persist.first_contract(store, "run-2", rows.where("doc_id % 3 = 0"), "model")
     persist.first_contract(store, "run-1", rows, "model")
-    found = persist.current(store)
-    now = found.where("status != 'SUPERSEDED'").select("analysis_id", "doc_id", "version", "status", "summary", "confidence")
-    count = lambda name: store.read(name).groupBy("analysis_id").agg(F.count("*").alias(f"n_{name}"))
-    total = store.read("metrics").groupBy("analysis_id").agg(F.sum(F.col("numeric_value").cast("decimal(20,2)")).cast("double").alias("total"))
+    found = persist.current(store).withColumn("n_superseded", F.count_if(F.col("status") == "SUPERSEDED").over(Window.partitionBy("doc_id")).cast("int"))
+    now = found.where("status != 'SUPERSEDED'").select("analysis_id", "doc_id", "version", "n_superseded", "status", "summary", "confidence")
+    sections = store.read("sections").groupBy("analysis_id").agg(F.count("*").alias("n_sections"))
+    metrics = store.read("metrics").groupBy("analysis_id").agg(F.count("*").alias("n_metrics"), F.sum(F.col("numeric_value").cast("decimal(20,2)")).cast("double").alias("total"))
     charts = store.read("charts").select("analysis_id", F.col("config").alias("chart"))
-    before = found.where("status = 'SUPERSEDED'").groupBy("doc_id").agg(F.count("*").cast("int").alias("n_superseded"))
     job, document = (persist.states(store, e).select(F.col("entity_id").cast("bigint").alias("doc_id"), F.col("event").alias(e)) for e in ("job", "document"))
-    out = now.join(count("metrics"), "analysis_id", "left").join(count("sections"), "analysis_id", "left").join(total, "analysis_id", "left").join(charts, "analysis_id", "left").drop("analysis_id")
-    out = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(out, "doc_id", "left").join(before, "doc_id", "left").join(job, "doc_id", "left").join(document, "doc_id", "left")
+    out = now.join(metrics, "analysis_id", "left").join(sections, "analysis_id", "left").join(charts, "analysis_id", "left").drop("analysis_id")
+    out = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).join(out, "doc_id", "left").join(job, "doc_id", "left").join(document, "doc_id", "left")
     return out.fillna(0, ["n_metrics", "n_sections", "n_superseded"]).select("doc_id", F.col("version").isNotNull().alias("analysed"), "version", "n_superseded", "status", "summary", "confidence", "n_metrics", "n_sections", "total", "chart", "job", "document")
 
 

@@ -8,9 +8,10 @@ of Arrow: readers written as expressions run interpreted over nested values, at
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ LEGACY_TEXTS = ("title", "company", "reportDate", "recommendation", "cmp", "base
 CHART_TYPES = ("line", "bar", "comparison")
 #: Longest document that the first contract takes.
 LEGACY_CHARS = 800_000
+#: Documents whose parsed objects are held together.
+_AT_ONCE = 500
 
 
 #: What readers give; the rest give texts.
@@ -62,8 +65,12 @@ def _read(payload: Column, of: pa.DataType, read: Callable[[str | None], dict[st
     def batch(texts: pa.Array) -> pa.Array:
         return pa.array([one(t) for t in texts.to_pylist()], of)
 
+    return _whole(batch, of)(payload)
+
+
+def _whole(batch: Callable[[pa.Array], pa.Array], of: pa.DataType) -> Callable[[Column], Column]:
     # Not to be pushed below a filter or into one, where it would run a second time.
-    return F.arrow_udf(batch, _ddl(of)).asNondeterministic()(payload)
+    return F.arrow_udf(batch, _ddl(of)).asNondeterministic()
 
 
 def _readers(*fields: str) -> reading.Fields:
@@ -166,23 +173,83 @@ _LEGACY: dict[str, reading.Fields] = {
     "risks": reading.fields({"risk": _E, "explanation": _E, "evidence": _E}),
     "charts": reading.fields({"type": _bar_unless_known, "title": _E, "labels": reading.soft_texts, "series": _series}),
 }
-_DOCUMENT = pa.struct([("own", _shape(_OWN)), *((name, pa.list_(_shape(readers))) for name, readers in _LEGACY.items())])
 
 
-def _document(text: str | None) -> dict[str, Any]:
+def _column(values: list[Any], read: reading.Reader) -> tuple[pa.Array, list[int]]:
+    """What a reader makes of the values of a field, and the places of malformed ones."""
+    of = _GIVES.get(read, pa.string())
+    if read in (_T, _E):
+        try:
+            found = pa.array(values, of)  # refuses what is neither a text nor null
+            return found.fill_null("") if read is _E else found, []
+        except (pa.ArrowException, TypeError, UnicodeError):
+            pass
+    out, bad = [], []
+    for i, v in enumerate(values):
+        try:
+            out.append(read(v))
+        except reading.Malformed:
+            out.append(None)
+            bad.append(i)
+    return pa.array(out, of), bad
+
+
+def _columns(objects: list[dict[str, Any]], taken: reading.Fields, kept: Collection[str]) -> tuple[pa.StructArray, np.ndarray]:
+    """The ``kept`` fields of many objects, and which objects conform; all fields are judged."""
+    good, columns, present = np.ones(len(objects), bool), {}, set().union(*objects)
+    for to, name, read in taken:
+        if name in present:
+            column, bad = _column([o.get(name) for o in objects], read)
+            good[bad] = False
+        elif to in kept:
+            column = pa.array([read(None)] * len(objects), _GIVES.get(read, pa.string()))
+        if to in kept:
+            columns[to] = column
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns)), good
+
+
+def _document(text: str | None) -> dict[str, Any] | None:
     text = text or ""
     if len(text) > LEGACY_CHARS:
-        raise reading.Malformed
-    whole = reading.parsed(text[text.find("{") : text.rfind("}") + 1])
-    return {"own": reading.record(whole, _OWN)} | {name: reading.records(whole.get(name), readers) for name, readers in _LEGACY.items()}
-
-
-def read_legacy(rows: DataFrame, payload: str = "payload") -> DataFrame:
+        return None
+    try:
+        whole = reading.parsed(text[text.find("{") : text.rfind("}") + 1])
+    except reading.Malformed:
+        return None
+    return whole if type(whole) is dict else None
+
+
+def _documents(texts: pa.Array, kept: dict[str, Collection[str]]) -> pa.Array:
+    """A batch of payloads by columns: a reader is called for each value only where a column isn't all texts."""
+    wholes = [_document(t) for t in texts.to_pylist()]
+    objects = [w or {} for w in wholes]
+    own, good = _columns(objects, _OWN, kept["own"])
+    good &= np.array([w is not None for w in wholes], bool)
+    fields = {"own": own}
+    for name, readers in _LEGACY.items():
+        each = [[x for x in found if type(x) is dict] if type(found := o.get(name)) is list else [] for o in objects]
+        items, fine = _columns([x for xs in each for x in xs], readers, kept[name])
+        owner = np.repeat(np.arange(len(each)), [len(xs) for xs in each])
+        ends = np.cumsum(np.bincount(owner[fine], minlength=len(each)))
+        fields[name] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), items if fine.all() else items.filter(pa.array(fine)))
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields), mask=pa.array(~good))
+
+
+def read_legacy(rows: DataFrame, payload: str = "payload", fields: dict[str, Collection[str]] | None = None) -> DataFrame:
     """The first contract's own texts and the arrays metrics, sections, risks and charts, in place of the payload.
 
     The object goes from the first brace to the last. ``conforms`` is false, and the rest null, beyond ``LEGACY_CHARS``
     characters, without an object, or if one of its own texts is malformed. Charts of an unknown type are bar charts.
+    ``fields`` names what is wanted of the document (``own``) or an array, where that isn't everything; what isn't given out is judged all the same.
     """
-    kept = [c for c in rows.columns if c != payload]
-    read = rows.select(*kept, _read(F.col(payload), _DOCUMENT, _document).alias("_d"))
-    return read.select(*kept, F.col("_d").isNotNull().alias("conforms"), "_d.own.*", *(f"_d.{name}" for name in _LEGACY))
+    every = {"own": _OWN, **_LEGACY}
+    kept = {name: {to for to, _, _ in readers} & set((fields or {}).get(name, [to for to, _, _ in readers])) for name, readers in every.items()}
+    shapes = {name: _shape([r for r in readers if r[0] in kept[name]]) for name, readers in every.items()}
+    of = pa.struct([(name, shape if name == "own" else pa.list_(shape)) for name, shape in shapes.items()])
+
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_documents(texts.slice(i, _AT_ONCE), kept) for i in range(0, max(1, len(texts)), _AT_ONCE)])
+
+    others = [c for c in rows.columns if c != payload]
+    read = rows.select(*others, _whole(batch, of)(F.col(payload)).alias("_d"))
+    return read.select(*others, F.col("_d").isNotNull().alias("conforms"), "_d.own.*", *(f"_d.{name}" for name in _LEGACY))
