@@ -35,6 +35,7 @@ def canonical(text: Column, compose: bool = True) -> Column:
     wide = F.octet_length(given) > F.char_length(given)
     # Texts of ASCII alone are composed already and don't go to Python; of the rules below two can change them.
     plain = F.regexp_replace(F.regexp_replace(given, "([A-Za-z])-\\s*\\r?\\n\\s*([A-Za-z])", "$1$2"), "\\s+", " ")
+    plain = F.when(given.rlike("[\\t-\\r]|  "), plain).otherwise(given)
     s = F.coalesce(nfkc(F.when(wide, given)), given) if compose else given
     for a, b in LIGATURES:
         s = F.replace(s, F.lit(a), F.lit(b))

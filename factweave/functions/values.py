@@ -6,6 +6,7 @@ Word boundaries are spelt out in ASCII: Java's own take accented letters for let
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ SCALES = [
     ("billion", "bn|billion|billions", 1_000_000_000, "bn"),
     ("thousand", "k|thousand|thousands", 1_000, "k"),
 ]
+#: Lower-case letters without one of which no pattern of that name is found: they spare a text the pattern.
+_SCALE_NEEDS = {"crore": ("cr",), "lakh": ("la",), "million": ("m",), "billion": ("b",), "thousand": ("k", "thou")}
 
 # Currency marks, in the order they are tried, with the printed symbol.
 CURRENCIES = [
@@ -66,6 +69,29 @@ TAXONOMY = [
     ("revenue", "revenue|net\\s*sales|turnover"),
 ]
 
+_TAXONOMY_NEEDS = {
+    "pat_adjusted": ("adjusted", "apat"),
+    "pat_reported": ("pat", "profit"),
+    "eps_diluted": ("eps",),
+    "eps_basic": ("eps",),
+    "ebitda_margin": ("margin",),
+    "net_margin": ("margin",),
+    **dict.fromkeys(("net_debt_ebitda", "net_debt", "gross_debt"), ("debt",)),
+    "ebit": ("ebit",),
+    "total_operating_income": ("operating", "toi"),
+    "operating_profit": ("operating",),
+    "operating_income": ("operating",),
+    "gross_profit": ("gross",),
+    "finance_cost": ("finance", "interest"),
+    "pbt": ("profit", "pbt"),
+    "tax": ("tax",),
+    "fcf": ("free", "fcf"),
+    "ocf": ("operating", "ocf", "operations"),
+    "capex": ("cap",),
+    "roce": ("roce",),
+    "roe": ("roe",),
+}
+
 # Classification codes.
 CODES = ("A", "R", "P", "G", "E", "C", "S", "AI", "U")
 FORECAST_CODES = ("G", "E", "C", "S", "AI")
@@ -77,11 +103,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def first_match(text: Column, choices: list[tuple[str, str]]) -> Column:
-    """Name of the first pattern found, ignoring case; null if none is."""
+def has_any(low: Column, needs: tuple[str, ...]) -> Column:
+    """Whether a lower-case text has one of some pieces; true where none is named."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in needs]) if needs else F.lit(True)
+
+
+def first_match(text: Column, choices: list[tuple[str, str]], low: Column | None = None, needs: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Name of the first pattern found, ignoring case; null if none is.
+
+    With ``low``, the text in lower case, a pattern is tried only where that has one of the pieces it ``needs``.
+    """
     out = F.lit(None).cast("string")
     for name, pattern in reversed(choices):
-        out = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(out)
+        found = text.rlike(f"(?i){pattern}")
+        out = F.when(found if low is None or name not in (needs or {}) else has_any(low, needs[name]) & found, name).otherwise(out)
     return out
 
 
@@ -90,8 +125,8 @@ def number_in(text: Column, of: str) -> Column:
     return F.nullif(text, F.lit("")).try_cast(of)
 
 
-def scale_of(text: Column) -> Column:
-    return first_match(text, [(name, word(p)) for name, p, _, _ in SCALES])
+def scale_of(text: Column, low: Column | None = None) -> Column:
+    return first_match(text, [(name, word(p)) for name, p, _, _ in SCALES], low, _SCALE_NEEDS)
 
 
 def currency_of(text: Column) -> Column:
@@ -106,26 +141,60 @@ def multiplier_of(scale: Column) -> Column:
     return out
 
 
+def printed_number(text: Column) -> Column:
+    """The first number of a text, commas aside; null if it has none."""
+    return let(F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0), lambda digits: number_in(digits, VALUE))
+
+
+def bracketed(text: Column) -> Column:
+    return F.contains(text, F.lit("(")) & text.rlike("\\(\\s*[0-9,.]+\\s*\\)")
+
+
+def signed(number: Column, in_brackets: Column) -> Column:
+    """A number in brackets is negative."""
+    return F.when(in_brackets & (number > 0), (-number).cast(VALUE)).otherwise(number)
+
+
 def parse_value(raw: Column) -> Column:
     """struct<value, currency, scale, unit, is_percent, is_multiple>; no digits means no value, never zero."""
 
     def read(t: Column) -> Column:
-        number = number_in(F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0), VALUE)
+        return F.struct(printed_number(t).alias("number"), F.lower(t).alias("low"), t.alias("text"))
+
+    # Words are looked for by their pieces before their pattern is tried.
+    def marked(p: Column) -> Column:
+        t, low = p["text"], p["low"]
         return F.struct(
-            number.alias("number"), t.rlike(f"(?i)%|{word('percent')}|{word('bps')}").alias("percent"), t.rlike(f"(?i)[0-9]\\s*[x×]|{word('times')}").alias("multiple"), t.rlike("\\(\\s*[0-9,.]+\\s*\\)").alias("bracketed"), t.alias("text")
+            p["number"].alias("number"),
+            (F.contains(t, F.lit("%")) | (has_any(low, ("percent", "bps")) & t.rlike(f"(?i){word('percent')}|{word('bps')}"))).alias("percent"),
+            (has_any(low, ("x", "×", "times")) & t.rlike(f"(?i)[0-9]\\s*[x×]|{word('times')}")).alias("multiple"),
+            bracketed(t).alias("bracketed"),
+            t.alias("text"),
+            low.alias("low"),
         )
 
     def made(p: Column) -> Column:
         number, found = p["number"], p["number"].isNotNull()
         return F.struct(
-            F.when(p["bracketed"] & (number > 0), (-number).cast(VALUE)).otherwise(number).alias("value"),
+            signed(number, p["bracketed"]).alias("value"),
             F.when(found, currency_of(p["text"])).alias("currency"),
-            F.when(found, scale_of(p["text"])).alias("scale"),
+            F.when(found, scale_of(p["text"], p["low"])).alias("scale"),
             F.when(found & p["percent"], "%").when(found & p["multiple"], "x").alias("unit"),
             p["percent"].alias("is_percent"),
             p["multiple"].alias("is_multiple"),
         )
 
+    return let(let(let(F.coalesce(F.trim(raw), F.lit("")), read), marked), made)
+
+
+def value_and_unit(raw: Column) -> Column:
+    """The value, currency and scale of ``parse_value``, without what else it looks for."""
+    read = lambda t: F.struct(printed_number(t).alias("number"), F.lower(t).alias("low"), t.alias("text"))
+
+    def made(p: Column) -> Column:
+        found = p["number"].isNotNull()
+        return F.struct(signed(p["number"], bracketed(p["text"])).alias("value"), F.when(found, currency_of(p["text"])).alias("currency"), F.when(found, scale_of(p["text"], p["low"])).alias("scale"))
+
     return let(let(F.coalesce(F.trim(raw), F.lit("")), read), made)
 
 
@@ -160,14 +229,27 @@ def parse_period(text: Column, as_of_year: int) -> Column:
     quarterly = "^(?:Q([0-9])FY|([0-9])QFY)([0-9]{2,4})"
     annual = "^FY([0-9]{2,4})(?:[-/]([0-9]{2,4}))?"
 
-    def read(t: Column) -> Column:
+    # Parts first, then numbers, for a number's rules name its text several times; no pattern is tried where the text can't begin with what it begins with.
+    def parts(t: Column) -> Column:
         part = lambda pattern, i: F.regexp_extract(t, pattern, i)
+        years, trailing = t.startswith("FY"), t.startswith("TTM")
+        other = ~years & ~trailing
+        return F.struct(
+            F.when(other, F.concat(part(quarterly, 1), part(quarterly, 2))).alias("q"),
+            F.when(other, part(quarterly, 3)).alias("q_year"),
+            F.when(trailing, part("([0-9]{2,4})", 1)).alias("any_year"),
+            F.when(years, part(annual, 1)).alias("from_year"),
+            F.when(years, part(annual, 2)).alias("to_year"),
+            trailing.alias("trailing"),
+        )
+
+    def read(p: Column) -> Column:
         return F.struct(
-            number_in(F.concat(part(quarterly, 1), part(quarterly, 2)), "int").alias("q"),
-            _year(part(quarterly, 3)).alias("q_year"),
-            F.coalesce(_year(part("([0-9]{2,4})", 1)), F.lit(as_of_year)).alias("any_year"),
-            _year(F.coalesce(F.nullif(part(annual, 2), F.lit("")), part(annual, 1))).alias("a_year"),
-            t.startswith("TTM").alias("trailing"),
+            number_in(p["q"], "int").alias("q"),
+            _year(p["q_year"]).alias("q_year"),
+            F.coalesce(_year(p["any_year"]), F.lit(as_of_year)).alias("any_year"),
+            _year(F.coalesce(F.nullif(p["to_year"], F.lit("")), p["from_year"])).alias("a_year"),
+            p["trailing"].alias("trailing"),
         )
 
     def period(label: Column, kind: str, year: Column, q: Column, key: Column) -> Column:
@@ -181,7 +263,7 @@ def parse_period(text: Column, as_of_year: int) -> Column:
             .when(p["a_year"].isNotNull(), period(F.concat(F.lit("FY"), _short(p["a_year"])), "ANNUAL", p["a_year"], none, p["a_year"] * 10))
         )
 
-    return let(let(F.regexp_replace(F.upper(F.trim(text)), "\\s+", ""), read), made)
+    return let(let(let(F.regexp_replace(F.upper(F.trim(text)), "\\s+", ""), parts), read), made)
 
 
 def format_period(text: Column, code: Column, as_of_year: int) -> Column:
@@ -191,7 +273,7 @@ def format_period(text: Column, code: Column, as_of_year: int) -> Column:
 
 
 def taxonomy_key(label: Column) -> Column:
-    return F.coalesce(first_match(label, TAXONOMY), F.lit("unmapped"))
+    return F.coalesce(let(F.struct(label.alias("text"), F.lower(label).alias("low")), lambda t: first_match(t["text"], TAXONOMY, t["low"], _TAXONOMY_NEEDS)), F.lit("unmapped"))
 
 
 def grouped(value: Column, decimals: int = 0) -> Column:

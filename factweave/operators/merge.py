@@ -11,12 +11,12 @@ from ..functions import calc, text, values
 def normalise_metrics(facts: DataFrame, as_of_year: int) -> DataFrame:
     """Printed label, value and period become taxonomy key, decimal, currency, scale and canonical period."""
     # Exploded, so that each struct is computed once and not again for each of its fields.
-    whole = F.struct(values.parse_value(F.col("raw_value")).alias("v"), values.parse_period(F.col("period"), as_of_year).alias("p"))
+    whole = F.struct(values.value_and_unit(F.col("raw_value")).alias("v"), values.parse_period(F.col("period"), as_of_year).alias("p"), values.taxonomy_key(F.col("label")).alias("k"))
     return (
         facts.withColumn("_x", F.explode(F.array(whole)))
         .select(
             *[c for c in facts.columns if c != "period"],
-            values.taxonomy_key(F.col("label")).alias("taxonomy_key"),
+            F.col("_x.k").alias("taxonomy_key"),
             F.col("_x.v.value").alias("value"),
             F.col("_x.v.currency").alias("currency"),
             F.col("_x.v.scale").alias("scale"),
@@ -34,17 +34,22 @@ def fold_metrics(facts: DataFrame, keys: list[str], extra: list[str] | None = No
     order-dependent. It runs in one ordered array per key: the facts of one document and metric.
     """
     row = F.struct("chunk_idx", "item_idx", "value", "status", text.tier_rank(F.col("status")).alias("rank"), *(extra or []))
-    grouped = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    # A window sorts the rows once and finds them dealt by a part of the keys; an aggregate of lists would sort them twice and each list again.
+    same = Window.partitionBy(*keys).orderBy("_row")
+    every = F.collect_list("_row").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    grouped = facts.select(*keys, row.alias("_row")).select(*keys, F.row_number().over(same).alias("_n"), every.alias("_rows")).where("_n = 1").drop("_n")
     one = grouped.schema["_rows"].dataType.elementType.simpleString()
     start = F.struct(F.get("_rows", F.lit(0)).alias("holder"), F.array().cast("array<decimal(20,4)>").alias("conflicts"), F.lit(0).alias("duplicates"))
 
     def step(acc: Column, r: Column) -> Column:
-        same = calc.same_value(acc["holder"]["value"], r["value"])
-        return F.struct(
-            F.when(same & (r["rank"] > acc["holder"]["rank"]), r).otherwise(acc["holder"]).cast(one).alias("holder"),
-            F.when(same, acc["conflicts"]).otherwise(F.concat(acc["conflicts"], F.array(r["value"]))).alias("conflicts"),
-            (acc["duplicates"] + same.cast("int")).alias("duplicates"),
-        )
+        def told(same: Column) -> Column:
+            return F.struct(
+                F.when(same & (r["rank"] > acc["holder"]["rank"]), r).otherwise(acc["holder"]).cast(one).alias("holder"),
+                F.when(same, acc["conflicts"]).otherwise(F.concat(acc["conflicts"], F.array(r["value"]))).alias("conflicts"),
+                (acc["duplicates"] + same.cast("int")).alias("duplicates"),
+            )
+
+        return values.let(calc.same_value(acc["holder"]["value"], r["value"]), told)
 
     rest = F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))
     folded = grouped.withColumn("_m", F.aggregate(rest, start, step))
@@ -79,7 +84,8 @@ def dedupe_narrative(rows: DataFrame, keys: list[str], title: str, body: str, st
     """Best evidence per title and first 120 characters of the body; ``position`` is that of the first one seen."""
     same = [*keys, F.lower(F.trim(title)), F.left(F.lower(F.trim(body)), F.lit(120))]
     best = Window.partitionBy(*same).orderBy(text.tier_rank(F.col(status)).desc(), order)
-    return rows.withColumn("position", F.min(order).over(Window.partitionBy(*same))).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    ranked = rows.withColumn("_r", F.row_number().over(best))  # first, so that both windows share one sort
+    return ranked.withColumn("position", F.min(order).over(Window.partitionBy(*same))).where("_r = 1").drop("_r")
 
 
 def first_evidence(rows: DataFrame, keys: list[str], page: str, quote: str, order: str) -> DataFrame:

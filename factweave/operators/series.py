@@ -52,16 +52,19 @@ def densify(points: DataFrame) -> DataFrame:
 def series_issues(points: DataFrame, dense: DataFrame, as_of_year: int) -> DataFrame:
     """(series, code, n): unreadable and repeated periods, mixed cadence, actuals after a forecast."""
     unread = with_period(points, as_of_year).where("p is null").groupBy("series").agg(F.count("*").alias("n")).withColumn("issue", F.lit("CHART_UNPARSEABLE_PERIOD"))
-    own = dense.where("ord is not null")
-    repeats = own.groupBy("series", "sort_key").agg(F.count("*").alias("m")).where("m > 1").groupBy("series").agg(F.sum(F.col("m") - 1).alias("n")).withColumn("issue", F.lit("CHART_DUPLICATE_PERIOD"))
-    mixed = own.groupBy("series").agg(F.countDistinct("period_type").alias("n")).where("n > 1").withColumn("issue", F.lit("CHART_MIXED_PERIOD_TYPES"))
-    before = Window.partitionBy("series").orderBy("sort_key", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    late = dense.withColumn("_f", F.max(values.is_forecast(F.col("code"))).over(before)).where(F.col("_f") & values.is_actual(F.col("code")))
-    late = late.groupBy("series").agg(F.count("*").alias("n")).withColumn("issue", F.lit("CHART_FORECAST_BEFORE_ACTUAL"))
-    out = unread.select("series", "issue", "n")
-    for other in (repeats, mixed, late):
-        out = out.unionByName(other.select("series", "issue", "n"))
-    return out
+    by = Window.partitionBy("series").orderBy("sort_key", "ord")
+    own = F.col("ord").isNotNull()
+    # A filled period lies between two others and never has the key of one, so equal keys are neighbours.
+    marked = dense.select(
+        "series",
+        F.when(own, F.col("period_type")).alias("kind"),
+        (own & (F.lag("sort_key").over(by) == F.col("sort_key"))).alias("again"),
+        (F.max(values.is_forecast(F.col("code"))).over(by.rowsBetween(Window.unboundedPreceding, -1)) & values.is_actual(F.col("code"))).alias("late"),
+    )
+    counts = marked.groupBy("series").agg(F.count_if("again").alias("CHART_DUPLICATE_PERIOD"), F.size(F.collect_set("kind")).cast("bigint").alias("kinds"), F.count_if("late").alias("CHART_FORECAST_BEFORE_ACTUAL"))
+    told = [F.struct(F.lit(issue).alias("issue"), n.alias("n")) for issue, n in (("CHART_DUPLICATE_PERIOD", F.col("CHART_DUPLICATE_PERIOD")), ("CHART_MIXED_PERIOD_TYPES", F.when(F.col("kinds") > 1, F.col("kinds"))), ("CHART_FORECAST_BEFORE_ACTUAL", F.col("CHART_FORECAST_BEFORE_ACTUAL")))]
+    found = counts.where("`CHART_DUPLICATE_PERIOD` > 0 OR kinds > 1 OR `CHART_FORECAST_BEFORE_ACTUAL` > 0").select("series", F.explode(F.array(*told)).alias("i")).select("series", "i.issue", "i.n").where("n > 0")
+    return unread.select("series", "issue", "n").unionByName(found)
 
 
 # Metrics that get a chart.
@@ -71,9 +74,10 @@ CHARTED = ("revenue", "ebitda", "pat_reported")
 def charted(metrics: DataFrame, key: str) -> DataFrame:
     """Points of the charts of each ``key`` (series is the metric), by period; currency and scale of the metric's first row. No point, no chart."""
     rows = metrics.where(F.col("taxonomy_key").isin(*CHARTED))
-    first = rows.groupBy(key, "taxonomy_key").agg(F.min(F.struct("ord", "currency", "scale")).alias("m"))
-    w = Window.partitionBy(key, "taxonomy_key").orderBy(F.coalesce("period_sort_key", F.lit(0)), "ord")
-    points = rows.where("period != ''").withColumn("n", F.row_number().over(w) - 1).join(first, [key, "taxonomy_key"])
+    same = Window.partitionBy(key, "taxonomy_key")
+    shown = F.col("period") != ""
+    w = Window.partitionBy(key, "taxonomy_key", shown).orderBy(F.coalesce("period_sort_key", F.lit(0)), "ord")
+    points = rows.withColumn("m", F.min(F.struct("ord", "currency", "scale")).over(same)).withColumn("n", F.row_number().over(w) - 1).where(shown)
     return points.select(key, F.col("taxonomy_key").alias("series"), F.col("n").alias("ord"), "period", "value", F.col("classification_code").alias("code"), "m.currency", "m.scale")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import report
@@ -21,8 +21,9 @@ def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Chunks, pages, documents and earlier analyses."""
     k, n, c = F.col("k"), F.col("n"), F.col("c")
     early = n <= 4
-    said = F.format_string("line %d sells %s pieces", n, F.col("q"))
-    quote = F.when(~F.col("told"), F.format_string("unheard %d xxxx yyyy zzzz", n)).when(F.col("loud"), F.upper(said)).otherwise(said)
+    written = lambda *parts: F.concat(*(F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(p) for p in parts))
+    said = written("line ", n, " sells ", F.col("q"), " pieces")
+    quote = F.when(~F.col("told"), written("unheard ", n, " xxxx yyyy zzzz")).when(F.col("loud"), F.upper(said)).otherwise(said)
     metric = F.struct(
         F.when(n % 2 == 0, "Net revenue").otherwise("EBITDA").alias("label"),
         F.when(~early & (k % 4 == 0), F.concat(F.lit("US$ "), "q", F.lit(" mn"))).otherwise(F.concat(F.lit("Rs "), "q", F.lit(" Cr"))).alias("rawValue"),
@@ -31,16 +32,18 @@ def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         quote.alias("sourceQuote"),
         (c + 1).alias("sourcePage"),
     )
-    grouped = _lines(spark, sf_dir).groupBy("k", "c").agg(F.array_sort(F.collect_list(F.struct("n", metric.alias("m"), said.alias("s")))).alias("rows"))
+    lines = _lines(spark, sf_dir)
+    # Compiled before the aggregates; inside them it would be interpreted.
+    together = lambda row: lines.select("k", "c", row.alias("r")).groupBy("k", "c").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     company = F.when(c == 1, F.concat(F.lit("Late "), k)).when(k % 3 != 0, F.concat(F.lit("Company "), k)).otherwise("")
-    identity = F.struct(company.alias("companyName"), F.when(c == 0, "A. Nalyst").alias("analystName"), F.when(c == 0, "2024-01-01").alias("publishedDate"), F.when(c == 1, "House").alias("researchHouse"), F.format_string("Company %d reports", k).alias("identityQuote"), (c + 1).alias("identityPage"))
+    identity = F.struct(company.alias("companyName"), F.when(c == 0, "A. Nalyst").alias("analystName"), F.when(c == 0, "2024-01-01").alias("publishedDate"), F.when(c == 1, "House").alias("researchHouse"), written("Company ", k, " reports").alias("identityQuote"), (c + 1).alias("identityPage"))
     valuation = F.struct(F.when(k % 2 == 0, "BUY").alias("rating"), F.lit(100).alias("cmp"), F.when(k % 5 == 0, "-5").otherwise("120").alias("baseTarget"), F.lit("12 months").alias("horizon"))
     risk = F.struct(F.lit("Risk").alias("name"), F.lit("Orders may fall").alias("explanation"), F.lit("a risk is named here").alias("sourceQuote"), (c + 1).alias("sourcePage"))
-    section = F.struct(F.format_string("Section %d", c).alias("heading"), F.format_string("Part %d of order %d", c, k).alias("summary"), F.when(c % 2 == 0, F.format_string("section %d says so", c)).otherwise("").alias("sourceQuote"), (c + 1).alias("sourcePage"))
+    section = F.struct(written("Section ", c).alias("heading"), written("Part ", c, " of order ", k).alias("summary"), F.when(c % 2 == 0, written("section ", c, " says so")).otherwise("").alias("sourceQuote"), (c + 1).alias("sourcePage"))
     payload = F.to_json(F.struct(F.when(c <= 1, identity).alias("identity"), F.when(c == 0, valuation).alias("valuation"), F.transform("rows", lambda r: r["m"]).alias("metrics"), F.array(risk).alias("risks"), F.array(section).alias("sections")))
-    chunks = grouped.select(k.alias("doc_id"), c.alias("chunk_idx"), F.concat(F.lit("```json\n"), payload, F.lit("\n```")).alias("payload"))
-    body = F.concat_ws(". ", F.array_join(F.transform("rows", lambda r: r["s"]), ". "), F.when(c % 2 == 1, "a risk is named here").otherwise(F.format_string("section %d says so", c)), F.when(c == 1, F.format_string("Company %d reports", k)))
-    pages = grouped.select(k.alias("doc_id"), (c + 1).cast("int").alias("page"), body.alias("text"))
+    chunks = together(F.struct("n", metric.alias("m"))).select(k.alias("doc_id"), c.alias("chunk_idx"), F.concat(F.lit("```json\n"), payload, F.lit("\n```")).alias("payload"))
+    body = F.concat_ws(". ", F.array_join(F.transform("rows", lambda r: r["s"]), ". "), F.when(c % 2 == 1, "a risk is named here").otherwise(written("section ", c, " says so")), F.when(c == 1, written("Company ", k, " reports")))
+    pages = together(F.struct("n", said.alias("s"))).select(k.alias("doc_id"), (c + 1).cast("int").alias("page"), body.alias("text"))
     documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("is_partial", F.col("doc_id") % 9 == 0)
     analyses = documents.where("doc_id % 10 > 0").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 10).cast("int").alias("version"))
     return chunks, pages, documents, analyses
@@ -75,8 +78,7 @@ def assembled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity of each report and the evidence chosen for it."""
     chunks, pages, _, _ = report_inputs(spark, sf_dir)
-    chunks = report.read(chunks)
-    found = report.records(chunks, report.with_evidence(report.items(chunks), pages), "identity")
+    found = report.records(report.with_evidence(report.items(chunks, ("identity",)), pages), "identity")
     return found.select("doc_id", F.col("companyName").alias("company"), F.col("researchHouse").alias("house"), "status", "page")
 
 

@@ -8,13 +8,15 @@ of Arrow: readers written as expressions run interpreted over nested values, at
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.values import CODES, clean_code
 from . import reading, typed
@@ -91,16 +93,21 @@ _TAKEN = {kind: [(place, field, reading.required if place in ("title", "body", "
 _ITEM = pa.struct([("kind", pa.string()), ("item_idx", pa.int32()), *((p, pa.string()) for p in ("title", "body", "period", "code", "category", "quote")), ("page", pa.float64())])
 _BODY = pa.struct([("given", pa.struct([(name, pa.int32()) for name, _ in PLACES.values()])), ("items", pa.list_(_ITEM))])
 _CHUNK = pa.struct([("body", _BODY), *((kind, _shape(readers)) for kind, readers in _RECORDS.items())])
-_OPENED, _CLOSED = re.compile(r"```(?:json)?\s*", re.IGNORECASE), re.compile(r"\s*```\Z")
+_OPENED = re.compile(r"```(?:json)?\s*", re.IGNORECASE)
 
 
-def _chunk(text: str | None) -> dict[str, Any]:
+def _fenced(text: str | None) -> dict[str, Any]:
     bare = (text or "").strip()
     opened = _OPENED.match(bare)
     bare = bare[opened.end() :] if opened else bare
-    whole = reading.parsed(_CLOSED.sub("", bare) if bare.endswith("```") else bare)
+    whole = reading.parsed(bare[:-3].rstrip() if bare.endswith("```") else bare)
     if type(whole) is not dict:
         raise reading.Malformed
+    return whole
+
+
+def _chunk(text: str | None) -> dict[str, Any]:
+    whole = _fenced(text)
     found = {kind: None if whole.get(kind) is None else reading.record(whole[kind], readers) for kind, readers in _RECORDS.items()}
     items: list[dict[str, Any]] = []
     given = {}
@@ -131,12 +138,86 @@ def read_items(read: DataFrame, kinds: tuple[str, ...] = tuple(PLACES)) -> DataF
     """
     keys = [c for c in read.columns if c not in ("conforms", "identity", "valuation", "body")]
     rows = read.select(*keys, F.explode("body.items").alias("i")).select(*keys, "i.*")
-    rows = rows if set(kinds) == set(PLACES) else rows.where(F.col("kind").isin(*kinds))
+    return _with_codes(rows if set(kinds) == set(PLACES) else rows.where(F.col("kind").isin(*kinds)))
+
+
+def _with_codes(rows: DataFrame) -> DataFrame:
     codes = tuple(c for c in CODES if c != "AI")
     code = F.when(F.col("kind") == "metric", F.coalesce(clean_code(F.col("code"), codes), F.lit("U"))).otherwise(F.col("code"))
     return rows.withColumns({"code": code, "page": page(F.col("page"))})
 
 
+#: Kinds of rows that ``read_rows`` gives.
+KINDS = (*_RECORDS, *PLACES)
+#: Chunks whose parsed objects are held together.
+_CHUNKS_AT_ONCE = 1_000
+_OF_RECORD = {kind: [f for f in readers if f[0] not in (f"{kind}Quote", f"{kind}Page")] for kind, readers in _RECORDS.items()}
+_ROW = pa.struct([*_ITEM, *((kind, _shape(readers)) for kind, readers in _OF_RECORD.items())])
+
+
+def read_rows(chunks: DataFrame, payload: str = "payload", kinds: Collection[str] = KINDS) -> DataFrame:
+    """A flat row for each conforming item, and for the identity and the valuation, of the chunks that conform: what ``read_chunks`` and ``read_items`` give, read by columns.
+
+    A record's row has its fields in the struct of its name, which is null in all others, and its own quote and page; its item_idx is 0, its title and body are
+    empty. Rows of kinds that aren't wanted aren't made, but a malformed record costs its chunk all the same.
+    """
+    keys = [c for c in chunks.columns if c != payload]
+    schema = StructType([*chunks.select(*keys).schema, *StructType.fromDDL(",".join(f"{f.name} {_ddl(f.type)}" for f in _ROW))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _CHUNKS_AT_ONCE):
+                part = batch.slice(start, _CHUNKS_AT_ONCE)
+                for owner, columns in _rows(part.column(payload).to_pylist(), kinds):
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(owner) for k in keys), *columns], [*keys, *(f.name for f in _ROW)])
+
+    return _with_codes(chunks.mapInArrow(rows, schema))
+
+
+def _rows(texts: list[str | None], kinds: Collection[str]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """For each kind the places of the chunks its rows come from, and the columns of ``_ROW``."""
+    wholes: list[dict[str, Any]] = []
+    places: list[int] = []
+    for i, text in enumerate(texts):
+        try:
+            wholes.append(_fenced(text))
+            places.append(i)
+        except reading.Malformed:
+            continue
+    owner, good = np.array(places, np.int64), np.ones(len(wholes), bool)
+
+    def out(kind: str, at: np.ndarray, idx: np.ndarray, columns: dict[str, pa.Array]) -> tuple[pa.Array, list[pa.Array]]:
+        columns |= {"kind": pa.array([kind] * len(at), pa.string()), "item_idx": pa.array(idx, pa.int32())}
+        return pa.array(owner[at]), [columns[f.name] if f.name in columns else pa.nulls(len(at), f.type) for f in _ROW]
+
+    records = {}
+    for kind, readers in _RECORDS.items():
+        at = np.array([i for i, w in enumerate(wholes) if w.get(kind) is not None], np.int64)
+        each = [wholes[i][kind] for i in at]
+        found, fine = _columns([v if type(v) is dict else {} for v in each], readers, [to for to, _, _ in readers])
+        good[at[~(fine & np.array([type(v) is dict for v in each], bool))]] = False
+        records[kind] = (at, found)
+    for kind, (at, found) in records.items():
+        if kind in kinds and (kept := good[at]).any():
+            found, at = found.filter(pa.array(kept)), at[kept]
+            blank = pa.array([""] * len(at), pa.string())
+            own = pa.StructArray.from_arrays([found.field(to) for to, _, _ in _OF_RECORD[kind]], [to for to, _, _ in _OF_RECORD[kind]])
+            yield out(kind, at, np.zeros(len(at), np.int32), {"title": blank, "body": blank, "quote": found.field(f"{kind}Quote"), "page": found.field(f"{kind}Page"), kind: own})
+    for kind, (name, _) in PLACES.items():
+        if kind not in kinds:
+            continue
+        listed = [(i, v) for i, w in enumerate(wholes) if good[i] and type(v := w.get(name)) is list]
+        each = [x for _, v in listed for x in v]
+        dicts = np.array([type(x) is dict for x in each], bool)
+        found, fine = _columns([x if type(x) is dict else {} for x in each], _TAKEN[kind], [to for to, _, _ in _TAKEN[kind]])
+        at, kept = np.repeat(np.array([i for i, _ in listed], np.int64), [len(v) for _, v in listed]), fine & dicts
+        if kept.any():
+            found, at = found if kept.all() else found.filter(pa.array(kept)), at[kept]
+            n = np.arange(len(at))
+            idx = n - np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1]), n, 0))
+            yield out(kind, at, idx, {f.name: found.field(f.name) for f in found.type})
+
+
 def page(number: Column) -> Column:
     """A cited page as a number of a page; a part of a page is none."""
     return F.when((number == F.floor(number)) & (F.abs(number) < 2147483648.0), number).cast("int")
@@ -178,12 +259,17 @@ _LEGACY: dict[str, reading.Fields] = {
 def _column(values: list[Any], read: reading.Reader) -> tuple[pa.Array, list[int]]:
     """What a reader makes of the values of a field, and the places of malformed ones."""
     of = _GIVES.get(read, pa.string())
-    if read in (_T, _E):
+    if read in (_T, _E, reading.soft_text, reading.required):
         try:
             found = pa.array(values, of)  # refuses what is neither a text nor null
-            return found.fill_null("") if read is _E else found, []
+            found = found if read in (_T, _E) else pc.utf8_trim(found, " ")
+            return found.fill_null("") if read in (_E, reading.required) else found, []
         except (pa.ArrowException, TypeError, UnicodeError):
             pass
+    elif of == pa.float64() and set(map(type, values)) <= {float, type(None)}:
+        found = pa.array(values, of)
+        if not pc.any(pc.is_inf(found)).as_py():
+            return found, []
     out, bad = [], []
     for i, v in enumerate(values):
         try:
