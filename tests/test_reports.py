@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from factweave.operators import checks, report, series
+from factweave.operators import checks, persist, report, series
 from factweave.sources import extraction
+from factweave.sources.commits import Store
 
 CHUNKS = "doc_id bigint, chunk_idx int, payload string"
 ODD = [
@@ -64,3 +65,10 @@ def test_first_values_and_series_need_no_join(spark):
     others, points = checks.contradictions(metrics, ["doc_id"]), series.charted(metrics, "doc_id")
     assert "Join" not in _plan(others) + _plan(points)
     assert [(r.ord, r.first_value, r.other_value) for r in others.collect()] == [(2, 5.0, 9.0)] and points.count() == 3
+
+
+def test_a_commit_sends_no_table_through_the_driver(spark, tmp_path, monkeypatch):
+    store, staged, stage = Store(spark, f"file://{tmp_path}/s"), {}, Store.stage
+    monkeypatch.setattr(Store, "stage", lambda self, name, rows, by=None: (staged.setdefault(name, _plan(rows)), stage(self, name, rows, by))[1])
+    persist.second_contract(store, "run", *_made(spark), 2026, "m")
+    assert len(staged) > 8 and not [name for name, plan in staged.items() if "Broadcast" in plan]
