@@ -89,5 +89,5 @@ def report_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised and folded metrics of each report in their order."""
     chunks, pages, _, _ = report_inputs(spark, sf_dir)
-    found = report.merged_metrics(report.with_evidence(report.items(chunks), pages), AS_OF_YEAR)
+    found = report.merged_metrics(report.with_evidence(report.items(chunks, ("metric",)), pages), AS_OF_YEAR)
     return found.select("doc_id", "taxonomy_key", "period", "classification_code", F.col("value").cast("double").alias("value"), "currency", "scale", "page", "n_conflicts", "ord", "confidence")

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from factweave.operators import checks, persist, report, series
+from factweave.plans import reports
 from factweave.sources import extraction
 from factweave.sources.commits import Store
 
@@ -72,3 +73,11 @@ def test_a_commit_sends_no_table_through_the_driver(spark, tmp_path, monkeypatch
     monkeypatch.setattr(Store, "stage", lambda self, name, rows, by=None: (staged.setdefault(name, _plan(rows)), stage(self, name, rows, by))[1])
     persist.second_contract(store, "run", *_made(spark), 2026, "m")
     assert len(staged) > 8 and not [name for name, plan in staged.items() if "Broadcast" in plan]
+
+
+def test_metrics_are_read_alone_and_nothing_is_written_between(spark, tmp_path):
+    row = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(k, n, n, 1, 5.0, "A", "O") for k in range(1, 4) for n in range(1, 8)], row).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = reports.report_metrics(spark, str(tmp_path))
+    assert _plan(found).count("FileScan") == 2 and _plan(found).count("MapInArrow") == 1
+    assert found.count() == 12
